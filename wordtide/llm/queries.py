@@ -4,15 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ngram_join import ngram_components
+from .packing import pack
 from .token_counts import token_counts
+from .token_files import token_file_digest
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
+    "op7_token_files": op7_token_files,
+    "op8_packing": op8_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT e2.b, r.c FROM r JOIN e2 ON e2.a = r.v),
+m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) AS class_id FROM (SELECT doc_id, list_sort(list(g)) AS gs FROM s GROUP BY doc_id))
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, coalesce(k.class_id, d.doc_id) AS class_id
+FROM d JOIN m ON m.v = d.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+}
