@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_topk import exact_top
+from .language_id import identify
 from .ngram_join import ngram_components
 from .packing import pack
+from .permutation_index import nearest
 from .token_counts import token_counts
 from .token_files import token_file_digest
+from .url_filters import judge_urls
+from .warc import warc_digest
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +23,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -26,11 +43,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
+    "op3_warc": op3_warc,
+    "op4_permutation_index": op4_permutation_index,
+    "op6_exact_topk": op6_exact_topk,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -47,5 +77,52 @@ m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v),
 k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) AS class_id FROM (SELECT doc_id, list_sort(list(g)) AS gs FROM s GROUP BY doc_id))
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, coalesce(k.class_id, d.doc_id) AS class_id
 FROM d JOIN m ON m.v = d.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM f
+""",
+    "op6_exact_topk": """
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product([CAST(x AS DOUBLE) FOR x IN q.v], [CAST(x AS DOUBLE) FOR x IN c.v]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op10_url_filters": r"""
+WITH RECURSIVE rules(h, p, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')),
+attr AS (SELECT url, tag,
+  trim(regexp_replace(regexp_extract(tag, '(?i)\brel\s*=\s*("([^"]*)"|''([^'']*)''|([^\s>"'']+))', 1), '^["'']|["'']$', '', 'g')) AS rel,
+  trim(regexp_replace(regexp_extract(tag, '(?i)\bhref\s*=\s*("([^"]*)"|''([^'']*)''|([^\s>"'']+))', 1), '^["'']|["'']$', '', 'g')) AS href,
+  trim(regexp_replace(regexp_extract(tag, '(?i)\bhttp-equiv\s*=\s*("([^"]*)"|''([^'']*)''|([^\s>"'']+))', 1), '^["'']|["'']$', '', 'g')) AS equiv,
+  trim(regexp_replace(regexp_extract(tag, '(?i)\bcontent\s*=\s*("([^"]*)"|''([^'']*)''|([^\s>"'']+))', 1), '^["'']|["'']$', '', 'g')) AS content FROM tags),
+raw AS (SELECT url, coalesce(CASE WHEN regexp_matches(tag, '(?i)^<link\b') AND regexp_matches(lower(rel), '(^|\s)canonical(\s|$)') THEN href END,
+  CASE WHEN regexp_matches(tag, '(?i)^<meta\b') AND lower(equiv) = 'refresh' THEN trim(regexp_replace(regexp_extract(content, '(?i)^[^;,]*[;,]\s*url\s*=\s*(.*)', 1), '^["'']|["'']$', '', 'g')) END) AS t FROM attr),
+base AS (SELECT *, regexp_extract(url, '^(.*?://[^/?#]*)', 1) AS b, regexp_extract(url, '^(.*?://[^/?#]*(?:/(?:[^?#]*/)?)?)', 1) AS f FROM raw WHERE t <> ''),
+target AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN t LIKE '//%' THEN split_part(url, '://', 1) || ':' || t WHEN t LIKE '/%' THEN b || t
+  WHEN NOT regexp_matches(t, '^(#|\?|[A-Za-z][A-Za-z0-9+.-]*:)') THEN f || CASE WHEN f LIKE '%/' THEN '' ELSE '/' END || t END AS u FROM base),
+ends AS (SELECT url AS x, u AS y FROM target WHERE contains(u, '://')),
+urls AS (SELECT x AS u FROM ends UNION SELECT y FROM ends UNION SELECT url FROM pages WHERE contains(url, '://')),
+cut AS (SELECT u, substr(u, strpos(u, '://') + 3) AS rest FROM urls),
+parts AS (SELECT u, translate(split_part(u, '://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme,
+  translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM cut),
+fit AS (SELECT u, scheme || '://' || host || tail AS node, host, path,
+  (SELECT min(struct_pack(size := -length(r.h || r.p), rule := r.h || r.p, action := r.action)) FROM rules r
+   WHERE (parts.host = r.h OR ends_with(parts.host, '.' || r.h)) AND starts_with(parts.path, r.p)) AS best FROM parts),
+e AS (SELECT a.node AS a, b.node AS b FROM ends JOIN fit a ON a.u = x JOIN fit b ON b.u = y WHERE a.node <> b.node),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS v, a AS c FROM e2 UNION SELECT e2.b, r.c FROM r JOIN e2 ON e2.a = r.v),
+m AS (SELECT v, min(c) AS comp FROM r GROUP BY v),
+g AS (SELECT comp FROM m JOIN fit ON node = v GROUP BY comp HAVING bool_or(coalesce(best.action = 'block', false)) AND NOT bool_or(coalesce(best.action = 'allow', false)))
+SELECT p.page_id, coalesce(f.host, '') AS host, coalesce(f.path, '') AS path, f.best.rule AS rule,
+       coalesce(f.best.action, CASE WHEN g.comp IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, g.comp IS NOT NULL AS alias_of_blocked
+FROM pages p LEFT JOIN fit f ON f.u = p.url LEFT JOIN m ON m.v = f.node LEFT JOIN g USING (comp)
 """,
 }
