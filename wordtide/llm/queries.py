@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_topk import exact_top
 from .language_id import identify
+from .mixing import mix
 from .ngram_join import ngram_components
 from .packing import pack
 from .permutation_index import nearest
@@ -31,6 +32,10 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_warc": op3_warc,
     "op4_permutation_index": op4_permutation_index,
+    "op5_mixing": op5_mixing,
     "op6_exact_topk": op6_exact_topk,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
