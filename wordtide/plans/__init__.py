@@ -1,0 +1,4 @@
+"""Queries over the tables at hand, built from the operators."""
+
+from . import star  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
