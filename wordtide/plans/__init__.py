@@ -1,4 +1,4 @@
 """Queries over the tables at hand, built from the operators."""
 
-from . import events, star, texts  # noqa: F401
+from . import events, places, star, texts  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
