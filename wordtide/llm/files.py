@@ -34,6 +34,17 @@ def open_read(uri: str):
     return store.open_input_file(path)
 
 
+def make_folder(uri: str) -> None:
+    path = _local(uri)
+    if path is not None:
+        os.makedirs(path, exist_ok=True)
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path, recursive=True)
+
+
 def list_files(uri: str, suffix: str) -> list[str]:
     """URIs of the files of a folder, in order of name; of a file: itself."""
     path = _local(uri)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from .common import scratch, spill
-from .files import list_files, open_read, open_write
+from .files import list_files, make_folder, open_read, open_write
 
 LEAST_SHARED = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -61,6 +61,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     Of records with equal payloads of at least LEAST_SHARED bytes, those of the smallest page_id are responses and the others revisit
     it. File names come from the partition and files appear whole, so a task that runs again replaces its own file."""
+    make_folder(folder)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     digest = F.sha2(F.col("html").cast("binary"), 256)
     # Digests of more than one row, with the smallest id: combined before the shuffle, and a table of its own, so that the join below
@@ -213,6 +214,8 @@ class WarcReader(DataSourceReader):
         return all(headers.get(k) in v for k, v in self.tests)
 
     def read(self, partition):
+        if partition is None:  # how Spark asks a source without partitions
+            return
         keep = self.options.get("payload", "full")
         rows, size = [], 0
         for headers, content in _File(partition.value).records(lambda h: self.wanted(h) and keep != "none"):
