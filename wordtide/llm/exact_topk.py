@@ -68,6 +68,9 @@ def exact_top(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         ids, local = rows["vec_id"][order], _local(rows["v"][order], queries["q"], nodes)
         cutoff = np.nan_to_num(queries["cutoff"].astype(np.float64), nan=-np.inf)[:, None]
         lows = [s.min(axis=1, keepdims=True).astype(np.float64) for s in local]
+        if local[0].dtype == np.int64:  # beyond what doubles hold exactly, cutoffs give way by more than their rounding
+            with np.errstate(invalid="ignore"):
+                cutoff = cutoff - (np.abs(cutoff) + sum(np.abs(s).max() for s in local)) * 2.0**-48
         with np.errstate(invalid="ignore"):
             share = (cutoff - sum(lows)) / len(local)
         given = [s >= low + share for s, low in zip(local, lows, strict=True)]
