@@ -146,7 +146,8 @@ def cohorts(burst: DataFrame, ranges: list[tuple[int, int]], offsets: tuple[int,
     median needs min_support items that have that year."""
     era = F.coalesce(*[F.when(F.col("py").between(a, b), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))) for a, b in ranges])
     rows = burst.withColumn("era", era).where("era is not null").withColumn("offset", F.explode(F.sequence(F.lit(offsets[0]), F.lit(offsets[1]))))
-    rows = rows.withColumn("u", F.least(F.lit(1.0), value_at(F.col("c"), F.col("py") + F.col("offset"), "s") / half_even(F.col("P"), 2)))
+    rows = rows.withColumn("u", value_at(F.col("c"), F.col("py") + F.col("offset"), "s") / half_even(F.col("P"), 2))
+    rows = rows.withColumn("u", F.when(F.col("u") > 1, 1.0).otherwise(F.col("u")))  # null outside the curve stays null
     n = F.count("u")
     return rows.groupBy(F.col("era.a").alias("cohort_from"), F.col("era.b").alias("cohort_to"), "offset").agg(n.alias("n"), F.when(n >= min_support, F.percentile("u", F.lit(0.5))).alias("median"))
 

@@ -15,7 +15,7 @@ PLACES = [
     ("CA", "Canada", 60.0, -95.0, [], [], []),
     ("s1", "Northstate", 41.0, -74.0, ["x", "US-NJ"], ["US"], ["US"]),
     ("s2", "Eaststate", 40.9, -77.8, ["US-PA"], ["US"], ["US"]),
-    ("s3", "Longname", 35.0, -80.0, ["US-LONG"], ["US"], ["US"]),
+    ("s3", "Longname", 35.0, -80.0, ["US-LNG"], ["US"], ["US"]),
     ("dc", "Capital", 38.9, -77.0, ["US-DC"], ["US"], ["US"]),
     ("c1", "Harbour", None, None, [], ["US"], ["s1", "US"]),
     ("t1", "Riverton", 39.94, -75.12, [], ["US"], ["c1"]),

@@ -203,7 +203,7 @@ ERA = "CASE WHEN py BETWEEN 1995 AND 1997 THEN 1995 WHEN py BETWEEN 1998 AND 199
 
 
 @query(
-    sql(*base("p_name"), BURST, f"u AS (SELECT {ERA} AS cohort_from, CAST(unnest(range(-3, 4)) AS INTEGER) AS o, genre, item, py, P FROM burst)", "v AS (SELECT cohort_from, o, least(CAST(1.0 AS DOUBLE), c.s / round_even(u.P, 2)) AS x FROM u LEFT JOIN curve c ON c.genre = u.genre AND c.item = u.item AND c.year = u.py + o WHERE c.s IS NOT NULL OR TRUE)", "w AS (SELECT cohort_from, o, CASE WHEN x IS NULL THEN NULL ELSE x END AS x FROM v)")
+    sql(*base("p_name"), BURST, f"u AS (SELECT {ERA} AS cohort_from, CAST(unnest(range(-3, 4)) AS INTEGER) AS o, genre, item, py, P FROM burst)", "w AS (SELECT cohort_from, o, CASE WHEN c.s IS NOT NULL THEN least(CAST(1.0 AS DOUBLE), c.s / round_even(u.P, 2)) END AS x FROM u LEFT JOIN curve c ON c.genre = u.genre AND c.item = u.item AND c.year = u.py + o)")
     + ' SELECT CAST(cohort_from AS BIGINT) AS cohort_from, CAST(o AS BIGINT) AS "offset", count(x) AS n, CASE WHEN count(x) >= 3 THEN round(quantile_cont(x, 0.5), 4) END AS median FROM w GROUP BY ALL'
 )
 def cohort_aligned_median(spark, d):
