@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, connected_components, forget, is_empty, merge_arrays, mix64, slices, span_hashes, spill, text_table, utf8_buffers
+from .common import U64, connected_components, forget, merge_arrays, mix64, slices, span_hashes, spill, text_table, utf8_buffers
 
 #: Counters of the frequency sketch and of one of its chunks; bits of a parity bitmap; bits of the filter of rows to fetch.
 CELLS, CHUNK, LEAST_BITS, MOST_BITS, FETCH_BITS = 1 << 20, 1 << 12, 256, 2048, 1 << 24
 #: Rows of a block of a long posting list, and partners that a component draws in each list in each round but the last.
 BLOCK, DRAWN = 2048, (1, 4)
-BYTES = 4 << 20
+BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -175,6 +175,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("component_id"), own("class_id"))
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, all columns as they are. Rows of one id all stay or all go, as the
+    component of any of them says; rows without an id stay."""
+    found = ngram_components(docs, id_col, text_col, n, num, den)
+    gone = spill(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_join_gone")).distinct(), "join-gone")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_join_gone"), "left_anti")
+
+
 def _link_classes(rows: DataFrame, both: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(k1, component) for every class that links with another; component is some k1."""
     spark = rows.sparkSession
@@ -195,7 +203,7 @@ def _link_classes(rows: DataFrame, both: DataFrame, classes: DataFrame, n: int,
                 for i, k in enumerate(k1.tolist()):  # copies add nothing; what a task misses is dropped later
                     if size[i] and k not in seen:
                         fresh[i] = True
-                        if len(seen) < 1_000_000:
+                        if len(seen) < 200_000:
                             seen.add(k)
                 owner = np.repeat(np.arange(len(size)), size)
                 keep = fresh[owner]
@@ -220,32 +228,33 @@ def _link_classes(rows: DataFrame, both: DataFrame, classes: DataFrame, n: int,
     posts = drawn.where("pos >= 0").select("token", "k1", "n", "pos")
     # Shingles in the prefix of one class only meet nobody; group minima are combined before the shuffle.
     met = posts.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count("*").alias("posts")).where("lo <> hi").select("token", "posts")
-    maps = drawn.where("pos < 0").select("k1", "bits").groupBy("k1").agg(F.first("bits").alias("bits"))
-    posts = spill(posts.join(met, "token").distinct(), "join-met")
-    posts_bits = spill(posts.join(maps, "k1").withColumn("salt", F.pmod(F.xxhash64("k1", F.lit(17)), F.ceil(F.col("posts") / BLOCK)).cast("int")), "join-posts")
-    forget(posts)
+    posts = posts.join(met, "token").distinct().withColumn("salt", F.pmod(F.xxhash64("k1", F.lit(17)), F.ceil(F.col("posts") / BLOCK)).cast("int"))
+    posts = spill(posts, "join-posts")
+    keys = spill(posts.select("k1").distinct(), "join-keys")
+    maps = spill(drawn.where("pos < 0").select("k1", "bits").join(keys, "k1", "left_semi").dropDuplicates(["k1"]), "join-bits")
     forget(drawn)
 
-    labels = spill(posts_bits.select("k1").distinct().withColumn("component", F.col("k1")), "join-labels")
-    sets = _fetch_sets(rows, classes, labels, n)
-    tried = None
+    labels, sets, tried = None, None, None
     for most in (*DRAWN, None):
-        live = posts_bits.join(labels, "k1")
-        alive = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        live = live.join(alive, "token", "left_semi") if most != DRAWN[0] else live
-        pairs = _draw(live, num, den, most)
+        if labels is None:
+            live = posts.withColumn("component", F.col("k1"))
+        else:  # lists that still hold two components
+            live = posts.join(labels, "k1")
+            mixed = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+            live = live.join(mixed, "token", "left_semi")
+        pairs = _draw(live.join(maps, "k1"), num, den, most)
         pairs = pairs.groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = spill(pairs, "join-pairs")
-        if is_empty(pairs):
-            if most is None:
-                break
-            continue
+        before = keys.withColumn("component", F.col("k1")) if labels is None else labels
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+        fetched = _fetch_sets(rows, classes, asked if sets is None else asked.join(sets.select("k1"), "k1", "left_anti"), n)
+        sets = fetched if sets is None else sets.unionByName(fetched)
         links = spill(_verify(pairs, sets, num, den), "join-links")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         joined = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        labels = spill(labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("k1", F.coalesce("to", "component").alias("component")), "join-labels")
+        labels = spill(before.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("k1", F.coalesce("to", "component").alias("component")), "join-labels")
     return labels
 
 
@@ -329,9 +338,9 @@ def _draw(live: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
 
 
 def _fetch_sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(k1, hashes) of the wanted classes, one row each, hashed again from the smallest member's text. A bit filter of fixed size tells
-    which rows to hash, so texts aren't shuffled; what it lets through in error is dropped by a join of keys."""
-    ids = classes.join(wanted.select("k1"), "k1").select("k1", F.coalesce("class_id", F.lit(-1)).alias("doc_id"))
+    """(k1, hashes) of the wanted classes, hashed again from the smallest member's text. A bit filter of fixed size tells which rows to
+    hash, so texts and sets aren't shuffled for it; a row that it lets through in error is a set that no pair asks for, or a copy."""
+    ids = spill(classes.join(wanted, "k1").select(F.coalesce("class_id", F.lit(-1)).alias("doc_id")), "join-ids")
 
     def flag(batches):
         bits = np.zeros(FETCH_BITS // 8, dtype=np.uint8)
@@ -354,10 +363,9 @@ def _fetch_sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame, n: int)
             for i, j, h, first in _sets_of(kept, n):
                 k1, _ = _keys(h, first)
                 at = np.flatnonzero(np.diff(first)).tolist()
-                yield pa.RecordBatch.from_pydict({"doc_id": kept.column(0).fill_null(-1).take(pa.array(np.array(at, dtype=np.int64) + i)), "k1": pa.array(k1[at]), "hashes": pa.array([h[first[r] : first[r + 1]].tobytes() for r in at], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"k1": pa.array(k1[at]), "hashes": pa.array([h[first[r] : first[r + 1]].tobytes() for r in at], pa.binary())})
 
-    got = rows.mapInArrow(fetch, "doc_id long, k1 long, hashes binary").join(ids, ["k1", "doc_id"], "left_semi")
-    return spill(got.select("k1", "hashes").dropDuplicates(["k1"]), "join-hashes")
+    return spill(rows.mapInArrow(fetch, "k1 long, hashes binary"), "join-hashes")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
