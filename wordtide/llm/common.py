@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -136,7 +143,7 @@ def merge_arrays(rows: DataFrame, how: str) -> dict[int, np.ndarray]:
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     got = rows.repartition(min(parts, 16), "chunk").mapInArrow(merged, "chunk int, cells binary")
-    return {r[0]: np.frombuffer(r[1], dtype=np.int32) for r in got.toLocalIterator()}
+    return {r[0]: np.frombuffer(r[1], dtype=np.int32) for r in got.collect()}
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, connected_components, forget, merge_arrays, mix64, slices, span_hashes, spill, text_table, utf8_buffers
+from .common import U64, connected_components, forget, is_empty, merge_arrays, mix64, slices, span_hashes, spill, text_table, utf8_buffers
 
 #: Counters of the frequency sketch and of one of its chunks; bits of a parity bitmap; bits of the filter of rows to fetch.
 CELLS, CHUNK, LEAST_BITS, MOST_BITS, FETCH_BITS = 1 << 20, 1 << 12, 256, 2048, 1 << 24
 #: Rows of a block of a long posting list, and partners that a component draws in each list in each round but the last.
-BLOCK, DRAWN = 2048, (1, 4)
+BLOCK, DRAWN = 2048, (2,)
 BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -227,8 +227,10 @@ def _link_classes(rows: DataFrame, both: DataFrame, classes: DataFrame, n: int,
     drawn = spill(rows.mapInArrow(prefixes, "token long, k1 long, n int, pos int, bits binary"), "join-prefixes")
     posts = drawn.where("pos >= 0").select("token", "k1", "n", "pos")
     # Shingles in the prefix of one class only meet nobody; group minima are combined before the shuffle.
-    met = posts.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count("*").alias("posts")).where("lo <> hi").select("token", "posts")
-    posts = posts.join(met, "token").distinct().withColumn("salt", F.pmod(F.xxhash64("k1", F.lit(17)), F.ceil(F.col("posts") / BLOCK)).cast("int"))
+    met = posts.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("token")
+    posts = spill(posts.join(met, "token", "left_semi").distinct(), "join-met")
+    sizes = posts.groupBy("token").agg(F.count("*").alias("posts"))
+    posts = posts.join(sizes, "token").withColumn("salt", F.pmod(F.xxhash64("k1", F.lit(17)), F.ceil(F.col("posts") / BLOCK)).cast("int"))
     posts = spill(posts, "join-posts")
     keys = spill(posts.select("k1").distinct(), "join-keys")
     maps = spill(drawn.where("pos < 0").select("k1", "bits").join(keys, "k1", "left_semi").dropDuplicates(["k1"]), "join-bits")
@@ -247,10 +249,15 @@ def _link_classes(rows: DataFrame, both: DataFrame, classes: DataFrame, n: int,
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = spill(pairs, "join-pairs")
+        if labels is not None and is_empty(pairs):
+            continue
         before = keys.withColumn("component", F.col("k1")) if labels is None else labels
         asked = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-        fetched = _fetch_sets(rows, classes, asked if sets is None else asked.join(sets.select("k1"), "k1", "left_anti"), n)
-        sets = fetched if sets is None else sets.unionByName(fetched)
+        if sets is not None:
+            asked = spill(asked.join(sets.select("k1"), "k1", "left_anti"), "join-asked")
+        if sets is None or not is_empty(asked):
+            fetched = _fetch_sets(rows, classes, asked, n)
+            sets = fetched if sets is None else sets.unionByName(fetched)
         links = spill(_verify(pairs, sets, num, den), "join-links")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         joined = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
