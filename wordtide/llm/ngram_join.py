@@ -15,12 +15,14 @@ Sets are told apart by 64- and 128-bit hashes (xxh3 of words, mixed); chances of
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, connected_components, forget, is_empty, merge_arrays, mix64, slices, span_hashes, spill, text_table, utf8_buffers
+from .common import U64, connected_components, forget, is_empty, merge_arrays, mix64, release, slices, span_hashes, spill, text_table, utf8_buffers
 
 #: Counters of the frequency sketch and of one of its chunks; bits of a parity bitmap; bits of the filter of rows to fetch.
 CELLS, CHUNK, LEAST_BITS, MOST_BITS, FETCH_BITS = 1 << 20, 1 << 12, 256, 2048, 1 << 24
@@ -138,13 +140,14 @@ def _pairs_in(group: np.ndarray):
         yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, shares: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row of docs.
 
     Rows link when den * |x & y| >= num * |x | y| over their sets of distinct n-word shingles. component_id is the smallest doc_id
     reachable by links, itself included; class_id the smallest doc_id with the same set. A null or blank text has the empty set and
     links with nothing. Rows of one doc_id are told apart by their sets; a null doc_id is kept and never the smallest, unless all
-    are null. An empty table gives an empty result; other columns are not read."""
+    are null. An empty table gives an empty result; other columns are not read. shares: prefix shingles are shuffled in so many parts, one
+    after another, which takes less disk where prefixes are long."""
     spark = docs.sparkSession
     rows = text_table(docs, id_col, text_col)
 
@@ -164,7 +167,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     both = spill(rows.mapInArrow(named, "doc_id long, n int, k1 long, k2 long, chunk int, cells binary"), "join-sets")
     sets = both.where("chunk is null").select("doc_id", "n", "k1", "k2")
     classes = spill(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "join-classes")
-    labels = _link_classes(rows, both, classes, n, num, den)
+    labels = _link_classes(rows, both, classes, n, num, den, shares)
 
     # Component of each class: the smallest member of any of its classes.
     of = classes.join(labels, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
@@ -175,15 +178,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("component_id"), own("class_id"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, shares: int = 4) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, all columns as they are. Rows of one id all stay or all go, as the
     component of any of them says; rows without an id stay."""
-    found = ngram_components(docs, id_col, text_col, n, num, den)
+    found = ngram_components(docs, id_col, text_col, n, num, den, shares)
     gone = spill(found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_join_gone")).distinct(), "join-gone")
     return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_join_gone"), "left_anti")
 
 
-def _link_classes(rows: DataFrame, both: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _link_classes(rows: DataFrame, both: DataFrame, classes: DataFrame, n: int, num: int, den: int, shares: int) -> DataFrame:
     """(k1, component) for every class that links with another; component is some k1."""
     spark = rows.sparkSession
     sketch = merge_arrays(both.where("chunk is not null").select("chunk", "cells"), "sum")
@@ -227,8 +230,15 @@ def _link_classes(rows: DataFrame, both: DataFrame, classes: DataFrame, n: int,
     drawn = spill(rows.mapInArrow(prefixes, "token long, k1 long, n int, pos int, bits binary"), "join-prefixes")
     posts = drawn.where("pos >= 0").select("token", "k1", "n", "pos")
     # Shingles in the prefix of one class only meet nobody; group minima are combined before the shuffle.
-    met = posts.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("token")
-    posts = spill(posts.join(met, "token", "left_semi").distinct(), "join-met")
+    # One share of the shingles at a time, so that the shuffles of one share are gone before the next one's.
+    shared = []
+    for k in range(shares):
+        part = posts.where(F.pmod("token", F.lit(shares)) == k)
+        met = part.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("token")
+        shared.append(spill(part.join(met, "token", "left_semi").distinct(), "join-met"))
+        del part, met
+        release(spark)
+    posts = reduce(DataFrame.unionByName, shared)
     sizes = posts.groupBy("token").agg(F.count("*").alias("posts"))
     posts = posts.join(sizes, "token").withColumn("salt", F.pmod(F.xxhash64("k1", F.lit(17)), F.ceil(F.col("posts") / BLOCK)).cast("int"))
     posts = spill(posts, "join-posts")
