@@ -17,7 +17,7 @@ from .common import merge_arrays, slices, utf8_buffers
 
 #: Hashed n-grams; n-gram lengths in bytes; labelled documents drawn for each language (in expectation); languages at most, by their
 #: documents; characters taken at once; languages that a document may mix; rounds of expectation-maximisation.
-SLOTS_BITS, LENGTHS, PER_LANGUAGE, LANGUAGES, BYTES, MIXED, ROUNDS = 16, (2, 3, 4), 4000, 512, 1 << 20, 4, 12
+SLOTS_BITS, LENGTHS, PER_LANGUAGE, LANGUAGES, BYTES, MIXED, ROUNDS = 16, (2, 3, 4), 4000, 512, 1 << 18, 4, 12
 #: Overlapping n-grams of a word repeat evidence; their log likelihoods are scaled by this.
 TEMPER = 1 / 3
 
