@@ -11,6 +11,9 @@ partners outside itself in each posting list, verified links are contracted, and
 lies between two components. Pairs inside a component are never drawn, so a group of n near copies costs about n verifications;
 every link between components is found, so components are exact. Long posting lists are dealt in blocks of rows.
 
+The links themselves lie inside components, so ngram_links lists them all by comparing the classes of each component, in cells of
+two chunks: a set is sent once a cell, not once a pair, and a cell's shared shingles are counted by one matrix product.
+
 Sets are told apart by 64- and 128-bit hashes (xxh3 of words, mixed); chances of a clash are about pairs / 2**64."""
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ CELLS, CHUNK, LEAST_BITS, MOST_BITS, FETCH_BITS = 1 << 20, 1 << 12, 256, 2048, 1
 #: Rows of a block of a long posting list, and partners that a component draws in each list in each round but the last.
 BLOCK, DRAWN = 2048, (2,)
 BYTES = 1 << 20
+#: Classes of a chunk of a component, and shingles counted at once, when all links are listed.
+CHUNK_CLASSES, COLUMNS = 128, 1 << 13
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -148,6 +153,34 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links with nothing. Rows of one doc_id are told apart by their sets; a null doc_id is kept and never the smallest, unless all
     are null. An empty table gives an empty result; other columns are not read. shares: prefix shingles are shuffled in so many parts, one
     after another, which takes less disk where prefixes are long."""
+    sets, _, named_classes, _ = _classes(docs, id_col, text_col, n, num, den, shares)
+    return _placed(sets, named_classes)
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, shares: int = 1) -> DataFrame:
+    """class_a, class_b, n_a, n_b, shared: every link between two classes of ngram_components, once, class_a < class_b, with the sizes of
+    their sets and of what they share. Rows of one class link with each other and are not listed. A class without an id is null."""
+    _, classes, named_classes, rows = _classes(docs, id_col, text_col, n, num, den, shares)
+    links = _all_links(rows, classes, named_classes, n, num, den)
+    end = lambda c: named_classes.select(F.col("k1").alias(c), F.col("class_id").alias(f"class_{c}"))
+    swap = F.coalesce(F.col("class_a") > F.col("class_b"), F.col("class_a").isNull())
+    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    return links.join(end("a"), "a").join(end("b"), "b").select(pick("class_a", "class_b", "class_a"), pick("class_b", "class_a", "class_b"), pick("n_a", "n_b", "n_a"), pick("n_b", "n_a", "n_b"), "shared")
+
+
+def ngram_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, shares: int = 1) -> DataFrame:
+    """ngram_components with n_links: how many other rows each row links with, those with the same set included."""
+    sets, classes, named_classes, rows = _classes(docs, id_col, text_col, n, num, den, shares)
+    links = _all_links(rows, classes, named_classes, n, num, den)
+    copies = spill(sets.where("n > 0").groupBy("k1").agg(F.count("*").alias("copies")), "join-copies")
+    ends = links.select(F.col("a").alias("of"), F.col("b").alias("k1")).unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("k1")))
+    far = ends.join(copies, "k1").groupBy("of").agg(F.sum("copies").alias("far")).withColumnRenamed("of", "k1")
+    counts = spill(copies.join(far, "k1", "left").select("k1", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")), "join-counts")
+    return _placed(sets, named_classes.join(counts, "k1"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, shares: int):
+    """Rows' sets (doc_id, n, k1, k2); classes (k1, k2, class_id); those with component_id; the rows read."""
     spark = docs.sparkSession
     rows = text_table(docs, id_col, text_col)
 
@@ -173,9 +206,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of = classes.join(labels, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
     least = spill(of.groupBy("component").agg(F.min("class_id").alias("component_id")), "join-least")
     named_classes = spill(of.join(least, "component").select("k1", "k2", "class_id", "component_id"), "join-components")
+    return sets, classes, named_classes, rows
+
+
+def _placed(sets: DataFrame, named_classes: DataFrame, *more) -> DataFrame:
     out = sets.join(named_classes, ["k1", "k2"], "left")
     own = lambda c: F.when(F.col("n") > 0, F.coalesce(c, "doc_id")).otherwise(F.col("doc_id")).alias(c)
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("component_id"), own("class_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("component_id"), own("class_id"), *more)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, shares: int = 4) -> DataFrame:
@@ -404,3 +441,54 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     with_a = pairs.join(sets.select(F.col("k1").alias("a"), F.col("hashes").alias("x")), "a")
     both = with_a.join(sets.select(F.col("k1").alias("b"), F.col("hashes").alias("y")), "b")
     return both.select("ca", "cb", "x", "y").mapInArrow(check, "ca long, cb long")
+
+
+def _all_links(rows: DataFrame, classes: DataFrame, named_classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b, n_a, n_b, shared) for every two classes a < b (k1) that link."""
+    sizes = named_classes.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("component_id", "of")
+    chunks = F.ceil(F.col("m") / CHUNK_CLASSES).cast("int")
+    # Classes without any id share a null component, which only makes a larger group.
+    members = named_classes.join(sizes, F.col("component_id").eqNullSafe(F.col("of"))).select("k1", "component_id", chunks.alias("chunks"), F.pmod(F.xxhash64("k1", F.lit(23)), chunks).cast("int").alias("c"))
+    members = spill(members, "join-members")
+    sets = _fetch_sets(rows, classes, members.select("k1"), n).dropDuplicates(["k1"])
+    dealt = members.join(sets, "k1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("component_id", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "k1", "hashes")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "component_id", "i", "j").sortWithinPartitions("component_id", "i", "j", "k1")
+
+    def link(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            g = np.stack([t.column(c).fill_null(-1).to_numpy() for c in ("component_id", "i", "j")] + [t.column("component_id").is_null().to_numpy()])
+            cut = np.concatenate([[0], np.flatnonzero((g[:, 1:] != g[:, :-1]).any(axis=0)) + 1])
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield cell(t.slice(x, y - x))
+            held = t.slice(cut[-1])
+        if held is not None and len(held):
+            yield cell(held)
+
+    def cell(t: pa.Table):
+        k, c = t.column("k1").to_numpy(), t.column("c").to_numpy()
+        own = [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("hashes")]
+        size = np.array([len(x) for x in own])
+        _, at, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(k)), size)
+        met = times[at] > 1  # shingles of one class only are shared with nobody
+        place, owner = (np.cumsum(times > 1) - 1)[at[met]], owner[met]
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+        shared = np.zeros((len(k), len(k)), dtype=np.int64)
+        for first in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+            x, y = np.searchsorted(place, [first, first + COLUMNS])
+            has = np.zeros((len(k), COLUMNS), dtype=np.float32)
+            has[owner[x:y], place[x:y] - first] = 1
+            shared += (has @ has.T).astype(np.int64)
+        p, q = np.triu_indices(len(k), 1)
+        ok = den * shared[p, q] >= num * (size[p] + size[q] - shared[p, q])
+        if t.column("i")[0] != t.column("j")[0]:
+            ok &= c[p] != c[q]  # pairs within a chunk have a cell of their own
+        p, q = p[ok], q[ok]
+        return pa.RecordBatch.from_pydict({"a": pa.array(k[p]), "b": pa.array(k[q]), "n_a": pa.array(size[p]), "n_b": pa.array(size[q]), "shared": pa.array(shared[p, q])})
+
+    return spill(dealt.mapInArrow(link, "a long, b long, n_a long, n_b long, shared long"), "join-all-links")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_topk import exact_top
 from .language_id import identify
 from .mixing import mix
-from .ngram_join import ngram_components
+from .ngram_join import ngram_components, ngram_link_counts
 from .packing import pack
 from .permutation_index import nearest
 from .token_counts import token_counts
@@ -20,6 +20,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_ngram_join, whose columns its SQL fixes, with the number of every row's links."""
+    return ngram_link_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -58,6 +63,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op1_ngram_links": op1_ngram_links,
     "op2_token_counts": op2_token_counts,
     "op3_warc": op3_warc,
     "op4_permutation_index": op4_permutation_index,
