@@ -1,13 +1,13 @@
 """Mixture-controlled packing of documents into fixed windows.
 
-Each source is a queue, and every window takes from each queue its target share of tokens. That is deficit round-robin with one
-round a window: a queue's credit grows by share x window, whole tokens are served, the rest is carried. Credits are carried exactly
-over all windows and partitions because what a queue has been served after w windows has a closed form, floor(share x w x window);
-so any task can place its own documents without hearing from the others. Documents are cut where a queue's turn ends."""
+Each source is a queue of its own, and every window takes from each queue its target share of tokens: deficit round-robin with one
+round a window, whatever is owed being carried. Token x of a queue of a tokens is due at time (x + 1 - phase) / a, and tokens are
+served as they fall due, so what a queue has been served after w windows has a closed form: floor(a * v + phase) for the time v at which
+those of all queues come to w windows, also for queues of less than a token a window. Phases in [0, 1) are spread over the queues, lest
+many small ones fall due together. Any task can place its own documents without hearing from the others. Documents are cut where a queue's turn ends."""
 
 from __future__ import annotations
 
-import math
 import zlib
 from bisect import bisect_right
 
@@ -22,7 +22,6 @@ from . import bpe
 from .common import spill
 
 WINDOW = 2048
-REST = "\x00rest"
 
 
 class Phase:
@@ -30,8 +29,10 @@ class Phase:
 
     def __init__(self, amounts: list[int], window: int, first_sequence: int):
         self.amounts, self.window = amounts, window
+        self.sizes = np.array(amounts, dtype=np.int64)
+        self.phases = np.empty(len(amounts))
+        self.phases[np.argsort(-self.sizes, kind="stable")] = (0.5 + np.arange(len(amounts)) * 0.6180339887498949) % 1
         self.total = sum(amounts)
-        self.big = max(range(len(amounts)), key=lambda q: amounts[q]) if amounts else 0
         self.windows = -(-self.total // window)
         self.first = first_sequence
         rest = self.total - (self.windows - 1) * window if self.total else 0
@@ -41,26 +42,55 @@ class Phase:
             self.tail.append(self.tail[-1] + (p := 1 << (rest.bit_length() - 1)))
             rest -= p
         self.next = first_sequence + max(0, self.windows - 1) + len(self.tail) - 1
-        self.kept: dict[int, list[int]] = {}
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def served(self, w: int) -> list[int]:
-        """Tokens that each queue has given to the first w windows; the largest takes what the others' rounding leaves."""
-        got = self.kept.get(w)
-        if got is None:
+    def due(self, v: float) -> np.ndarray:
+        """Tokens of each queue that are due by time v."""
+        return np.clip(np.floor(self.sizes * v + self.phases).astype(np.int64), 0, self.sizes)
+
+    def served(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that each queue has given to the first w windows, and their sums over the queues before each."""
+        held = self.kept.get(w)
+        if held is None:
             upto = min(w * self.window, self.total)
-            got = [a * upto // self.total for a in self.amounts]
-            got[self.big] += upto - sum(got)
-            if len(self.kept) > 20_000:
+            got = self._first(upto)
+            held = got, np.concatenate([[0], np.cumsum(got)])
+            if len(self.kept) > max(64, 2_000_000 // len(got)):
                 self.kept.clear()
-            self.kept[w] = got
-        return got
+            self.kept[w] = held
+        return held
+
+    def _first(self, upto: int) -> np.ndarray:
+        """The first `upto` tokens by time due, then queue. due() only grows with v, so any v that gives `upto` gives the same tokens;
+        where several fall due at once, the last time before them is sought to the last bit."""
+        if upto >= self.total:
+            return self.sizes
+        near = (len(self.sizes) + 2) / self.total
+        v = upto / self.total
+        low, high = max(0.0, v - near), v + near
+        while self.due(low).sum() > upto:
+            low = max(0.0, low - near)
+        while self.due(high).sum() <= upto:
+            high += near
+        while low < v < high:
+            got = self.due(v)
+            n = int(got.sum())
+            if n == upto:
+                return got
+            low, high = (v, high) if n < upto else (low, v)
+            v = (low + high) / 2
+        got = self.due(low)
+        more = self.due(high) - got
+        left = upto - int(got.sum()) - (np.cumsum(more) - more)
+        return got + np.clip(left, 0, more)
 
     def window_of(self, q: int, x: int) -> int:
         """The window that takes token x of queue q."""
-        w = min(self.windows - 1, x * self.total // (self.amounts[q] * self.window))
-        while self.served(w)[q] > x:
+        before = int(self.due((x + 1 - self.phases[q]) / self.amounts[q]).sum())
+        w = min(self.windows - 1, max(0, before - 1) // self.window)
+        while self.served(w)[0][q] > x:
             w -= 1
-        while self.served(w + 1)[q] <= x:
+        while self.served(w + 1)[0][q] <= x:
             w += 1
         return w
 
@@ -68,19 +98,21 @@ class Phase:
         """(length, sequence, offset) of the pieces of tokens x to x + n of queue q."""
         w = self.window_of(q, x)
         while n:
-            before, after = self.served(w), self.served(w + 1)
-            take = min(n, after[q] - x)
-            if take:
-                at = sum(after[:q]) - sum(before[:q]) + x - before[q]
-                if w < self.windows - 1:
-                    yield take, self.first + w, at
-                    n, x = n - take, x + take
-                else:
-                    while take:
-                        k = bisect_right(self.tail, at) - 1
-                        part = min(take, self.tail[k + 1] - at)
-                        yield part, self.first + w + k, at - self.tail[k]
-                        n, x, at, take = n - part, x + part, at + part, take - part
+            (before, ahead), (after, ahead_after) = self.served(w), self.served(w + 1)
+            take = min(n, int(after[q]) - x)
+            if take <= 0:  # a queue of less than a token a window
+                w = self.window_of(q, x)
+                continue
+            at = int(ahead_after[q] - ahead[q]) + x - int(before[q])
+            if w < self.windows - 1:
+                yield take, self.first + w, at
+                n, x = n - take, x + take
+            else:
+                while take:
+                    k = bisect_right(self.tail, at) - 1
+                    part = min(take, self.tail[k + 1] - at)
+                    yield part, self.first + w + k, at - self.tail[k]
+                    n, x, at, take = n - part, x + part, at + part, take - part
             w += 1
 
 
@@ -109,8 +141,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue (and ids with keep_ids).
 
     Every id of every document lies in exactly one piece; all sequences are full but the last of each phase, which are powers of
-    two. Queues: the sources with at least 1/isqrt(window) of all tokens; the others, whose share of a window would be a few
-    tokens, share one queue. targets: weights of sources (default: the corpus' own shares, at which all run dry together).
+    two. Queues: the sources, each of them; the driver and every worker hold a number and a name of each. targets: weights of sources (default: the corpus' own shares, at which all run dry together).
     A null text is empty (its end id alone is packed); a null source is a source of its own; repeated rows are packed each on its
     own; an empty table gives an empty result; other columns are not read."""
     spark = docs.sparkSession
@@ -136,21 +167,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     stored = spill(rows.mapInArrow(tokens, "part int, doc_id long, source string, n long, before long, ids binary"), "pack-ids")
     blocks = spill(stored.groupBy("part", "source").agg(F.sum("n").alias("n")), "pack-blocks")
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    own = max(2, math.isqrt(window) - 1)
-    large = [r[0] for r in blocks.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * own >= total).orderBy("source").select("source").collect()]  # at most `own` rows
-    queue = F.when(F.col("source").isin(large), F.col("source")).otherwise(F.lit(REST)) if large else F.lit(REST)
     # Where each task's block of a source begins in its queue: one row a task and source, not a document.
-    order = W.partitionBy("queue").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    totals = {r[0]: r[1] for r in blocks.groupBy("queue").agg(F.sum("n")).orderBy("queue").collect()}  # at most own + 1 rows
-    wanted = None
-    if targets is not None:
-        wanted = {q: float(targets.get(q[1:], 0.0)) for q in totals if q != REST}
-        wanted[REST] = float(sum(v for k, v in targets.items() if f"={k}" not in totals))
+    order = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    totals = {r[0]: r[1] for r in blocks.groupBy("source").agg(F.sum("n")).orderBy("source").collect()}  # a row a source
+    wanted = None if targets is None else {q: float(targets.get(q[1:], 0.0)) for q in totals}
     streams, begins = phases(totals, wanted, window)
     number = {q: k for k, q in enumerate(totals)}
-    placed = stored.join(spill(blocks.select("part", "source", "queue", "base"), "pack-bases"), ["part", "source"]).select("doc_id", "queue", "n", (F.col("base") + F.col("before")).alias("at"), "ids")
+    placed = stored.join(spill(blocks.select("part", "source", "base"), "pack-bases"), ["part", "source"]).select("doc_id", "source", "n", (F.col("base") + F.col("before")).alias("at"), "ids")
 
     def cut(batches):
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"] + ["ids"] * keep_ids
