@@ -7,12 +7,14 @@ asked share. A document's draw is a hash of its id, so it is the same wherever a
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill
+from . import bpe
+from .common import forget, spill
 
-#: Cells that are raked on the driver and broadcast (a few MB); more are raked as a table and joined.
+#: Cells that are raked on the driver and broadcast (a few MB); more are raked as a table and joined, by the same rules.
 DRIVER_CELLS = 100_000
 SWEEPS, TOLERANCE = 200, 1e-10
 #: Topics by the form of a text, the first that fits; the rest is prose.
@@ -60,35 +62,71 @@ def rake(tokens: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray
     return w / w.sum()
 
 
-def rake_table(cells: DataFrame, axes: list[str], targets: dict[str, dict[str, float]], total: float, sweeps: int = 20) -> DataFrame:
+def rake_table(cells: DataFrame, axes: list[str], targets: dict[str, dict[str, float]], total: float, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """rake() for more cells than the driver should hold: w as a column."""
     spark = cells.sparkSession
-    cells = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
+    cells, held = cells.withColumn("w", F.col("tokens") / F.lit(float(total))), None
     for _ in range(sweeps):
+        worst, factors = 0.0, []
         for a in axes:
             want = spark.createDataFrame(list(targets[a].items()), f"{a} string, want double")
-            factor = cells.groupBy(a).agg(F.sum("w").alias("have")).join(want, a, "left").select(a, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("f"))
-            cells = cells.join(factor, a).withColumn("w", F.col("w") * F.col("f")).drop("f")
+            factor = cells.groupBy(a).agg(F.sum("w").alias("have")).join(want, a, "left").select(a, "have", F.coalesce("want", F.lit(0.0)).alias("want"))
+            factor = spill(factor.withColumn("f", F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0)), "mix-factors")
+            factors.append(factor)
+            worst = max(worst, factor.agg(F.max(F.abs(F.col("have") - F.col("want")))).first()[0] or 0.0)
+            cells = cells.join(factor.select(a, "f"), a).withColumn("w", F.col("w") * F.col("f")).drop("f")
         cells = spill(cells, "mix-cells")
-    return cells
+        for x in (*factors, *([held] if held is not None else [])):
+            forget(x)
+        held = cells
+        if worst < tolerance:
+            break
+    return cells.withColumn("w", F.col("w") / F.lit(cells.agg(F.sum("w")).first()[0]))
 
 
-def scale_for(tokens: np.ndarray, weight: np.ndarray, keep: float) -> float:
-    """s with sum(tokens * min(1, s * weight)) = keep * sum(tokens), as far as cells of positive weight allow."""
-    goal = min(keep * tokens.sum(), tokens[weight > 0].sum())
+def _calibrated(kept, goal: float) -> float:
+    """The least s, to the last bit, with kept(s) >= goal; kept grows with s."""
     low, high = 0.0, 1.0
-    while (tokens * np.minimum(1, high * weight)).sum() < goal * (1 - 1e-12) and high < 1e18:
+    while kept(high) < goal * (1 - 1e-12) and high < 1e18:
         high *= 2
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (tokens * np.minimum(1, mid * weight)).sum() < goal else (low, mid)
+    while low < (mid := (low + high) / 2) < high:
+        low, high = (mid, high) if kept(mid) < goal else (low, mid)
     return high
 
 
-def cell_weights(docs: DataFrame, source: Column, lang: Column, text: Column, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> DataFrame | None:
+def scale_for(tokens: np.ndarray, weight: np.ndarray, keep: float) -> float:
+    """s with sum(tokens * min(1, s * weight)) = keep * sum(tokens), as far as cells of positive weight allow."""
+    return _calibrated(lambda s: (tokens * np.minimum(1, s * weight)).sum(), min(keep * tokens.sum(), tokens[weight > 0].sum()))
+
+
+def _counted(docs: DataFrame, id_: Column, source: Column, lang: Column, text: Column, count: str) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens of every row. count: "words" (runs of \\S+) or "bpe" (tokens of the shared encoder, which are
+    counted once and kept as a table)."""
+    topic = topic_of(F.coalesce(text, F.lit(""))).alias("topic")
+    rows = docs.select(id_.cast("long").alias("doc_id"), source.cast("string").alias("source"), lang.cast("string").alias("lang"), topic, (n_words(text) if count == "words" else text).alias("n_tokens"))
+    if count == "words":
+        return rows
+    sent = bpe.shipped(docs.sparkSession)
+
+    def tokens(batches):
+        enc = bpe.worker_encoder(sent)
+        for b in batches:
+            texts = bpe.texts_of(b.column(4))
+            for i, j in bpe.chunks(texts):
+                n, _ = enc.encode(texts[i:j], with_ids=False)
+                yield b.slice(i, j - i).set_column(4, "n_tokens", pa.array(n.astype(np.int64)))
+
+    return spill(rows.mapInArrow(tokens, "doc_id long, source string, lang string, topic string, n_tokens long"), "mix-counts")
+
+
+def cell_weights(docs: DataFrame, source: Column, lang: Column, text: Column, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, count: str = "words") -> DataFrame | None:
     """(source, lang, topic, tokens, weight, probability) of every cell; None without tokens. weight: raked over actual tokens. Targets
     of categories that the corpus lacks are left out, and categories without a target, on an axis that has some, get weight 0."""
-    rows = docs.select(_axis(source).alias("source"), _axis(lang).alias("lang"), topic_of(F.coalesce(text, F.lit(""))).alias("topic"), n_words(text).alias("tokens"))
+    return _weights(_counted(docs, F.lit(None), source, lang, text, count), targets, keep)
+
+
+def _weights(counted: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float) -> DataFrame | None:
+    rows = counted.select(_axis(F.col("source")).alias("source"), _axis(F.col("lang")).alias("lang"), "topic", F.col("n_tokens").alias("tokens"))
     axes = ["source", "lang", "topic"]
     cells = spill(rows.groupBy(*axes).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "mix-cells")
     n, total = cells.agg(F.count("*"), F.sum("tokens")).first()
@@ -100,7 +138,7 @@ def cell_weights(docs: DataFrame, source: Column, lang: Column, text: Column, ta
         given = (targets or {}).get(a)
         t = {k: float(given.get(k, 0.0)) for k in shares} if given else flattened(shares, FLATTEN[a])
         wanted[a] = {k: v / (sum(t.values()) or 1.0) for k, v in t.items()}
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     if n <= DRIVER_CELLS:
         table = cells.toPandas().sort_values(axes).reset_index(drop=True)
         names = {a: sorted(wanted[a]) for a in axes}
@@ -112,13 +150,9 @@ def cell_weights(docs: DataFrame, source: Column, lang: Column, text: Column, ta
         return F.broadcast(spark.createDataFrame(table, "source string, lang string, topic string, tokens long, weight double, probability double"))
     cells = rake_table(cells, axes, wanted, total)
     cells = cells.withColumn("weight", F.col("w") / (F.col("tokens") / F.lit(float(total)))).drop("w")
-    low, high = 0.0, 1.0
+    cells = spill(cells, "mix-weights")
     kept = lambda s: cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(s) * F.col("weight")))).first()[0]
-    while kept(high) < keep * total and high < 1e6:
-        high *= 2
-    for _ in range(30):
-        mid = (low + high) / 2
-        low, high = (mid, high) if kept(mid) < keep * total else (low, mid)
+    high = _calibrated(kept, min(keep * total, cells.where("weight > 0").agg(F.sum("tokens")).first()[0] or 0))
     return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(high) * F.col("weight")))
 
 
@@ -127,17 +161,17 @@ def _drawn(id_col: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 7, count: str = "words") -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept for every row of docs.
 
-    targets: shares by axis ("source", "lang", "topic") and category; an axis without is the corpus' shares, flattened. A null source or
+    count: "words" or "bpe", what tokens are. targets: shares by axis ("source", "lang", "topic") and category; an axis without is the corpus' shares, flattened. A null source or
     language is a category of its own ("\\x00null" in targets); a null or blank text has no tokens, weight and probability 0 if its
     cell has no tokens at all, and is prose; rows of one id share one draw; an empty table gives an empty result; other columns are not
     read."""
     c = lambda name: F.col(f"`{name}`")
     text = c(text_col).cast("string")
-    rows = docs.select(c(id_col).cast("long").alias("doc_id"), c(source_col).cast("string").alias("source"), c(lang_col).cast("string").alias("lang"), topic_of(F.coalesce(text, F.lit(""))).alias("topic"), n_words(text).alias("n_tokens"))
-    cells = cell_weights(docs, c(source_col), c(lang_col), text, targets, keep)
+    rows = _counted(docs, c(id_col), c(source_col), c(lang_col), text, count)
+    cells = _weights(rows, targets, keep)
     if cells is None:
         return rows.select("*", F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"))
     cells = cells.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), "weight", "probability")
@@ -146,10 +180,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(*rows.columns, F.coalesce("weight", F.lit(0.0)).alias("weight"), probability.alias("probability"), (_drawn(F.col("doc_id"), seed) < probability).alias("kept"))
 
 
-def keep_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 7) -> DataFrame:
+def keep_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 7, count: str = "words") -> DataFrame:
     """The rows of docs that mix() keeps, all columns as they are."""
     c = lambda name: F.col(f"`{name}`")
-    cells = cell_weights(docs, c(source_col), c(lang_col), c(text_col).cast("string"), targets, keep)
+    cells = cell_weights(docs, c(source_col), c(lang_col), c(text_col).cast("string"), targets, keep, count)
     if cells is None:
         return docs.limit(0)
     cells = cells.select(F.col("source").alias("_mix_s"), F.col("lang").alias("_mix_l"), F.col("topic").alias("_mix_t"), F.col("probability").alias("_mix_p"))
