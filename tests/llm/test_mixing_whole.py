@@ -19,3 +19,11 @@ def test_many_cells_are_raked_as_few_are(spark, monkeypatch):
     assert few.keys() == many.keys()
     for k, x in few.items():
         assert many[k] == pytest.approx(x, rel=1e-7, abs=1e-12)
+
+
+def test_texts_without_blanks_have_tokens(spark):
+    texts = ["日本語のテキスト" * 50, "plain words here", None]
+    df = spark.createDataFrame([(i, t, "x", "a") for i, t in enumerate(texts)], SCHEMA)
+    enc = bpe.Encoder(bpe.tokenizer_json())
+    got = [r["n_tokens"] for r in mixing.mix(df, count="bpe").orderBy("doc_id").collect()]
+    assert got == enc.encode([t or "" for t in texts])[0].tolist() and got[0] > 50

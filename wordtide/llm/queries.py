@@ -38,7 +38,7 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), count="bpe")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
