@@ -20,7 +20,8 @@ def events_daily_adoption(spark, d):
 
 @query()
 def stream_daily_adoption(spark, d):
-    """The same in event time, drained from a file stream: events of closed days and a sketch of their users."""
+    """The same in event time, drained from a file stream: every day's events and a sketch of their users. The table is finished, so the
+    mode is complete: no day stays open behind the watermark and no event is dropped as late."""
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -32,4 +33,4 @@ def stream_daily_adoption(spark, d):
         root = spark.sparkContext.getCheckpointDir()
     folder = f"{root.rstrip('/')}/wordtide-stream/{uuid.uuid4().hex}"
     events = read_events(spark, f"{d}/events.parque[t]")  # a pattern, since a stream reads folders
-    return run_to_end(streaming_adoption(events), f"{folder}/out", f"{folder}/state").withColumn("start", F.col("start").cast("string"))
+    return run_to_end(streaming_adoption(events), f"{folder}/out", f"{folder}/state", "complete").withColumn("start", F.col("start").cast("string"))

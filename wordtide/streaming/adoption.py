@@ -33,7 +33,17 @@ def streaming_adoption(events: DataFrame, late: str = "2 days", width: str = "1
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain what is there into Parquet, exactly once by the checkpoint, and read it."""
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drain what is there into Parquet, exactly once by the checkpoint, and read it.
+
+    append: windows that the watermark has passed. complete: all windows, also those still open, with late events in; each batch writes
+    the whole result over the last one's, and the state holds all windows."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    elif mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        raise ValueError(f"mode {mode}")
+    query = writer.start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
