@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wordtide.plans import QUERIES
+from wordtide.plans.texts import account_filter_whole
 
 
 def test_stream_leaves_no_day_open(spark, tmp_path):
@@ -24,3 +25,9 @@ def test_late_files_count_in_complete_mode(spark, tmp_path):
     src.repartitionByRange(4, F.desc("ts")).write.parquet(str(tmp_path / "e"))
     stream = streaming_adoption(read_events(spark, str(tmp_path / "e"), files_a_trigger=1))
     assert run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "state"), "complete").agg(F.sum("events")).first()[0] == src.count()
+
+
+def test_accounts_are_told_by_whole_texts(spark, tmp_path):
+    texts = ["x " * 40 + "in", "x" * 37 + " in between", "In bloom", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["not_account"] for r in account_filter_whole(spark, str(tmp_path)).orderBy("doc_id").collect()] == [False, True, False, True]

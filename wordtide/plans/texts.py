@@ -205,6 +205,16 @@ def account_filter(spark, d):
     return t.select("doc_id", (~words.contains("zzz")).alias("kept"), (~is_account(F.substring("text", 1, 40), r"(^(The )?In\b)|(\bin\z)")).alias("not_account"))
 
 
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ') NOT LIKE '%zzz%' AS kept, NOT regexp_matches(text, '(^(The )?In\\b)|(\\bin$)') AS not_account FROM documents")
+def account_filter_whole(spark, d):
+    """account_filter, whose SQL reads 40 characters, over whole texts."""
+    t = table(spark, d, "documents")
+    from ..functions.text import is_account
+
+    words = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), " ")
+    return t.select("doc_id", (~words.contains("zzz")).alias("kept"), (~is_account(F.col("text"), r"(^(The )?In\b)|(\bin\z)")).alias("not_account"))
+
+
 @query("SELECT era, count(*) AS n FROM (SELECT 2000 + doc_id % 10 AS year FROM documents) JOIN (VALUES ('a', 2000, 2003), ('b', 2004, 2005), ('c', 2007, 2009)) e(era, lo, hi) ON year BETWEEN lo AND hi GROUP BY era")
 def era_join(spark, d):
     t = table(spark, d, "documents").select((F.lit(2000) + F.col("doc_id") % 10).alias("year"))
