@@ -203,7 +203,7 @@ class Encoder:
         cp = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
         s = piece_starts(cp, (ends - lens)[lens > 0], self.classes)
         e = np.append(s[1:], len(cp))
-        h = span_hashes(self.values[cp], s, e)
+        h = span_hashes(lambda a, b: self.values[cp[a:b]], len(cp), s, e)
         h[h == 0] = 1
         long = np.flatnonzero(e - s > LONGEST)
         self.pieces += len(s)

@@ -15,12 +15,15 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where both are unset, a temporary
+    one if everything runs in this machine's one process (tests), and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='wordtide-')}")
             root = sc.getCheckpointDir()
     return root.rstrip("/")
@@ -99,51 +102,110 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _POWERS: dict[str, np.ndarray] = {}
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Symbols that are hashed at once; powers of the base are kept for so many.
+SPAN = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    if len(_POWERS.get("up", ())) <= n:
-        size = max(1 << 20, 1 << int(n + 1).bit_length())
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i up to SPAN."""
+    if not _POWERS:
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            p = np.ones(size, dtype=U64)
+            p = np.ones(SPAN, dtype=U64)
             k, b = 1, base
-            while k < size:  # p[k:2k] = p[:k] * base**k
+            while k < SPAN:  # p[k:2k] = p[:k] * base**k
                 p[k : 2 * k] = p[:k] * U64(b)
                 k, b = 2 * k, b * b % (1 << 64)
             _POWERS[name] = p
     return _POWERS["up"], _POWERS["down"]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for every span; values: uint64, one well-mixed number a symbol. Spans of equal content
-    get equal hashes wherever they lie."""
-    up, down = _powers(len(values))
-    sums = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+def span_hashes(values, n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of symbols s to e of n for every span, in ascending order of starts and ends. values(a, b): those symbols as
+    uint64, one well-mixed number a symbol. Spans of equal content get equal hashes wherever they lie; SPAN symbols are in memory."""
+    up, down = _powers()
+    at_start, at_end, back = (np.empty(len(starts), dtype=U64) for _ in range(3))
+    carry = U64(0)
+    for a in range(0, max(n, 1), SPAN):
+        b = min(a + SPAN, n)
+        sums = np.empty(b - a + 1, dtype=U64)
+        sums[0] = 0
+        np.multiply(values(a, b), up[: b - a], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        if a:
+            sums *= U64(pow(_BASE, a, 1 << 64))
+            sums += carry
+        last = b == n
+        i, j = np.searchsorted(starts, [a, b + last])
+        at_start[i:j], back[i:j] = sums[starts[i:j] - a], down[np.minimum(starts[i:j] - a, SPAN - 1)]
+        if a:
+            back[i:j] *= U64(pow(_BASE_INVERSE, a, 1 << 64))
+        i, j = np.searchsorted(ends, [a, b + last])
+        at_end[i:j] = sums[ends[i:j] - a]
+        carry = sums[-1]
+    return mix64((at_end - at_start) * back + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+_ZSTD = "zstd"
+
+
+def packed_counts(x: np.ndarray) -> bytes:
+    """Whole numbers >= 0 in the narrowest width that holds them, compressed; unpacked_counts() gives them back in 64 bits."""
+    top = int(x.max(initial=0))
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<i8") if top <= np.iinfo(k).max)
+    return kind[1:].encode() + len(x).to_bytes(4, "little") + pa.Codec(_ZSTD).compress(np.ascontiguousarray(x, dtype=kind).tobytes(), asbytes=True)
+
+
+def unpacked_counts(b: bytes) -> np.ndarray:
+    kind = f"<{b[:2].decode()}"
+    size = int.from_bytes(b[2:6], "little") * np.dtype(kind).itemsize
+    return np.frombuffer(pa.Codec(_ZSTD).decompress(b[6:], size, asbytes=True), dtype=kind).astype(np.int64)
 
 
 def merge_arrays(rows: DataFrame, how: str) -> dict[int, np.ndarray]:
-    """rows: chunk int, cells binary (int32), many for each chunk. Adds ("sum") or ORs ("or") those of a chunk, in one streaming
-    pass; what reaches the driver has the fixed size of one set of chunks."""
+    """rows: chunk int, cells binary (packed_counts), many for each chunk. Adds ("sum", in 64 bits) or ORs ("or") those of a chunk, in
+    one streaming pass; what reaches the driver has the fixed size of one set of chunks."""
 
     def merged(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for c, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer(), dtype=np.int32)
+                x = unpacked_counts(x.as_buffer().to_pybytes())
                 if c not in held:
-                    held[c] = x.copy()
+                    held[c] = x
                 elif how == "sum":
-                    held[c] = np.minimum(held[c].astype(np.int64) + x, 2**31 - 1).astype(np.int32)
+                    held[c] += x
                 else:
                     held[c] |= x
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(held), pa.int32()), "cells": pa.array([x.tobytes() for x in held.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(held), pa.int32()), "cells": pa.array([packed_counts(x) for x in held.values()], pa.binary())})
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     got = rows.repartition(min(parts, 16), "chunk").mapInArrow(merged, "chunk int, cells binary")
-    return {r[0]: np.frombuffer(r[1], dtype=np.int32) for r in got.collect()}
+    return {r[0]: unpacked_counts(bytes(r[1])) for r in got.collect()}
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df lacks, in any spelling of case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+class Temporaries:
+    """Tables in the shared folder that go when the block ends, well or not: with Temporaries() as t: t.spill(df, "what")."""
+
+    def __enter__(self):
+        self.held: list[DataFrame] = []
+        return self
+
+    def spill(self, df: DataFrame, what: str) -> DataFrame:
+        out = spill(df, what)
+        self.held.append(out)
+        return out
+
+    def __exit__(self, *_):
+        for df in self.held:
+            forget(df)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

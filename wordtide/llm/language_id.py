@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import merge_arrays, slices, utf8_buffers
+from .common import merge_arrays, packed_counts, slices, utf8_buffers
 
 #: Hashed n-grams; n-gram lengths in bytes; labelled documents drawn for each language (in expectation); languages at most, by their
 #: documents; characters taken at once; languages that a document may mix; rounds of expectation-maximisation.
@@ -90,7 +90,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(slots))))
                 held += np.bincount(of[i + doc[word]] * cells + slots, minlength=held.size).reshape(held.shape)
         seen = np.flatnonzero(held.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(seen.astype(np.int32)), "cells": pa.array([np.minimum(held[k], 2**31 - 1).astype(np.int32).tobytes() for k in seen], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(seen.astype(np.int32)), "cells": pa.array([packed_counts(held[k]) for k in seen], pa.binary())})
 
     got = merge_arrays(drawn.select("text", "lang").mapInArrow(count, "chunk int, cells binary"), "sum")
     counts = np.zeros((cells, len(langs)))

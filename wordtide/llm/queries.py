@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_topk import exact_top
 from .language_id import identify
 from .mixing import mix
-from .ngram_join import ngram_components, ngram_link_counts
+from .ngram_join import ngram_link_counts
 from .packing import pack
 from .permutation_index import nearest
 from .token_counts import token_counts
@@ -17,11 +17,6 @@ from .warc import warc_digest
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
-
-
-def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1_ngram_join, whose columns its SQL fixes, with the number of every row's links."""
     return ngram_link_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
 
 
@@ -63,7 +58,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
-    "op1_ngram_links": op1_ngram_links,
     "op2_token_counts": op2_token_counts,
     "op3_warc": op3_warc,
     "op4_permutation_index": op4_permutation_index,
@@ -87,8 +81,8 @@ e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT e2.b, r.c FROM r JOIN e2 ON e2.a = r.v),
 m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v),
 k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) AS class_id FROM (SELECT doc_id, list_sort(list(g)) AS gs FROM s GROUP BY doc_id))
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, coalesce(k.class_id, d.doc_id) AS class_id
-FROM d JOIN m ON m.v = d.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links
+FROM d JOIN m ON m.v = d.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e2 GROUP BY a) l USING (doc_id)
 """,
     "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

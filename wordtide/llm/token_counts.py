@@ -33,7 +33,7 @@ def frequent_lengths(docs: DataFrame, json: str, entries: int = FREQUENT, docume
                 lens = np.fromiter(map(len, texts[i:j]), dtype=np.int64)
                 s = bpe.piece_starts(cp, np.cumsum(lens) - lens, enc.classes)
                 e = np.append(s[1:], len(cp))
-                h = bpe.span_hashes(enc.values[cp], s, e)
+                h = bpe.span_hashes(lambda a, b: enc.values[cp[a:b]], len(cp), s, e)
                 ok = (e - s <= bpe.LONGEST) & (h != 0)
                 u, at, n = np.unique(h[ok], return_index=True, return_counts=True)
                 sizes, _ = enc.merger.merge([whole[x:y].encode() for x, y in zip(s[ok][at].tolist(), e[ok][at].tolist(), strict=True)])
