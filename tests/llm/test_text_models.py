@@ -157,3 +157,56 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     assert ids("ngram_jaccard") == {d for d, (_, c, _) in brute(kept, 5, 80, 100).items() if c == d}
     assert ids("mixing") < ids("ngram_jaccard") and ids("packing") == ids("mixing")
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, at.select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def invented(seed, n):
+    """n languages of their own syllables."""
+    r = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèçñøåþ"
+    return {f"l{k:03d}": ["".join(r.choice(letters) for _ in range(r.randint(2, 4))) for _ in range(12)] for k in range(n)}
+
+
+def speech(r, syllables, n):
+    return " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+def test_every_label_is_learnt(spark):
+    r, langs = random.Random(3), invented(1, 520)
+    rows = [(i, speech(r, s, 60), k) for i, (k, s) in enumerate((k, s) for k, s in langs.items() for _ in range(3))]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    learnt = {x[2] for x in rows if zlib.crc32(str(x[0]).encode()) % 5}
+    assert len(learnt) > 512
+    right = [x["lang_pred"] == rows[x["doc_id"]][2] for x in got if rows[x["doc_id"]][2] in learnt]
+    assert np.mean(right) > 0.97
+
+
+def test_as_many_languages_as_a_text_has(spark):
+    r, langs = random.Random(4), invented(2, 9)
+    rows = [(i, speech(r, s, 80), k) for i, (k, s) in enumerate((k, s) for k, s in langs.items() for _ in range(20))]
+    many = list(langs)[:7]
+    rows.append((10_000, " ".join(speech(r, langs[k], 100 - 5 * i) for i, k in enumerate(many)), None))
+    got = {x["doc_id"]: x for x in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    found = got[10_000]["languages"]
+    assert [x["lang"] for x in found] == many and sum(x["share"] for x in found) == pytest.approx(1, abs=1e-4)
+    assert all(len(x["languages"]) == 1 for k, x in got.items() if k != 10_000)
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    """Parts change nothing but the order of sums; runs of letters beyond the bound are words of that many bytes."""
+    from wordtide.llm import language_id as L
+
+    r, langs = random.Random(5), invented(6, 3)
+    texts = [speech(r, s, 3000) + "x" * 5500 + " " + "é" * 4000 for s in langs.values()]
+    counts = np.zeros((1 << L.SLOTS_BITS, 3)) + 0.1
+    for k, s in enumerate(langs.values()):
+        data, _, a, b, _, word, n = L._counted_words([speech(r, s, 5000)])
+        slots, first = L.word_grams(data, a, b)
+        np.add.at(counts[:, k], slots, np.repeat(n, np.diff(np.append(first, len(slots)))))
+    logp = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    whole = L.mixtures(texts, L.Scores(logp))
+    monkeypatch.setattr(L, "BYTES", 4000)
+    monkeypatch.setattr(L, "MATRIX", 4000)
+    parts = L.mixtures(texts, L.Scores(logp))
+    assert [[k for k, _ in x] for x in whole] == [[k for k, _ in x] for x in parts] and all(len(x) >= 1 for x in whole)
+    for a, b in zip(whole, parts, strict=True):
+        assert [y for _, y in a] == pytest.approx([y for _, y in b], rel=1e-4)
