@@ -34,11 +34,24 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/wordtide/{what}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between Spark and Python workers, and of a row group of an intermediate table: texts are wide rows, and Spark's
+#: defaults (10,000 rows or 64 MB, and 128 MB a writer) are most of an executor's memory at small heaps.
+BATCH_BYTES, ROW_GROUP = 8 << 20, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches in this session, unless the application set a bound itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def spill(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, so lost executors cost a reread."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch(spark, what)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._wordtide_path = path
     return out
@@ -63,6 +76,7 @@ def is_empty(df: DataFrame) -> bool:
 
 def text_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns, under fixed names: other columns are never read, so their names can't clash."""
+    bounded_batches(docs.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 

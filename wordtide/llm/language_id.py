@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import merge_arrays, mix64, packed_counts, slices, span_hashes, utf8_buffers
+from .common import bounded_batches, merge_arrays, mix64, packed_counts, slices, span_hashes, utf8_buffers
 
 #: Hashed n-grams; n-gram lengths in bytes; labelled documents drawn for each language (in expectation); bytes of a word, of which longer
 #: runs are cut into several; bytes of text taken at once (a multiple of that); rounds of expectation-maximisation.
@@ -129,6 +129,7 @@ def held_out(id_col) -> F.Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (slot x language), from labelled documents outside the held-out fifth: all of a language's,
     or of a frequent one a hashed draw of about per_language. Counting is distributed; the driver gets a table of fixed size."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("id")), F.lit(False)))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}

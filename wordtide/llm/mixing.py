@@ -2,7 +2,10 @@
 
 Documents fall into cells of source, language and topic. Token weights of the cells are raked until their marginals meet the targets;
 documents are then sampled with probabilities in proportion to their cell's weight, calibrated so that the expected tokens kept are the
-asked share. A document's draw is a hash of its id, so it is the same wherever and however often it is made."""
+asked share. A document's draw is a hash of its id, so it is the same wherever and however often it is made.
+
+Topics are clusters of hashed term vectors (topics="terms", see topics.py) or forms of text by rule (topics="form"). Tokens and vectors
+of a document are computed once and kept as a table; clusters, raking and the draw read that table."""
 
 from __future__ import annotations
 
@@ -12,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import forget, spill
+from . import topics as T
+from .common import bounded_batches, forget, free_name, spill
 
 #: Cells that are raked on the driver and broadcast (a few MB); more are raked as a table and joined, by the same rules.
 DRIVER_CELLS = 100_000
@@ -99,30 +103,52 @@ def scale_for(tokens: np.ndarray, weight: np.ndarray, keep: float) -> float:
     return _calibrated(lambda s: (tokens * np.minimum(1, s * weight)).sum(), min(keep * tokens.sum(), tokens[weight > 0].sum()))
 
 
-def _counted(docs: DataFrame, id_: Column, source: Column, lang: Column, text: Column, count: str) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens of every row. count: "words" (runs of \\S+) or "bpe" (tokens of the shared encoder, which are
-    counted once and kept as a table)."""
-    topic = topic_of(F.coalesce(text, F.lit(""))).alias("topic")
-    rows = docs.select(id_.cast("long").alias("doc_id"), source.cast("string").alias("source"), lang.cast("string").alias("lang"), topic, (n_words(text) if count == "words" else text).alias("n_tokens"))
-    if count == "words":
-        return rows
-    sent = bpe.shipped(docs.sparkSession)
+def _counted(docs: DataFrame, id_: Column, source: Column, lang: Column, text: Column, count: str, topics: str = "form") -> tuple[DataFrame, T.TopicModel | None]:
+    """doc_id, source, lang, topic, n_tokens of every row, and the model of topics="terms". count: "words" (runs of \\S+) or "bpe" (tokens
+    of the shared encoder, which are counted once and kept as a table)."""
+    bounded_batches(docs.sparkSession)
+    form = topic_of(F.coalesce(text, F.lit(""))) if topics == "form" else F.lit(None).cast("string")
+    n = n_words(text) if count == "words" else F.lit(0).cast("long")
+    rows = docs.select(id_.cast("long").alias("doc_id"), source.cast("string").alias("source"), lang.cast("string").alias("lang"), form.alias("topic"), n.alias("n_tokens"), text.alias("text"))
+    if count == "words" and topics == "form":
+        return rows.drop("text"), None
+    sent = bpe.shipped(docs.sparkSession) if count == "bpe" else None
 
     def tokens(batches):
-        enc = bpe.worker_encoder(sent)
+        enc = bpe.worker_encoder(sent) if sent is not None else None
         for b in batches:
-            texts = bpe.texts_of(b.column(4))
+            texts = bpe.texts_of(b.column(5))
             for i, j in bpe.chunks(texts):
-                n, _ = enc.encode(texts[i:j], with_ids=False)
-                yield b.slice(i, j - i).set_column(4, "n_tokens", pa.array(n.astype(np.int64)))
+                part = b.slice(i, j - i).remove_column(5)
+                if enc is not None:
+                    n, _ = enc.encode(texts[i:j], with_ids=False)
+                    part = part.set_column(4, "n_tokens", pa.array(n.astype(np.int64)))
+                if topics == "terms":
+                    v = [T.term_vectors(texts[i + x : i + x + len(t)]) for x, t in T._batches(b.column(5).slice(i, j - i))]
+                    part = part.append_column("vector", T.packed(np.concatenate(v)))
+                yield part
+
+    schema = "doc_id long, source string, lang string, topic string, n_tokens long"
+    if topics == "form":
+        return spill(rows.mapInArrow(tokens, schema), "mix-counts"), None
+    counted = spill(rows.mapInArrow(tokens, schema + ", vector binary"), "mix-vectors")
+    model = T.fit(counted.select("doc_id", "lang", "vector"))
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    def named(batches):
+        for b in batches:
+            names = told.value.names(T.unpacked(b.column(5), T.DIMENSIONS), b.column(2).to_pylist())
+            yield b.remove_column(5).set_column(3, "topic", pa.array(names, pa.string()))
 
-    return spill(rows.mapInArrow(tokens, "doc_id long, source string, lang string, topic string, n_tokens long"), "mix-counts")
+    out = spill(counted.mapInArrow(named, schema), "mix-counts")
+    forget(counted)
+    return out, model
 
 
 def cell_weights(docs: DataFrame, source: Column, lang: Column, text: Column, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, count: str = "words") -> DataFrame | None:
     """(source, lang, topic, tokens, weight, probability) of every cell; None without tokens. weight: raked over actual tokens. Targets
     of categories that the corpus lacks are left out, and categories without a target, on an axis that has some, get weight 0."""
-    return _weights(_counted(docs, F.lit(None), source, lang, text, count), targets, keep)
+    return _weights(_counted(docs, F.lit(None), source, lang, text, count)[0], targets, keep)
 
 
 def _weights(counted: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float) -> DataFrame | None:
@@ -161,16 +187,16 @@ def _drawn(id_col: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 7, count: str = "words") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 7, count: str = "words", topics: str = "form") -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept for every row of docs.
 
-    count: "words" or "bpe", what tokens are. targets: shares by axis ("source", "lang", "topic") and category; an axis without is the corpus' shares, flattened. A null source or
+    count: "words" or "bpe", what tokens are; topics: "form" or "terms". targets: shares by axis ("source", "lang", "topic") and category; an axis without is the corpus' shares, flattened. A null source or
     language is a category of its own ("\\x00null" in targets); a null or blank text has no tokens, weight and probability 0 if its
-    cell has no tokens at all, and is prose; rows of one id share one draw; an empty table gives an empty result; other columns are not
+    cell has no tokens at all, and is prose ("none" with topics="terms"); rows of one id share one draw; an empty table gives an empty result; other columns are not
     read."""
     c = lambda name: F.col(f"`{name}`")
     text = c(text_col).cast("string")
-    rows = _counted(docs, c(id_col), c(source_col), c(lang_col), text, count)
+    rows, _ = _counted(docs, c(id_col), c(source_col), c(lang_col), text, count, topics)
     cells = _weights(rows, targets, keep)
     if cells is None:
         return rows.select("*", F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"))
@@ -180,13 +206,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(*rows.columns, F.coalesce("weight", F.lit(0.0)).alias("weight"), probability.alias("probability"), (_drawn(F.col("doc_id"), seed) < probability).alias("kept"))
 
 
-def keep_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 7, count: str = "words") -> DataFrame:
-    """The rows of docs that mix() keeps, all columns as they are."""
+def keep_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 7, count: str = "words", topics: str = "form") -> DataFrame:
+    """The rows of docs that mix() keeps, all columns as they are. Nulls, repeated and blank rows as in mix(): rows of one id share a
+    draw; without any token nothing is kept; an empty table gives an empty result."""
     c = lambda name: F.col(f"`{name}`")
-    cells = cell_weights(docs, c(source_col), c(lang_col), c(text_col).cast("string"), targets, keep, count)
+    counted, model = _counted(docs, c(id_col), c(source_col), c(lang_col), c(text_col).cast("string"), count, topics)
+    cells = _weights(counted, targets, keep)
     if cells is None:
         return docs.limit(0)
-    cells = cells.select(F.col("source").alias("_mix_s"), F.col("lang").alias("_mix_l"), F.col("topic").alias("_mix_t"), F.col("probability").alias("_mix_p"))
-    topic = topic_of(F.coalesce(c(text_col).cast("string"), F.lit("")))
-    on = (_axis(c(source_col)) == F.col("_mix_s")) & (_axis(c(lang_col)) == F.col("_mix_l")) & (topic == F.col("_mix_t"))
-    return docs.join(cells, on).where(_drawn(c(id_col).cast("long"), seed) < F.col("_mix_p")).select(*[c(x) for x in docs.columns])
+    s, l, t, p = (free_name(docs, f"_mix_{x}") for x in "sltp")
+    cells = cells.select(F.col("source").alias(s), F.col("lang").alias(l), F.col("topic").alias(t), F.col("probability").alias(p))
+    own = free_name(docs, "_mix_topic")
+    rows = docs.withColumn(own, topic_of(F.coalesce(c(text_col).cast("string"), F.lit("")))) if model is None else T.with_topics(docs, text_col, lang_col, model, own)
+    on = (_axis(c(source_col)) == F.col(s)) & (_axis(c(lang_col)) == F.col(l)) & (F.col(own) == F.col(t))
+    return rows.join(cells, on).where(_drawn(c(id_col).cast("long"), seed) < F.col(p)).select(*[c(x) for x in docs.columns])

@@ -33,7 +33,7 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), count="bpe")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), count="bpe", topics="terms")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
