@@ -26,7 +26,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that expected tokens meet the target marginals."""
-    return keep_mixed(docs, count="bpe")
+    return keep_mixed(docs, count="bpe", topics="terms")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
