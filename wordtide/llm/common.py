@@ -76,7 +76,7 @@ def is_empty(df: DataFrame) -> bool:
 
 def text_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns, under fixed names: other columns are never read, so their names can't clash."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
