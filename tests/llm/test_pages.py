@@ -96,3 +96,25 @@ def test_blocks_spread_over_aliases_and_allows_stop_them(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "block"}
     extra = spark.createDataFrame([("http://h.org/1", "http://bad.net/h")], "from_url string, to_url string")
     assert decide(spark, [(1, "http://h.org/1", None)], redirects=extra)[1][3] == "block"
+
+
+def test_members_of_any_size_without_lengths(tmp_path):
+    """Incompressible payloads whose members end all around the sizes that are read at once."""
+    import random
+
+    from wordtide.llm import warc
+
+    r, records = random.Random(1), []
+    for k, size in enumerate([*range(8_000, 40_000, 1_500), *range(16_200, 16_500, 20), 0, 1, 300_000]):
+        body = r.randbytes(size)
+        records.append((k, body, b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Length: %d\r\n\r\n" % (k, size) + body + b"\r\n\r\n"))
+    out = tmp_path / "others.warc.gz"
+    out.write_bytes(b"".join(gzip.compress(x) for _, _, x in records))
+    for keep in (lambda h: True, lambda h: False, lambda h: h["warc-record-id"].endswith("7>")):
+        got = list(warc._File(str(out)).records(keep))
+        assert [h["warc-record-id"] for h, _ in got] == [f"<urn:x:{k}>" for k, _, _ in records]
+        assert all(c == (b if keep(h) else None) for (h, c), (_, b, _) in zip(got, records, strict=True))
+    for bad in (b"no archive at all", gzip.compress(b"neither this"), gzip.compress(records[0][2])[:5000], b"WARC/1.0\r\nContent-Length: x\r\n\r\n"):
+        out.write_bytes(bad)
+        with pytest.raises(ValueError, match="others.warc.gz"):
+            list(warc._File(str(out)).records(lambda h: True))

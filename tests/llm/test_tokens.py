@@ -170,3 +170,21 @@ def test_phases_cover_every_token():
     streams, begins = phases({"a": 1000, "b": 10, "c": 0, "d": 333}, {"a": 1, "b": 1, "d": 2}, 64)
     assert [sum(p.amounts[k] for p in streams) for k in range(4)] == [1000, 10, 0, 333]
     assert begins[0] == {"a": 0, "b": 0, "c": 0, "d": 0}
+
+
+def test_frequent_table_is_of_the_whole_corpus(spark):
+    from wordtide.llm import token_counts as C
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(1500)] + ["common words here " * 3] * 500
+    docs = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").coalesce(2)
+    json, classes, _ = bpe.parts_to_ship("byte_bpe_50k.json", None)
+    enc = bpe.Encoder(json)
+
+    def hash_of(piece):
+        cp = np.frombuffer(piece.encode("utf-32-le"), dtype=np.uint32)
+        return int(bpe.span_hashes(lambda a, b: enc.values[cp[a:b]], len(cp), np.array([0]), np.array([len(cp)]))[0])
+
+    got = C.frequent_lengths(docs, json, classes, entries=4, kept=50)
+    want = {hash_of(p): len(enc.tok.encode(p, add_special_tokens=False).ids) for p in (" words", " here", " common", "common")}
+    assert {int(k): int(v) for k, v in zip(got["keys"], got["sizes"], strict=True)} == want

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from .common import U64, mix64, span_hashes
 
 LONGEST = 64
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = 0, 1, 2, 3, 9
 NEVER = 2**31 - 1
 #: The basic plane without surrogates, mathematical letters, pictographs.
@@ -135,9 +135,9 @@ def piece_starts(cp: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.n
 
 
 class Encoder:
-    """One for each worker. slots: size of the cache, a power of two; it starts anew when half full, so memory is bounded."""
+    """One for each worker. slots: size of the cache, a power of two (16 bytes each); it starts anew when half full, so memory is bounded."""
 
-    def __init__(self, json: str, classes: np.ndarray | None = None, frequent: dict[str, np.ndarray] | None = None, slots: int = 1 << 22):
+    def __init__(self, json: str, classes: np.ndarray | None = None, frequent: dict[str, np.ndarray] | None = None, slots: int = 1 << 20):
         self.tok = Tokenizer.from_str(json)
         spec = js.loads(json)
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
@@ -292,7 +292,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def chunks(texts: list[str], most: int = 4 << 20):
+def chunks(texts: list[str], most: int = 1 << 20):
     """Ranges of texts with about so many characters."""
     i, held = 0, 0
     for j, t in enumerate(texts):
@@ -310,8 +310,12 @@ _WORKER: dict[tuple, Encoder] = {}
 def shipped(spark, name: str = "byte_bpe_50k.json", path: str | None = None, frequent: dict[str, np.ndarray] | None = None):
     """Broadcast what a worker needs to encode: the tokenizer's file, the class table and, if given, a table of frequent pre-tokens.
     All three have fixed sizes (1.5 MB, 1.1 MB, at most its parameter's entries)."""
+    return spark.sparkContext.broadcast((*parts_to_ship(name, path)[:2], frequent))
+
+
+def parts_to_ship(name: str, path: str | None) -> tuple[str, bytes, None]:
     json = tokenizer_json(name, path)
-    return spark.sparkContext.broadcast((json, Encoder(json, slots=1 << 10).classes.tobytes(), frequent))
+    return json, Encoder(json, slots=1 << 10).classes.tobytes(), None
 
 
 def worker_encoder(sent) -> Encoder:

@@ -55,7 +55,7 @@ class Phase:
             upto = min(w * self.window, self.total)
             got = self._first(upto)
             held = got, np.concatenate([[0], np.cumsum(got)])
-            if len(self.kept) > max(64, 2_000_000 // len(got)):
+            if len(self.kept) > max(64, 400_000 // len(got)):
                 self.kept.clear()
             self.kept[w] = held
         return held

@@ -13,35 +13,53 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import text_table
 
-#: Entries of the broadcast table at most (12 bytes each), and documents whose pre-tokens fill it. The table only warms the
-#: caches: what isn't in it is encoded by the worker, so these bounds change no count.
-FREQUENT, WARM_DOCUMENTS = 1 << 16, 512
+#: Entries of the broadcast table at most (12 bytes each), and heavy hitters that a task keeps. Both bound memory and change no count:
+#: what isn't in the table is encoded by the worker.
+FREQUENT, KEPT = 1 << 16, 1 << 15
 
 
-def frequent_lengths(docs: DataFrame, json: str, entries: int = FREQUENT, documents: int = WARM_DOCUMENTS) -> dict[str, np.ndarray]:
-    """The hash table of tier one: pre-token hashes and lengths, most frequent first, from a bounded number of documents."""
+def frequent_lengths(docs: DataFrame, json: str, classes: bytes, entries: int = FREQUENT, kept: int = KEPT) -> dict[str, np.ndarray]:
+    """The hash table of tier one: hashes and lengths of the pre-tokens that are frequent in all of docs(text).
+
+    Each task counts every pre-token of its texts and keeps the most frequent ones, lossily: when more than 2 x kept are held, the counts
+    of the (kept + 1)-th is taken off all, as in a Misra-Gries summary. Only summaries, of a fixed size, leave a task."""
+    sent = docs.sparkSession.sparkContext.broadcast((json, classes, None))
 
     def pieces(batches):
-        enc = bpe.Encoder(json)
-        for b in batches:
-            texts = [t for t in bpe.texts_of(b.column(0)) if t and enc.fast]
+        enc = bpe.worker_encoder(sent)
+        keys, counts, sizes = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        for b in batches if enc.fast else ():
+            texts = [p for t in bpe.texts_of(b.column(0)) if t for p in bpe.parts_of(t)]
             for i, j in bpe.chunks(texts):
                 whole = "".join(texts[i:j])
                 cp = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
-                if (enc.classes[cp] == bpe.UNKNOWN).any():
+                if (enc.classes[cp] == bpe.UNKNOWN).any():  # those go to the library in any case
                     continue
                 lens = np.fromiter(map(len, texts[i:j]), dtype=np.int64)
                 s = bpe.piece_starts(cp, np.cumsum(lens) - lens, enc.classes)
                 e = np.append(s[1:], len(cp))
-                h = bpe.span_hashes(lambda a, b: enc.values[cp[a:b]], len(cp), s, e)
-                ok = (e - s <= bpe.LONGEST) & (h != 0)
+                h = bpe.span_hashes(lambda a, b, cp=cp: enc.values[cp[a:b]], len(cp), s, e)
+                ok = np.flatnonzero((e - s <= bpe.LONGEST) & (h != 0))
                 u, at, n = np.unique(h[ok], return_index=True, return_counts=True)
-                sizes, _ = enc.merger.merge([whole[x:y].encode() for x, y in zip(s[ok][at].tolist(), e[ok][at].tolist(), strict=True)])
-                yield pa.RecordBatch.from_pydict({"h": pa.array(u.view(np.int64)), "size": pa.array(sizes.astype(np.int32)), "n": pa.array(n)})
-
-    rows = docs.select("text").limit(documents).mapInArrow(pieces, "h long, size int, n long")
-    top = rows.groupBy("h", "size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(entries).toPandas()
-    return {"keys": top["h"].to_numpy(np.int64).view(np.uint64), "sizes": top["size"].to_numpy(np.int32), "ids": np.zeros(0, dtype=np.int32)}
+                at = ok[at]
+                place = np.searchsorted(keys, u)
+                old = keys[np.minimum(place, len(keys) - 1)] == u if len(keys) else np.zeros(len(u), dtype=bool)
+                counts[place[old]] += n[old]
+                new = np.flatnonzero(~old)
+                length, _ = enc.merger.merge([whole[x:y].encode() for x, y in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
+                keys, counts, sizes = (np.insert(x, place[new], y) for x, y in ((keys, u[new]), (counts, n[new]), (sizes, length.astype(np.int32))))
+                if len(keys) > 2 * kept:
+                    counts = counts - np.partition(counts, len(counts) - kept - 1)[len(counts) - kept - 1]
+                    live = counts > 0
+                    keys, counts, sizes = keys[live], counts[live], sizes[live]
+        if len(keys):
+            top = np.sort(np.lexsort((keys, -counts))[:kept])
+            yield pa.RecordBatch.from_pydict({"h": pa.array(keys[top].view(np.int64)), "size": pa.array(sizes[top]), "n": pa.array(counts[top])})
+
+    rows = docs.select("text").mapInArrow(pieces, "h long, size int, n long")
+    top = rows.groupBy("h", "size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(entries).collect()
+    cut = lambda k, kind: np.array([r[k] for r in top], dtype=kind)
+    return {"keys": cut(0, np.int64).view(np.uint64), "sizes": cut(1, np.int32), "ids": np.zeros(0, dtype=np.int32)}
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k.json", path: str | None = None, limit: int = 512) -> DataFrame:
@@ -53,7 +71,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = text_table(docs, id_col, text_col)
     if path is None and name.endswith(".model"):
         return _by_sentencepiece(rows, name, limit)
-    sent = bpe.shipped(spark, name, path, frequent_lengths(rows, bpe.tokenizer_json(name, path)))
+    json, classes, _ = bpe.parts_to_ship(name, path)
+    sent = spark.sparkContext.broadcast((json, classes, frequent_lengths(rows, json, classes)))
 
     def count(batches):
         enc = bpe.worker_encoder(sent)

@@ -8,7 +8,6 @@ field, and plain ones, are read too. The source plans one partition a file and t
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import uuid
 import zlib
@@ -60,7 +59,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """One record a row of pages, payload the html in UTF-8 (null: empty); returns the manifest (part, uri, records).
 
     Of records with equal payloads of at least LEAST_SHARED bytes, those of the smallest page_id are responses and the others revisit
-    it. File names come from the partition and files appear whole, so a task that runs again replaces its own file."""
+    it. Every attempt of a task writes files of its own name, and the manifest lists those of attempts that ended well, so a half-written
+    file is never read, on any store. A null url gives a record without one; a null page_id a random record id; repeated rows are records
+    each on its own; an empty table gives an empty manifest; other columns are not read."""
     make_folder(folder)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     digest = F.sha2(F.col("html").cast("binary"), 256)
@@ -72,12 +73,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     def write(batches):
         part, n, out = TaskContext.get().partitionId(), 0, None
-        uri = f"{folder}/part-{part:06d}.warc.gz"
-        local = uri.removeprefix("file://") if uri.startswith(("/", "file:")) else None
+        uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.warc.gz"
         for b in batches:
             for digest, page, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
-                    out = open_write(f"{local}.{uuid.uuid4().hex}.tmp" if local else uri)
+                    out = open_write(uri)
                     info = member(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:%s>\r\nWARC-Date: %s\r\nContent-Type: application/warc-fields\r\nContent-Length: 20\r\n\r\nformat: WARC File1.1\r\n\r\n" % (str(uuid.uuid4()).encode(), DATE.encode()), level)
                     out.write(info)
                 revisit = first is not None and (page is None or page > first)
@@ -85,8 +85,6 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 n += 1
         if out is not None:
             out.close()
-            if local:
-                os.replace(out.name, local)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part]), "uri": pa.array([uri]), "records": pa.array([n])})
 
     return spill(rows.select("digest", "page_id", "url", "html", "first").mapInArrow(write, "part long, uri string, records long"), "warc-manifest")
@@ -114,9 +112,11 @@ class _File:
             if not head.strip():
                 return
             lead = len(head) - len(head.lstrip(b"\r\n"))
-            end = head.index(b"\r\n\r\n", lead) + 4
-            headers = _parse(head[lead:end])
-            size = int(headers.get("content-length", 0))
+            while b"\r\n\r\n" not in head[lead:] and (more := self.f.read(HEAD)):
+                head += more
+            headers, end = self._head(head[lead:], at)
+            end += lead
+            size = int(headers["content-length"])
             content = None
             if wanted(headers):
                 self.f.seek(at + end)
@@ -126,21 +126,34 @@ class _File:
             yield headers, content
             at += end + size + 4
 
+    def _head(self, data: bytes, at: int) -> tuple[dict[str, str], int]:
+        """Headers and their size; an error that names the place where there is no record."""
+        cut = data.find(b"\r\n\r\n") + 4
+        headers = _parse(data[:cut])
+        size = headers.setdefault("content-length", "0")
+        if cut < 4 or not headers["version"].startswith("WARC/") or not size.isdigit():
+            raise ValueError(f"{self.uri} has no record at byte {at}")
+        return headers, cut
+
     def _members(self, wanted):
         at, end = 0, self.f.seek(0, 2)
         while at < end:
             self.f.seek(at)
             raw = self.f.read(HEAD)
+            if raw[:3] != b"\x1f\x8b\x08":
+                raise ValueError(f"{self.uri} has no record at byte {at}")
             start, size = _gzip_start(raw)
-            inflate, got, used = zlib.decompressobj(-15), b"", start
-            feed = raw[start:]
+            inflate, got = zlib.decompressobj(-15), b""
+            feed, fed = raw[start:], len(raw) - start  # fed: bytes of deflated data read so far
             while b"\r\n\r\n" not in got and not inflate.eof:
                 got += inflate.decompress(feed, HEAD)
-                feed = inflate.unconsumed_tail or self.f.read(HEAD)
+                feed = inflate.unconsumed_tail
                 if not feed and not inflate.eof:
-                    raise ValueError(f"{self.uri} ends within a record")
-            cut = got.index(b"\r\n\r\n") + 4
-            headers = _parse(got[:cut])
+                    feed = self.f.read(HEAD)
+                    fed += len(feed)
+                    if not feed:
+                        raise ValueError(f"{self.uri} ends within the record at byte {at}")
+            headers, cut = self._head(got, at)
             if not wanted(headers) and size:
                 self.skipped += 1
                 yield headers, None
@@ -149,15 +162,17 @@ class _File:
             parts = [got]
             while not inflate.eof:
                 parts.append(inflate.decompress(feed))
-                if not inflate.eof and not (feed := self.f.read(1 << 18)):
-                    raise ValueError(f"{self.uri} ends within a record")
+                if not inflate.eof:
+                    feed = self.f.read(1 << 18)
+                    fed += len(feed)
+                    if not feed:
+                        raise ValueError(f"{self.uri} ends within the record at byte {at}")
             content = b"".join(parts)[cut:]
             yield headers, content[: int(headers.get("content-length", 0))] if wanted(headers) else None
             if size:
                 at += size
-            else:  # where the member ends is known from what the inflater left
-                self.f.seek(0, 1)
-                at = self.f.tell() - len(inflate.unused_data) - (len(feed) if not parts[1:] and feed and inflate.unused_data == b"" else 0) + 8
+            else:  # behind what the inflater took, and the checksum and length
+                at += start + fed - len(inflate.unused_data) + 8
 
 
 def _gzip_start(raw: bytes) -> tuple[int, int]:
@@ -208,6 +223,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
+        if "files" in self.options:
+            return [WarcPartition(u) for u in self.options["files"].split("\n") if u]
         return [WarcPartition(u) for u in list_files(self.options["path"], self.options.get("suffix", ""))]
 
     def wanted(self, headers: dict[str, str]) -> bool:
@@ -254,10 +271,15 @@ class WarcSource(DataSource):
         return WarcReader(self.options, schema)
 
 
-def read_warc(spark: SparkSession, path: str, payload: str = "full", suffix: str = "") -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: str = "full", suffix: str = "", manifest: DataFrame | None = None) -> DataFrame:
+    """The records of a file or of all files of a folder, of one file each task; with a manifest of write_warc, of the files that it lists.
+    What is no record is an error that names the file and the byte. Absent headers are null; a folder without files is empty."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", payload).option("suffix", suffix).load(path)
+    reader = spark.read.format("warc").option("payload", payload).option("suffix", suffix)
+    if manifest is not None:  # a row a file; the list is read where partitions are planned
+        reader = reader.option("files", "\n".join(sorted(r[0] for r in manifest.select("uri").collect())))
+    return reader.load(path)
 
 
 def warc_digest(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
@@ -267,8 +289,8 @@ def warc_digest(pages: DataFrame, folder: str | None = None, **options) -> DataF
     comes back as null; repeated rows are records each on its own; an empty table gives an empty result; other columns are not read."""
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
-    write_warc(pages, folder, **options)
-    records = read_warc(spark, folder, payload="digest", suffix=".warc.gz").where(F.col("record_type").isin("response", "revisit"))
+    manifest = write_warc(pages, folder, **options)
+    records = read_warc(spark, folder, payload="digest", manifest=manifest).where(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1)
     number_or_null = lambda c: F.when(number(c) != "", number(c).cast("long"))
     rows = spill(records.select(number_or_null("record_id").alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", number_or_null("refers_to").alias("refers_to")), "warc-read")
