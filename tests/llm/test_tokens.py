@@ -176,7 +176,7 @@ def test_frequent_table_is_of_the_whole_corpus(spark):
     from wordtide.llm import token_counts as C
 
     r = random.Random(2)
-    texts = ["".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(1500)] + ["common words here " * 3] * 500
+    texts = ["".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(1500)] + [("common words here " * 3).strip()] * 500
     docs = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").coalesce(2)
     json, classes, _ = bpe.parts_to_ship("byte_bpe_50k.json", None)
     enc = bpe.Encoder(json)
