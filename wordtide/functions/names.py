@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,31 +9,45 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0
 
 
-def exact_key(name: str) -> str:
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", name).casefold()).strip()
+def _squeezed(s: pd.Series) -> pd.Series:
+    """Compatibility form in folded case, blanks squeezed."""
+    return s.str.normalize("NFKC").str.casefold().str.replace(r"\s+", " ", regex=True).str.strip()
 
 
-def plain_key(name: str) -> str:
-    """Without case, accents and punctuation; & is "and"."""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", name.casefold()) if not unicodedata.combining(c))
-    return "".join(c for c in bare.replace("&", "and") if c.isalnum())
+def _letters(s: pd.Series) -> pd.Series:
+    """Letters and digits of the folded, decomposed name: accents and punctuation go, an ampersand is a word."""
+    return s.str.casefold().str.normalize("NFKD").str.replace("&", "and", regex=False).str.replace(r"[\W_]+", "", regex=True)
 
 
-def dollar_key(name: str) -> str:
-    return plain_key(name.replace("$", "s"))
+def _letters_of_dollars(s: pd.Series) -> pd.Series:
+    return _letters(s.str.replace("$", "s", regex=False))
 
 
-def _udf(f):
+KEYS = {"exact": _squeezed, "plain": _letters, "dollar": _letters_of_dollars}
+
+
+def keyed(name: Column, kind: str) -> Column:
+    """A key that spellings of one name share, by kind: "exact" (case, width and blanks folded), "plain" (letters and digits only) or
+    "dollar" (plain, with $ for s). Unicode folding has no native expression, so a batch of names goes through vectorised string methods."""
+    fold = KEYS[kind]
+
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(x))
+        return fold(s)
 
-    return run
+    return run(name)
 
 
-def keyed(name: Column, kind: str) -> Column:
-    """exact, plain or dollar key: Unicode folding, which has no native expression."""
-    return _udf({"exact": exact_key, "plain": plain_key, "dollar": dollar_key}[kind])(name)
+def exact_key(name: str) -> str:
+    return _squeezed(pd.Series([name], dtype=object))[0]
+
+
+def plain_key(name: str) -> str:
+    return _letters(pd.Series([name], dtype=object))[0]
+
+
+def dollar_key(name: str) -> str:
+    return _letters_of_dollars(pd.Series([name], dtype=object))[0]
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

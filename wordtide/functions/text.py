@@ -41,6 +41,26 @@ def wrap_phrase(pattern: str) -> str:
     return ascii_edges(rf"\b(?:{body})" + ("" if body.endswith(("!", "$")) else r"\b"))
 
 
+def any_phrase(patterns: list[str]) -> str:
+    """One pattern for what wrap_phrase() finds of any of the phrases, in their order. Phrases that begin and end with a plain word
+    character share one look behind and have a short look ahead; the others keep edges of their own."""
+    inner, outer = [], []
+    for p in patterns:
+        body = p.replace(" ", r"\s+")
+        starts = re.match(r"[0-9A-Za-z_](?![?*{])", body) and "|" not in re.sub(r"\(.*?\)|\[.*?\]", "", body)
+        ends = re.search(r"(?<!\\)[0-9A-Za-z_]\Z", body)
+        if not starts:
+            outer.append(f"(?:{wrap_phrase(p)})")
+        elif ends:
+            inner.append(f"{body}(?![0-9A-Za-z_])")
+        else:
+            inner.append(f"(?:{body})" + ("" if body.endswith(("!", "$")) else EDGE))
+    # A group keeps the order of its phrases only among themselves; with both kinds, all keep edges of their own.
+    if outer:
+        return "|".join(f"(?:{wrap_phrase(p)})" for p in patterns)
+    return rf"(?<![0-9A-Za-z_])(?:{ascii_edges('|'.join(inner))})"
+
+
 def windows(toks: Column, index: Column, width: int) -> Column:
     """Tokens from width before to width behind a 0-based index, clipped at the ends."""
     lo, hi = F.greatest(index - width, F.lit(0)), F.least(index + width, F.size(toks) - 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_edges, tokens, windows
@@ -69,9 +70,24 @@ def log_odds(counts: DataFrame, strength: float, keys: list[str], group: str, le
     trials = trials.join(whole, keys) if keys else trials.crossJoin(F.broadcast(whole))
     df = counts.where(F.col("y") >= least).join(item_total, [*keys, "item"])
     df = df.join(all_total, keys) if keys else df.crossJoin(F.broadcast(all_total))
-    df = df.join(F.broadcast(trials.select(*keys, group, F.col("n").cast("double").alias("n1"), (F.col("n_all") - F.col("n")).cast("double").alias("n2"))), [*keys, group])
+    df = df.join(trials.select(*keys, group, F.col("n").cast("double").alias("n1"), (F.col("n_all") - F.col("n")).cast("double").alias("n2")), [*keys, group])
     y1, y2 = F.col("y").cast("double"), (F.col("total") - F.col("y")).cast("double")
     a, k = F.col("total").cast("double") / F.col("a0") * strength, F.lit(float(strength))
     d = F.ln((y1 + a) / (F.col("n1") + k - y1 - a)) - F.ln((y2 + a) / (F.col("n2") + k - y2 - a))
     z = d / F.sqrt(F.lit(1.0) / (y1 + a) + F.lit(1.0) / (y2 + a))
     return df.select(*keys, group, "item", F.col("y").alias("y1"), (F.col("total") - F.col("y")).alias("y2"), "n1", "n2", z.alias("z"))
+
+
+def top_ranked(scored: DataFrame, keys: list[str], k: int = 14, score: str = "z") -> DataFrame:
+    """keys, rank and the columns of scored(keys, item, n, score): each group's k highest by (score, item, n), all falling, so a tie goes to
+    the item that sorts last."""
+    order = W.partitionBy(*keys).orderBy(F.desc(score), F.desc("item"), F.desc("n"))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def senses_by_era(classified: DataFrame, eras: list[tuple[str, int, int]]) -> DataFrame:
+    """target, era, sense, n; zeros for senses that an era lacks."""
+    n = with_era(classified, eras).groupBy("target", "era", "sense").agg(F.count("*").alias("n"))
+    listed = F.explode(F.array(*[F.lit(e) for e, _, _ in eras]))
+    dense = n.select("target", "sense").distinct().withColumn("era", listed)
+    return dense.join(n, ["target", "era", "sense"], "left").fillna({"n": 0}).select("target", "era", "sense", "n")

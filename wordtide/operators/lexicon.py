@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import wrap_phrase
+from ..functions.text import any_phrase, wrap_phrase
 
 SCHEMA = "id string, label string, cat string, gloss string, tokens array<string>, phrases array<string>, poly boolean, region string"
 
@@ -17,29 +18,60 @@ def lexicon(spark: SparkSession, terms: Iterable[dict]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def match_tokens(records: DataFrame, lex: DataFrame) -> DataFrame:
-    """record, term: a spelling may belong to several terms, and a term counts once a record."""
-    spellings = lex.select(F.col("id").alias("term"), F.explode("tokens").alias("word")).distinct()
-    words = records.select("record", F.explode("words").alias("word"))
-    return words.join(F.broadcast(spellings), "word").select("record", "term").distinct()  # a lexicon is curated by hand
+def _token_terms(lex: DataFrame) -> Column | None:
+    """Terms of a record's words, as an array that may repeat itself. A lexicon is curated by hand, so its spellings go into the plan."""
+    terms: dict[str, list[str]] = {}
+    for r in lex.select("id", "tokens").orderBy("id").toLocalIterator():
+        for w in r["tokens"]:
+            if r["id"] not in terms.setdefault(w, []):
+                terms[w].append(r["id"])
+    if not terms:
+        return None
+    of = F.create_map(*[x for w in sorted(terms) for x in (F.lit(w), F.array(*map(F.lit, terms[w])))])
+    return F.flatten(F.transform(F.array_intersect("words", F.array(*map(F.lit, sorted(terms)))), lambda w: F.element_at(of, w)))
 
 
-def match_phrases(records: DataFrame, lex: DataFrame, text: str = "text") -> DataFrame:
-    """record, term: one pass with all phrases as one alternation; then each distinct matched string is looked up in the phrases of
-    every term, so that a string may yield several terms."""
-    phrases = [(r["id"], wrap_phrase(p)) for r in lex.select("id", "phrases").orderBy("id").toLocalIterator() for p in r["phrases"]]
+def _phrase_terms(lex: DataFrame, text: str) -> Column | None:
+    """Terms of the phrases in a text: one pass with all phrases as one alternation; then each distinct string that it found is held
+    against the phrases of every term, so that a string may yield several terms."""
+    phrases = [(r["id"], p) for r in lex.select("id", "phrases").orderBy("id").toLocalIterator() for p in r["phrases"]]
     if not phrases:
+        return None
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(any_phrase([p for _, p in phrases])), F.lit(0)))
+    terms = lambda m: F.array(*[F.when(m.rlike(wrap_phrase(p)), F.lit(t)) for t, p in phrases])
+    return F.array_compact(F.flatten(F.transform(found, terms)))
+
+
+def _matched(records: DataFrame, *terms: Column | None) -> DataFrame:
+    own = [t for t in terms if t is not None]
+    if not own:
         return records.select("record", F.lit(None).cast("string").alias("term")).limit(0)
-    every = "|".join(f"(?:{p})" for _, p in phrases)
-    found = records.where(F.col(text).rlike(every)).select("record", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(every), F.lit(0)))).alias("m"))
-    terms = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("m").rlike(p), F.lit(t)) for t, p in phrases])))
-    strings = found.select("m").distinct().select("m", F.explode(terms).alias("term"))
-    return found.join(strings, "m").select("record", "term").distinct()
+    return records.select("record", F.explode(F.array_distinct(F.concat(*own))).alias("term"))
+
+
+def match_tokens(records: DataFrame, lex: DataFrame) -> DataFrame:
+    """record, term: a spelling may belong to several terms, and a term counts once a record. records: one row each; no shuffle."""
+    return _matched(records, _token_terms(lex))
+
+
+def match_phrases(records: DataFrame, lex: DataFrame, text: str = "text") -> DataFrame:
+    """record, term, as match_tokens() does. No shuffle."""
+    return _matched(records, _phrase_terms(lex, text))
 
 
 def match(records: DataFrame, lex: DataFrame, text: str = "text") -> DataFrame:
-    """record, term by either route."""
-    return match_tokens(records, lex).union(match_phrases(records, lex, text)).distinct()
+    """record, term by either route: one pass over the records, without a shuffle."""
+    return _matched(records, _token_terms(lex), _phrase_terms(lex, text))
+
+
+def unmapped(records: DataFrame, lex: DataFrame, text: str = "text") -> DataFrame:
+    """m, records: strings that the phrases find together but that no single phrase matches, to be warned about."""
+    phrases = [p for r in lex.select("phrases").toLocalIterator() for p in r["phrases"]]
+    if not phrases:
+        return records.select(F.lit("").alias("m"), F.lit(0).cast("long").alias("records")).limit(0)
+    found = records.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(any_phrase(phrases)), F.lit(0)))).alias("m"))
+    known = reduce(Column.__or__, [F.col("m").rlike(wrap_phrase(p)) for p in phrases])
+    return found.where(~known).groupBy("m").agg(F.count("*").alias("records"))
 
 
 def term_uses(matched: DataFrame, records: DataFrame) -> DataFrame:

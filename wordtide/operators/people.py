@@ -57,7 +57,7 @@ def early_adopters(uses: DataFrame, attrs: DataFrame, life: DataFrame, k: int =
     """item, rank, entity, name, year, n: notable entities whose uses begin in the run up to take-off and that came back to the item;
     items with an older meaning (poly) get a narrower run and need more uses."""
     pick = lambda pair: F.when(F.col("poly"), pair[1]).otherwise(pair[0])
-    run = uses.join(F.broadcast(life.where("takeoff is not null")), "item").join(attrs.where("notable").select("entity", "name"), "entity")
+    run = uses.join(life.where("takeoff is not null"), "item").join(attrs.where("notable").select("entity", "name"), "entity")
     lo = F.coalesce("emerged", "takeoff") - pick(lookback)
     run = run.where((F.col("year") >= lo) & (F.col("year") <= F.col("takeoff") + after))
     per = run.groupBy("item", "entity", "name", "takeoff", "poly").agg(F.count("*").alias("n"), F.min(F.struct("year", "record", "title")).alias("f"))
@@ -69,7 +69,7 @@ def early_adopters(uses: DataFrame, attrs: DataFrame, life: DataFrame, k: int =
 def popularizers(uses: DataFrame, attrs: DataFrame, life: DataFrame, k: int = 5, around: tuple[int, int] = (-2, 1), catalogue: int = 25) -> DataFrame:
     """item, rank, entity, name, year, n, score: those who drove it around take-off: log1p(sitelinks, at least 1) x uses."""
     who = attrs.where(F.col("notable") & (F.col("records") >= catalogue)).select("entity", "name", "sitelinks")
-    w = uses.join(F.broadcast(life.where("takeoff is not null").select("item", "takeoff")), "item").where(F.col("year").between(F.col("takeoff") + around[0], F.col("takeoff") + around[1]))
+    w = uses.join(life.where("takeoff is not null").select("item", "takeoff"), "item").where(F.col("year").between(F.col("takeoff") + around[0], F.col("takeoff") + around[1]))
     per = _per_entity(w).join(who, "entity").withColumn("score", F.log1p(F.greatest("sitelinks", F.lit(1)).cast("double")) * F.col("n"))
     return _ranked(per, [F.desc("score"), F.asc("entity")], k).select("item", "rank", "entity", "name", "year", "title", "n", "score")
 

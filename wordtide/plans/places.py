@@ -140,3 +140,48 @@ ORIGINS = [("i1", "x1", "South", "Atl", "formation+refined"), ("i2", "x3", "East
 @query(f"SELECT * FROM ({_sql_rows(ORIGINS)}) t(item, place, region, scene, source)")
 def origin_priority(spark, d):
     return origins(spark)
+
+
+TRIPLES = [
+    ("rapper", "sub", "musician"), ("mc", "sub", "rapper"), ("beatboxer", "sub", "mc"), ("trap", "sub", "rap"), ("drill", "sub", "trap"), ("duo", "sub", "group"), ("loop1", "sub", "loop2"), ("loop2", "sub", "loop1"),
+    ("i1", "occ", "beatboxer"), ("i1", "is", "human"), ("i1", "sitelinks", "7"), ("i1", "sitelinks", "12"), ("i1", "born", "1987-00-00"), ("i1", "born", "1985-03-01"), ("i1", "genre", "drill"), ("i1", "genre", "drill"),
+    ("i2", "occ", "musician"), ("i2", "is", "human"), ("i2", "genre", "rap"), ("i2", "sitelinks", "none"), ("i3", "genre", "trap"), ("i3", "is", "duo"), ("i3", "born", "soon"),
+    ("i4", "occ", "mc"), ("i4", "is", "place"), ("i5", "occ", "dj"), ("i5", "is", "human"), ("i5", "sitelinks", "3"), ("i5", "genre", "loop1"),
+]
+TRIPLE_SQL = "tr(item, property, value) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in TRIPLES) + ")"
+
+
+def triples(spark):
+    return spark.createDataFrame(TRIPLES, "item string, property string, value string")
+
+
+@query(
+    f"""WITH RECURSIVE {TRIPLE_SQL}, below(root, class) AS (SELECT * FROM (VALUES ('rapper', 'rapper'), ('rap', 'rap'), ('human', 'human'), ('group', 'group')) UNION SELECT root, item FROM below JOIN tr ON value = class AND property = 'sub'),
+    right_kind AS (SELECT DISTINCT item FROM tr WHERE property = 'is' AND value IN (SELECT class FROM below WHERE root IN ('human', 'group')))
+    SELECT DISTINCT item, property AS route FROM tr WHERE item IN (SELECT item FROM right_kind)
+      AND ((property = 'occ' AND (value = 'dj' OR value IN (SELECT class FROM below WHERE root = 'rapper'))) OR (property = 'genre' AND value IN (SELECT class FROM below WHERE root = 'rap')))"""
+)
+def discover_items(spark, d):
+    from ..operators.items import discover
+
+    return discover(triples(spark), [("occ", ["rapper"], ["dj"]), ("genre", ["rap"], [])], "sub", "is", ["human", "group"])
+
+
+@query(
+    f"""WITH {TRIPLE_SQL} SELECT item, coalesce(array_to_string(list_sort(list_distinct(list(value) FILTER (property = 'genre'))), ';'), '') AS genres, coalesce(max(try_cast(value AS BIGINT)) FILTER (property = 'sitelinks'), 0) AS sitelinks,
+    min(CASE WHEN property = 'born' AND regexp_matches(value, '^-?[0-9]{{1,4}}-') THEN CAST(regexp_extract(value, '^(-?[0-9]{{1,4}})-', 1) AS BIGINT) END) AS born FROM tr WHERE item LIKE 'i%' GROUP BY item"""
+)
+def item_attributes(spark, d):
+    from ..operators.items import fold
+
+    out = fold(triples(spark).where("item like 'i%'"), ["genre"], [], {"sitelinks": "sitelinks"}, {"born": "born"})
+    return out.select("item", F.array_join("genre", ";").alias("genres"), "sitelinks", F.col("born").cast("long").alias("born"))
+
+
+@query("SELECT * FROM (VALUES ('A', 'West', 'Bay', true), ('B', 'West', NULL, true), ('C', 'South', NULL, false), ('D', NULL, NULL, false), ('E', 'East', 'Metro', false)) t(name, region, scene, ok)")
+def spot_check(spark, d):
+    from ..operators.items import spot_check
+
+    got = spark.createDataFrame([("A", "West", "Bay"), ("B", "West", None), ("C", "South", None), ("E", "East", "Metro"), ("Z", "East", None)], "name string, region string, scene string")
+    want = spark.createDataFrame([("A", "West", ["Bay"]), ("B", "West", ["Bay", None]), ("C", "South", ["Delta"]), ("D", "East", [None]), ("E", "East", ["Thames"])], "name string, region string, scenes array<string>")
+    return spot_check(got, want)

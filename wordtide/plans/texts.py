@@ -196,6 +196,29 @@ def collocates_dirichlet(spark, d):
     return rounded(K.log_odds(y, 500.0, ["target"], "era", 15).select("target", "era", "item", F.col("y1").alias("n"), "z"), "z", digits=3)
 
 
+@query(
+    f"""WITH {RECT}, {KWIC}, c AS (SELECT target, CASE WHEN year <= 2004 THEN 'early' ELSE 'late' END AS era, record, pos, unnest(list_distinct(win)) AS item FROM occ),
+    f AS (SELECT * FROM c WHERE length(item) > 1 AND NOT regexp_full_match(item, '[0-9]+') AND NOT regexp_full_match(item, 'e[nr]') AND (target, item) NOT IN (SELECT target, form FROM form) AND item NOT IN ('of', 'and', 'in', 'is', 'der', 'die')),
+    y AS (SELECT target, era, item, count(*) AS y FROM f GROUP BY ALL), n AS (SELECT target, era, sum(y) AS n FROM y GROUP BY ALL), a0 AS (SELECT target, CAST(sum(y) AS DOUBLE) AS a0 FROM y GROUP BY ALL),
+    t AS (SELECT target, item, sum(y) AS tot FROM y GROUP BY ALL),
+    s AS (SELECT y.target, y.era, y.item, CAST(y.y AS DOUBLE) AS y1, CAST(tot - y.y AS DOUBLE) AS y2, CAST(n AS DOUBLE) AS n1, a0 - n AS n2, tot / a0 * 500 AS a FROM y JOIN n USING (target, era) JOIN a0 USING (target) JOIN t USING (target, item) WHERE y.y >= 15),
+    z AS (SELECT *, (ln((y1 + a) / (n1 + 500 - y1 - a)) - ln((y2 + a) / (n2 + 500 - y2 - a))) / sqrt(1 / (y1 + a) + 1 / (y2 + a)) AS z FROM s)
+    SELECT target, era, rank, item, n, z FROM (SELECT target, era, item, CAST(y1 AS BIGINT) AS n, round(z, 3) AS z, row_number() OVER (PARTITION BY target, era ORDER BY round(z, 3) DESC, item DESC, y1 DESC) AS rank FROM z) WHERE rank <= 14"""
+)
+def collocates_top(spark, d):
+    y = contexts(spark, d).groupBy("target", "era", "item").agg(F.count("*").alias("y"))
+    scored = rounded(K.log_odds(y, 500.0, ["target"], "era", 15).select("target", "era", "item", F.col("y1").alias("n"), "z"), "z", digits=3)
+    return longs(K.top_ranked(scored, ["target", "era"], 14), "rank").select("target", "era", "rank", "item", "n", "z")
+
+
+@query(
+    f"""WITH {RECT}, {KWIC}, n AS (SELECT target, CASE WHEN year <= 2004 THEN 'early' ELSE 'late' END AS era, sense, count(*) AS n FROM cls GROUP BY ALL)
+    SELECT target, era, sense, coalesce(n, 0) AS n FROM (SELECT DISTINCT target, sense FROM n) CROSS JOIN (VALUES ('early'), ('late')) e(era) LEFT JOIN n USING (target, era, sense)"""
+)
+def sense_by_era(spark, d):
+    return K.senses_by_era(occurrences(spark, d), ERAS)
+
+
 @query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ') NOT LIKE '%zzz%' AS kept, NOT regexp_matches(substr(text, 1, 40), '(^(The )?In\\b)|(\\bin$)') AS not_account FROM documents".replace("\\\\", "\\"))
 def account_filter(spark, d):
     t = table(spark, d, "documents")
