@@ -27,7 +27,7 @@ def frequent_lengths(docs: DataFrame, json: str, classes: bytes, entries: int =
 
     def pieces(batches):
         enc = bpe.worker_encoder(sent)
-        keys, counts, sizes = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        keys, counts, names = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object)
         for b in batches if enc.fast else ():
             texts = [p for t in bpe.texts_of(b.column(0)) if t for p in bpe.parts_of(t)]
             for i, j in bpe.chunks(texts):
@@ -46,15 +46,16 @@ def frequent_lengths(docs: DataFrame, json: str, classes: bytes, entries: int =
                 old = keys[np.minimum(place, len(keys) - 1)] == u if len(keys) else np.zeros(len(u), dtype=bool)
                 counts[place[old]] += n[old]
                 new = np.flatnonzero(~old)
-                length, _ = enc.merger.merge([whole[x:y].encode() for x, y in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
-                keys, counts, sizes = (np.insert(x, place[new], y) for x, y in ((keys, u[new]), (counts, n[new]), (sizes, length.astype(np.int32))))
+                own = np.array([whole[x:y] for x, y in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)] + [None], dtype=object)[:-1]
+                keys, counts, names = (np.insert(x, place[new], y) for x, y in ((keys, u[new]), (counts, n[new]), (names, own)))
                 if len(keys) > 2 * kept:
                     counts = counts - np.partition(counts, len(counts) - kept - 1)[len(counts) - kept - 1]
                     live = counts > 0
-                    keys, counts, sizes = keys[live], counts[live], sizes[live]
+                    keys, counts, names = keys[live], counts[live], names[live]
         if len(keys):
             top = np.sort(np.lexsort((keys, -counts))[:kept])
-            yield pa.RecordBatch.from_pydict({"h": pa.array(keys[top].view(np.int64)), "size": pa.array(sizes[top]), "n": pa.array(counts[top])})
+            sizes, _ = enc.merger.merge([x.encode() for x in names[top]])  # only of what is kept
+            yield pa.RecordBatch.from_pydict({"h": pa.array(keys[top].view(np.int64)), "size": pa.array(sizes.astype(np.int32)), "n": pa.array(counts[top])})
 
     rows = docs.select("text").mapInArrow(pieces, "h long, size int, n long")
     top = rows.groupBy("h", "size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(entries).collect()
