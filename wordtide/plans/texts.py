@@ -219,18 +219,9 @@ def sense_by_era(spark, d):
     return K.senses_by_era(occurrences(spark, d), ERAS)
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ') NOT LIKE '%zzz%' AS kept, NOT regexp_matches(substr(text, 1, 40), '(^(The )?In\\b)|(\\bin$)') AS not_account FROM documents".replace("\\\\", "\\"))
-def account_filter(spark, d):
-    t = table(spark, d, "documents")
-    from ..functions.text import is_account
-
-    words = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), " ")
-    return t.select("doc_id", (~words.contains("zzz")).alias("kept"), (~is_account(F.substring("text", 1, 40), r"(^(The )?In\b)|(\bin\z)")).alias("not_account"))
-
-
 @query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ') NOT LIKE '%zzz%' AS kept, NOT regexp_matches(text, '(^(The )?In\\b)|(\\bin$)') AS not_account FROM documents")
 def account_filter_whole(spark, d):
-    """account_filter, whose SQL reads 40 characters, over whole texts."""
+    """Which texts a name filter for accounts keeps, judged on whole texts."""
     t = table(spark, d, "documents")
     from ..functions.text import is_account
 
