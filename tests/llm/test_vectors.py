@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from wordtide.llm import exact_topk, vectors
+from wordtide.llm import vectors
 from wordtide.llm.exact_topk import exact_top
 from wordtide.llm.permutation_index import Inverted, nearest
 
@@ -43,16 +43,55 @@ def result(df):
 
 @pytest.mark.parametrize("n,rows,queries,scale", [(130, 8192, 1024, 64.0), (130, 17, 3, 64.0), (130, 40, 5, 1e7), (130, 40, 5, 1e8), (7, 8192, 1024, 64.0), (1, 8192, 1024, 64.0)])
 def test_exact_top_is_brute_force(spark, monkeypatch, n, rows, queries, scale):
-    monkeypatch.setattr(exact_topk, "in_blocks", lambda *a: vectors.in_blocks(*a, rows_a_block=rows, queries_a_block=queries))
+    monkeypatch.setattr(vectors, "QUERIES", queries)
     data = vectors_of(n + rows, n) + [(2000, [0.0] * 8)]
-    got = result(exact_top(table(spark, data + ODD), scale=scale))
+    got = result(exact_top(table(spark, data + ODD), scale=scale, rows_a_block=rows))
     whole = lambda x: [int(np.floor(scale * y)) for y in x]
     assert got == brute(data, 20, lambda x, y: sum(a * b for a, b in zip(whole(x), whole(y), strict=True)))
 
 
+@pytest.mark.parametrize("nodes", [1, 3, 8])
+def test_any_number_of_nodes_gives_the_same(spark, nodes):
+    data = vectors_of(5, 300)
+    assert result(exact_top(table(spark, data), nodes=nodes, rows_a_block=60)) == result(exact_top(table(spark, data)))
+
+
+def test_threshold_ships_few_entries_and_copies_none_beyond_k(spark):
+    """A third of all rows are copies of one vector, and a query too; nodes ship some entries a query, not a third of the table."""
+    r = np.random.default_rng(9)
+    v = r.normal(size=(1500, 8)).astype(np.float32)
+    v[::3] = v[0]
+    data = [(i, x.tolist()) for i, x in enumerate(v)]
+    shipped = []
+    got = result(exact_top(table(spark, data), shipped=shipped, rows_a_block=400))
+    whole = lambda x: [int(np.floor(64.0 * y)) for y in x]
+    assert got == brute(data, 20, lambda x, y: sum(a * b for a, b in zip(whole(x), whole(y), strict=True)))
+    assert 0 < sum(shipped) < 0.3 * 75 * 1000
+
+
+def test_lengths_do_not_spoil_recall(spark):
+    """Vectors of very unequal length: the nearest by inner product are mostly long ones."""
+    r = np.random.default_rng(4)
+    v = (r.normal(size=(6000, 16)) * np.exp(r.normal(size=(6000, 1)))).astype(np.float32)
+    data = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = result(nearest(table(spark, data)))
+    ids = [i for i in range(len(v)) if i % 20 == 0]
+    s = v[ids].astype(np.float64) @ v.astype(np.float64).T
+    s[np.arange(len(ids)), ids] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    recall = [len({i for _, i, _ in got[q]} & set(w.tolist())) / 20 for q, w in zip(ids, want, strict=True)]
+    assert np.mean(recall) >= 0.9
+
+
+def test_lengths_beyond_doubles(spark):
+    rows = [(i, [m, 0.0]) for i, m in enumerate([1e300, 1e-300, 1.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {q: [i for _, i, _ in r] for q, r in result(nearest(df)).items()} == {0: [2, 1, 3]}
+
+
 def test_nearest_finds_what_brute_force_finds(spark):
     data = vectors_of(3, 900, 16)
-    got = result(nearest(table(spark, data + [(2000, [0.0] * 16)] + ODD), share=0.4, least=100, pivots=64, near=24))
+    got = result(nearest(table(spark, data + [(2000, [0.0] * 16)] + ODD), share=0.4, least=5, pivots=64, near=24))
     want = brute(data, 20, lambda x, y: float((x * y).sum()))
     assert got.keys() == want.keys()
     recall = np.mean([len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) / 20 for q in want])

@@ -1,21 +1,23 @@
-"""What the vector searches share: usable vectors, and the meeting of query blocks with row blocks.
+"""What the vector searches share: usable vectors, blocks of rows, rounds of queries.
 
-Queries are a stated set that is searched against all rows. Rows and queries are dealt by a hash into blocks of a bounded size, and
-one task searches one block of rows for one block of queries, so no task holds more than two blocks whatever the data."""
+Queries are a stated set that is searched against all rows. Rows are dealt by a hash into blocks of a bounded size. Queries go in
+rounds of a bounded number and width to every worker, so neither rows nor queries are copied for each other, and no task holds more
+than a block and a round whatever the data."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import spill
 
-ROWS, QUERIES = 8192, 1024
+#: Rows of a block, queries of a round, bytes of a round's vectors (one query at least).
+ROWS, QUERIES, ROUND_BYTES = 4096, 4096, 16 << 20
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
@@ -32,27 +34,43 @@ def usable(table: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFr
     return spill(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
 
 
-def in_blocks(rows: DataFrame, queries: DataFrame, search: Callable[[dict, dict], dict], schema: str, rows_a_block: int = ROWS, queries_a_block: int = QUERIES) -> DataFrame:
-    """search(row columns, query columns) for every pair of blocks; rows have vec_id, queries query_id, and any further columns."""
-    n_rows, n_queries = rows.count(), queries.count()
-    rb, qb = max(1, -(-n_rows // rows_a_block)), max(1, -(-n_queries // queries_a_block))
-    deal = lambda c, salt, n: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select(*rows.columns, deal("vec_id", 1, rb).alias("rb"), every(qb).alias("qb"))
-    right = queries.select(*queries.columns, deal("query_id", 2, qb).alias("qb"), every(rb).alias("rb"))
-    kinds = rows.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
+def n_blocks(n: int, rows_a_block: int | None = None) -> int:
+    return max(1, -(-n // (rows_a_block or ROWS)))
 
-    names = [f.name for f in kinds.fields]
-    arrow = to_arrow_schema(kinds)
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return arrow.empty_table()
-        got = search(*({c: _column(t, c) for c in t.column_names if c not in ("rb", "qb")} for t in (a, b)))
-        return pa.table([pa.array(got[n]) for n in names], schema=arrow)
+def rounds(queries: DataFrame) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of queries (query_id, q, ...), a round at a time, in ascending order of query_id; empty rounds are left out."""
+    n, one = queries.count(), queries.select(F.size("q")).first()
+    parts = max(1, -(-n // max(1, min(QUERIES, ROUND_BYTES // (8 * one[0]))))) if one else 0
+    for i in range(parts):
+        got = queries.where(F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(parts)) == i).toArrow().sort_by("query_id")
+        if len(got):
+            yield columns(got)
 
-    return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(run, schema)
+
+def grouped(rows: DataFrame, keys: list[str], groups: int) -> GroupedData:
+    """rows by keys, about a group a partition; so many partitions that AQE can't put all blocks into few tasks."""
+    return rows.repartition(min(max(groups, 1), 20_000), *keys).groupBy(*keys)
+
+
+def columns(t: pa.Table) -> dict[str, np.ndarray]:
+    """Columns as arrays; lists become rows of a matrix."""
+    return {c: _column(t, c) for c in t.column_names}
+
+
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+
+
+def arrow(schema: str) -> pa.Schema:
+    """The Arrow schema of "name type, ..."; unlike Spark's own parser it works in a worker."""
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+
+
+def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column of arrays."""
+    ends = np.cumsum([0] + [len(x) for x in values])
+    flat = np.concatenate(values) if values else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat).cast(kind))
 
 
 def _column(t: pa.Table, name: str) -> np.ndarray:
