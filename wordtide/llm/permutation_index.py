@@ -61,12 +61,8 @@ class Inverted:
 
     def closeness(self, perm: np.ndarray) -> np.ndarray:
         """For a query's order, a number for each row that falls as footrule distance grows: distance = n(n + 1) - 2 x closeness."""
-        total = np.zeros(self.credit.shape[1], dtype=np.uint16 if self.n < 256 else np.uint32)
-        shared = np.empty(self.credit.shape[1], dtype=self.credit.dtype)
-        for place, pivot in enumerate(perm):
-            np.minimum(self.credit[pivot], self.credit.dtype.type(self.n - place), out=shared)
-            total += shared
-        return total
+        own = (self.n - np.arange(self.n)).astype(self.credit.dtype)[:, None]
+        return np.minimum(self.credit[perm], own).sum(axis=0, dtype=np.uint16 if self.n < 256 else np.uint32)
 
 
 def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, query_every: int = 20, pivots: int = PIVOTS, near: int = NEAREST, share: float = SHARE, least: int = LEAST, rows_a_block: int | None = None) -> DataFrame:
