@@ -20,11 +20,23 @@ def totals(active: DataFrame) -> DataFrame:
 def adoption(uses: DataFrame, active: DataFrame) -> DataFrame:
     """genre, year, item, records, entities, entities_tot, pct, pct_records. A record counts once an item."""
     n = uses.groupBy("genre", "year", "item").agg(F.count("*").alias("records"), F.count_distinct("entity").alias("entities"))
-    t = totals(active).select("genre", "year", F.col("records").alias("records_tot"), F.col("entities").alias("entities_tot"))
-    joined = n.join(t, ["genre", "year"])
+    return rates(n, totals(active))
+
+
+def rates(counts: DataFrame, whole: DataFrame) -> DataFrame:
+    """adoption() of counts(genre, year, item, records, entities) that are at hand, over totals(genre, year, records, entities)."""
+    t = whole.select("genre", "year", F.col("records").alias("records_tot"), F.col("entities").alias("entities_tot"))
+    joined = counts.join(t, ["genre", "year"])
     return joined.select("genre", "year", "item", "records", "entities", "entities_tot", pct(F.col("entities"), F.col("entities_tot")).alias("pct"), pct(F.col("records"), F.col("records_tot")).alias("pct_records"))
 
 
+def pool_rates(entity_year_item: DataFrame, active: DataFrame, pool: DataFrame, focal: str) -> DataFrame:
+    """adoption() in the focal genre by the pool(entity) alone: others count neither as users nor as active."""
+    own = active.where(F.col("genre") == focal).join(pool, "entity", "left_semi")
+    used = entity_year_item.join(pool, "entity", "left_semi").groupBy("year", "item").agg(F.sum("records").alias("records"), F.count_distinct("entity").alias("entities"))
+    return rates(used.withColumn("genre", F.lit(focal)), totals(own))
+
+
 def grid(items: DataFrame, genres: DataFrame, y0: int, y1: int) -> DataFrame:
     """Every (genre, item, year): genres are a small dimension, years are written into the plan."""
     return items.crossJoin(F.broadcast(genres)).withColumn("year", F.explode(F.sequence(F.lit(y0), F.lit(y1))))

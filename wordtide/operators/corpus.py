@@ -10,16 +10,24 @@ from ..functions.text import ACCOUNT, is_account, normalise, tokens
 
 
 def raw(shards: DataFrame, years: tuple[int, int], account: str = ACCOUNT) -> DataFrame:
-    """genre, artist, year, title, text of the records in range that aren't an account's; year filters reach the scan."""
+    """record (if there), genre, artist, year, title, text of the records in range that aren't an account's; year filters reach the scan."""
     rows = shards.where(F.col("year").between(*years) & F.coalesce(~is_account(F.col("artist"), account), F.lit(False)))
     title = F.col("title") if "title" in shards.columns else F.lit(None).cast("string")
-    return rows.select(F.col("tag").alias("genre"), "artist", F.col("year").cast("smallint").alias("year"), title.alias("title"), normalise(F.col("lyrics")).alias("text"))
+    key = ["record"] if "record" in shards.columns else []
+    return rows.select(*key, F.col("tag").alias("genre"), "artist", F.col("year").cast("smallint").alias("year"), title.alias("title"), normalise(F.col("lyrics")).alias("text"))
 
 
-def entities(names: DataFrame, name: str = "artist") -> DataFrame:
-    """entity (1, 2, ... in binary order of the name), name. The window runs over distinct names only."""
+def entities(names: DataFrame, name: str = "artist", ranges: int = 256) -> DataFrame:
+    """entity (1, 2, ... in binary order of the name), name. Distinct names are cut into ranges at a hashed draw of them, numbered within
+    their range and moved on by the sizes of the ranges before, so no task orders them all."""
     d = names.select(F.col(name).alias("name")).where("name is not null").distinct()
-    return d.select(F.row_number().over(W.orderBy("name")).alias("entity"), "name")
+    drawn = [r[0] for r in d.orderBy(F.xxhash64("name"), "name").limit(ranges - 1).collect()]
+    cuts = F.array(*map(F.lit, drawn)) if drawn else F.array().cast("array<string>")
+    d = d.withColumn("part", F.size(F.filter(cuts, lambda c: c <= F.col("name"))))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = d.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))  # `ranges` rows
+    own = F.row_number().over(W.partitionBy("part").orderBy("name"))
+    return d.withColumn("own", own).join(F.broadcast(sizes), "part").select((F.col("before") + F.col("own")).cast("int").alias("entity"), "name")
 
 
 def tokenise(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -4,6 +4,8 @@ places(place, label, lat, lon, codes array<string>); parents(place, ord, parent)
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,15 +13,22 @@ from pyspark.sql import functions as F
 from ..functions.names import haversine, subdivision
 
 
+def _view(df: DataFrame) -> str:
+    """A temporary view under a name of its own, so that calls at the same time don't meet."""
+    name = f"places_{uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
 def closure(edges: DataFrame, src: str, dst: str, depth: int = 14) -> DataFrame:
     """src, dst, steps: everything that is reached over edges, itself included; cycles end where a node would be met again."""
     spark = edges.sparkSession
-    edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct().createOrReplaceTempView("_closure_edges")
+    view = _view(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
     return spark.sql(f"""
         WITH RECURSIVE up(src, dst, steps, path) AS (
-          SELECT DISTINCT a, a, 0, array(a) FROM _closure_edges
+          SELECT DISTINCT a, a, 0, array(a) FROM {view}
           UNION ALL
-          SELECT u.src, e.b, u.steps + 1, array_append(u.path, e.b) FROM up u JOIN _closure_edges e ON e.a = u.dst
+          SELECT u.src, e.b, u.steps + 1, array_append(u.path, e.b) FROM up u JOIN {view} e ON e.a = u.dst
           WHERE u.steps < {int(depth)} AND NOT array_contains(u.path, e.b))
         SELECT src AS {src}, dst AS {dst}, min(steps) AS steps FROM up GROUP BY src, dst
     """)
@@ -39,14 +48,13 @@ def resolve(places: DataFrame, parents: DataFrame, countries: DataFrame, home: s
     base = base.withColumn("own", F.coalesce("own", F.array().cast("array<string>"))).withColumn("code", subdivision(F.col("codes")))
     base = base.withColumn("is_country", F.coalesce("named", F.lit(False)) & ((F.size("own") == 0) | F.array_contains("own", F.col("place"))))
     base = base.select("place", "label", "lat", "lon", "own", "code", "is_country").persist()
-    base.createOrReplaceTempView("_resolve_base")
-    parents.createOrReplaceTempView("_resolve_parents")
+    at, up = _view(base), _view(parents)
     ways = spark.sql(f"""
         WITH RECURSIVE way(place, path, ords, steps) AS (
-          SELECT place, array(place), cast(array() AS array<int>), 0 FROM _resolve_base
+          SELECT place, array(place), cast(array() AS array<int>), 0 FROM {at}
           UNION ALL
           SELECT p.parent, array_append(w.path, p.parent), array_append(w.ords, cast(p.ord AS int)), w.steps + 1
-          FROM way w JOIN _resolve_parents p ON p.place = w.place JOIN _resolve_base b ON b.place = w.place JOIN _resolve_base t ON t.place = p.parent
+          FROM way w JOIN {up} p ON p.place = w.place JOIN {at} b ON b.place = w.place JOIN {at} t ON t.place = p.parent
           WHERE w.steps < {int(depth)} AND NOT array_contains(w.path, p.parent) AND NOT array_contains(b.own, p.parent))
         SELECT * FROM way
     """).persist()

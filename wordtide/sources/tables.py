@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,18 +64,47 @@ def write_top_csv(df: DataFrame, path: str, order: list, n: int = 300) -> None:
     df.orderBy(*order).limit(n).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def not_finite(c: Column, kind: T.DataType) -> Column | None:
+    """Whether a NaN or an infinity lies anywhere in a value of that type; None where its type can't hold one."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    if isinstance(kind, T.StructType):
+        parts = [not_finite(c[f.name], f.dataType) for f in kind.fields]
+        return reduce(Column.__or__, found) if (found := [x for x in parts if x is not None]) else None
+    if isinstance(kind, T.ArrayType):
+        return None if not_finite(c, kind.elementType) is None else F.coalesce(F.exists(c, lambda x: not_finite(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, T.MapType):
+        sides = [not_finite(side(c), T.ArrayType(t)) for side, t in ((F.map_keys, kind.keyType), (F.map_values, kind.valueType))]
+        return reduce(Column.__or__, found) if (found := [x for x in sides if x is not None]) else None
+    return None
+
+
+def as_json(c: Column, kind: T.DataType) -> Column:
+    """Compact JSON with nulls written out. Raises where a double is NaN or infinite, at any depth, which JSON can't say."""
+    bad, value = not_finite(c, kind), F.to_json(c, {"ignoreNullFields": "false"})
+    return value if bad is None else F.when(bad, F.raise_error(F.lit("NaN or infinity can't be exported as JSON"))).otherwise(value)
+
+
 def json_rows(df: DataFrame) -> DataFrame:
-    """value: each row as compact JSON. Raises where a double is NaN or infinite, which JSON can't say."""
-    bad = F.lit(False)
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            bad = bad | F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
-            bad = bad | F.coalesce(F.exists(c, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
-    value = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    return df.select(F.when(bad, F.raise_error(F.lit("NaN or infinity can't be exported as JSON"))).otherwise(value).alias("value"))
+    """value: each row as JSON."""
+    return df.select(as_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema).alias("value"))
+
+
+def document(**sections: DataFrame) -> DataFrame:
+    """value: one JSON object with an array of rows a section, in the order of their columns. Sections are as large as a page shows."""
+    parts = []
+    for i, (name, df) in enumerate(sections.items()):
+        rows = F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        text = as_json(F.col("rows"), T.ArrayType(df.schema))
+        parts.append(df.agg(rows.alias("rows")).select(F.lit(i).alias("i"), F.concat(F.lit(json.dumps(name) + ":"), text).alias("part")))
+    every = reduce(DataFrame.unionByName, parts)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x.part), ",")
+    return every.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
     json_rows(df).write.mode("overwrite").text(path)
+
+
+def write_document(path: str, **sections: DataFrame) -> None:
+    document(**sections).coalesce(1).write.mode("overwrite").text(path)
