@@ -5,7 +5,7 @@ without any item count in the denominators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,16 +37,38 @@ def pool_rates(entity_year_item: DataFrame, active: DataFrame, pool: DataFrame,
     return rates(used.withColumn("genre", F.lit(focal)), totals(own))
 
 
-def grid(items: DataFrame, genres: DataFrame, y0: int, y1: int) -> DataFrame:
-    """Every (genre, item, year): genres are a small dimension, years are written into the plan."""
-    return items.crossJoin(F.broadcast(genres)).withColumn("year", F.explode(F.sequence(F.lit(y0), F.lit(y1))))
+def curve_arrays(adopted: DataFrame, y0: int, y1: int, genres: DataFrame | None = None) -> DataFrame:
+    """genre, item, c: curve() as an array of (year, r, s, n) in order of years, for every item and genre.
+
+    Rates are gathered by item, which is the only shuffle; genres(genre) are a small dimension that is broadcast. Without it they are
+    read from adopted, which then runs twice."""
+    genres = genres if genres is not None else adopted.select("genre").distinct()
+    had = adopted.groupBy("item").agg(F.collect_list(F.struct("genre", "year", F.col("pct").alias("r"), F.col("entities").alias("n"))).alias("had"))
+    own = F.filter("had", lambda x: (x.genre == F.col("genre")) & x.year.between(y0, y1))
+    by_year = F.map_from_entries(F.transform(own, lambda x: F.struct(x.year.cast("int").alias("year"), x)))
+    dense = had.crossJoin(F.broadcast(genres.select("genre"))).select("genre", "item", by_year.alias("had"))
+    at = lambda y, field: F.coalesce(F.try_element_at("had", y)[field], F.lit(0))
+    rows = F.transform(F.sequence(F.lit(y0), F.lit(y1)), lambda y: F.struct(y.alias("year"), at(y, "r").alias("r"), at(y, "n").alias("n")))
+    return smooth_arrays(dense.select("genre", "item", rows.alias("c")))
+
+
+def smooth_arrays(df: DataFrame) -> DataFrame:
+    """c with s, the centred mean of r over three years (two at the ends), behind year and r. Other columns stay."""
+    around = lambda i: F.slice("c", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3))
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x.r) / F.size(xs)
+    rest = [f.name for f in df.schema["c"].dataType.elementType.fields if f.name not in ("year", "r")]
+    c = F.transform("c", lambda x, i: F.struct(x.year.alias("year"), x.r.alias("r"), mean(around(i)).alias("s"), *[x[f].alias(f) for f in rest]))
+    return once(df, "c", c)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later filters can't be pushed below: they would work it out again for every mention of it."""
+    return df.select(*[x for x in df.columns if x != name], F.explode(F.array(value)).alias(name))
 
 
 def curve(adopted: DataFrame, y0: int, y1: int, genres: DataFrame | None = None) -> DataFrame:
     """genre, item, year, r, s, n: raw rate, mean of three years around, users. Missing years are zeros, also for smoothing."""
-    dense = grid(adopted.select("item").distinct(), genres if genres is not None else adopted.select("genre").distinct(), y0, y1)
-    had = adopted.select("genre", "item", "year", F.col("pct").alias("r"), F.col("entities").alias("n"))
-    return smooth(dense.join(had, ["genre", "item", "year"], "left").fillna({"r": 0.0, "n": 0}), ["genre", "item"])
+    return curve_arrays(adopted, y0, y1, genres).select("genre", "item", F.inline("c"))
 
 
 def smooth(dense: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,10 +10,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import half_even, ratio
+from .adoption import once
 
 
 def series(curve: DataFrame, keys: tuple[str, ...] = ("genre", "item")) -> DataFrame:
-    """keys, c (array of year, r, s, n in order), y0, P (highest s), py (its first year), n_py (users then)."""
+    """keys, c (array of year, r, s, n in order), y0, P (highest s), py (its first year), n_py (users then). A curve that has c already,
+    from curve_arrays(), isn't shuffled."""
+    if "c" in curve.columns:
+        top = F.array_max(F.transform("c", lambda x: F.struct(x.s.alias("s"), (-x.year).alias("ny"), x.n.alias("n"))))
+        out = once(curve.select(*keys, "c", F.get("c", F.lit(0)).year.alias("y0")), "m", top)
+        return out.select(*keys, "c", "y0", F.col("m.s").alias("P"), (-F.col("m.ny")).alias("py"), F.col("m.n").alias("n_py"))
     cols = [c for c in ("year", "r", "s", "n", "valid") if c in curve.columns]
     out = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("c"), F.max(F.struct("s", (-F.col("year")).alias("ny"), "n")).alias("m"), F.min("year").alias("y0"))
     return out.select(*keys, "c", "y0", F.col("m.s").alias("P"), (-F.col("m.ny")).alias("py"), F.col("m.n").alias("n_py"))
@@ -125,9 +131,10 @@ def crossover(curve: DataFrame, focal: str, frac: float = 0.25, min_users: int =
     """item, genre, peak, peak_year, takeoff, focal_takeoff, focal_peak, lag, reach for every other genre; items unused in the focal
     genre have no row."""
     ser = with_rise(series(curve), "takeoff", frac, min_users, mode)
-    own = ser.where((F.col("genre") == focal) & (F.col("P") > 0)).select("item", F.col("takeoff").alias("focal_takeoff"), F.col("P").alias("focal_peak"))
-    rest = ser.where(F.col("genre") != focal).withColumn("takeoff", F.when(F.col("P") >= least_peak, F.col("takeoff")))
-    df = rest.join(own, "item")
+    item, used = W.partitionBy("item"), (F.col("genre") == focal) & (F.col("P") > 0)
+    own = lambda c: F.max(F.when(used, F.col(c))).over(item)
+    df = ser.select("item", "genre", "P", "py", "takeoff", own("takeoff").alias("focal_takeoff"), own("P").alias("focal_peak"))
+    df = df.where((F.col("genre") != focal) & F.col("focal_peak").isNotNull()).withColumn("takeoff", F.when(F.col("P") >= least_peak, F.col("takeoff")))
     return df.select("item", "genre", F.col("P").alias("peak"), F.when(F.col("P") > 0, F.col("py")).alias("peak_year"), "takeoff", "focal_takeoff", "focal_peak", (F.col("takeoff") - F.col("focal_takeoff")).alias("lag"), ratio(F.col("P"), F.col("focal_peak")).alias("reach"))
 
 
@@ -167,10 +174,10 @@ def churn(curve: DataFrame, k: int, gap: int) -> DataFrame:
     """genre, year, kept: share of a year's top k by raw rate that is in the top k some years on; ties go to the smaller item."""
     order = W.partitionBy("genre", "year").orderBy(F.desc("r"), "item")
     top = curve.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("genre", "year", "item")
-    later = top.select("genre", (F.col("year") - gap).alias("year"), "item", F.lit(1).alias("hit"))
-    ends = curve.groupBy("genre").agg((F.max("year") - gap).alias("until"))
-    joined = top.join(later, ["genre", "year", "item"], "left").join(ends, "genre").where("year <= until")
-    return joined.groupBy("genre", "year").agg((F.count("hit") / F.lit(float(k))).alias("kept"))
+    # the top has every year of the curve, and k rows of each: from here on tables are small
+    years, until = F.collect_set("year").over(W.partitionBy("genre", "item")), F.max("year").over(W.partitionBy("genre")) - gap
+    top = top.select("genre", "year", until.alias("until"), F.array_contains(years, F.col("year") + gap).alias("hit")).where("year <= until")
+    return top.groupBy("genre", "year").agg((F.count(F.when(F.col("hit"), 1)) / F.lit(float(k))).alias("kept"))
 
 
 def pool(active: DataFrame, focal: str, min_records: int = 20, fame: DataFrame | None = None) -> DataFrame:

@@ -30,8 +30,13 @@ def uses(spark: SparkSession, d: str, item: str = "p_type") -> DataFrame:
     return had.join(active(spark, d), "record").select("record", "entity", "genre", "year", "item")
 
 
+def arrays(spark: SparkSession, d: str, item: str = "p_type") -> DataFrame:
+    segments = table(spark, d, "customer").select(F.col("c_mktsegment").alias("genre")).where("genre is not null").distinct()
+    return A.curve_arrays(A.adoption(uses(spark, d, item), active(spark, d)), Y0, Y1, segments)
+
+
 def curves(spark: SparkSession, d: str, item: str = "p_type") -> DataFrame:
-    return A.curve(A.adoption(uses(spark, d, item), active(spark, d)), Y0, Y1)
+    return arrays(spark, d, item).select("genre", "item", F.inline("c"))
 
 
 def regions(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +91,7 @@ def adoption_curve(spark, d):
 
 
 def _rise(spark, d, mode):
-    return longs(rounded(L.rise_year(curves(spark, d), 0.25, 5, mode), "P"), "py", "year")
+    return longs(rounded(L.rise_year(arrays(spark, d), 0.25, 5, mode), "P"), "py", "year")
 
 
 RISE = " SELECT genre, item, CAST(py AS BIGINT) AS py, round(P, 4) AS P, CAST(year AS BIGINT) AS year FROM rise"
@@ -104,7 +109,7 @@ def takeoff_global_base(spark, d):
 
 @query(sql(*base("p_name")) + " SELECT genre, item, CAST(min(year) FILTER (s >= 0.75 * P AND n >= 3) AS BIGINT) AS emerged FROM curve JOIN peak USING (genre, item) GROUP BY ALL")
 def emergence_forward(spark, d):
-    return longs(L.emergence(curves(spark, d, "p_name"), 0.75, 3), "emerged")
+    return longs(L.emergence(arrays(spark, d, "p_name"), 0.75, 3), "emerged")
 
 
 NOW = f"now AS (SELECT genre, item, avg(r) AS now FROM curve WHERE year > {Y1 - 2} GROUP BY ALL)"
@@ -113,7 +118,7 @@ GROWTH = f"growth AS (SELECT genre, item, py, P, now, now / P AS now_vs_peak, P
 
 @query(sql(*base("p_name"), NOW, GROWTH) + " SELECT genre, item, CAST(py AS BIGINT) AS py, round(P, 4) AS P, round(now, 4) AS now, round(now_vs_peak, 4) AS now_vs_peak, round(rise_x, 4) AS rise_x FROM growth WHERE P > 0")
 def growth_now_vs_peak(spark, d):
-    return longs(rounded(L.growth(curves(spark, d, "p_name"), back=2).where("P > 0"), "P", "now", "now_vs_peak", "rise_x"), "py")
+    return longs(rounded(L.growth(arrays(spark, d, "p_name"), back=2).where("P > 0"), "P", "now", "now_vs_peak", "rise_x"), "py")
 
 
 @query(
@@ -122,7 +127,7 @@ def growth_now_vs_peak(spark, d):
     WHEN now <= 0.35 * P THEN 'faded' ELSE 'cooling' END AS stage FROM peak JOIN now USING (genre, item) JOIN early USING (genre, item) WHERE P > 0"""
 )
 def stage(spark, d):
-    return L.stage(curves(spark, d, "p_name"), rising_from=2000, early=0.8)
+    return L.stage(arrays(spark, d, "p_name"), rising_from=2000, early=0.8)
 
 
 RATIO = f"""ratio AS (SELECT item, ln((coalesce(sum(records) FILTER (genre = '{FOCAL}'), 0) + 5.0) / (SELECT sum(records) FILTER (genre = '{FOCAL}') FROM tot WHERE year >= 1996))
@@ -152,7 +157,7 @@ CATEGORY = {"ratio": -0.2, "peak": 0.25, "faded": (1998, 0.5, 1.1), "rising": (1
     FROM growth LEFT JOIN em USING (genre, item) LEFT JOIN ratio USING (item) WHERE genre = '{FOCAL}'"""
 )
 def category(spark, d):
-    c = curves(spark, d, "p_name").where(F.col("genre") == FOCAL)
+    c = arrays(spark, d, "p_name").where(F.col("genre") == FOCAL)
     return L.category(L.growth(c, back=2), L.emergence(c, 0.75, 3), ratios(spark, d), CATEGORY)
 
 
@@ -162,7 +167,7 @@ CROSS = f"""cross_ AS (SELECT r.item, r.genre, r.P AS peak, CASE WHEN r.P > 0 TH
 
 
 def crossed(spark, d):
-    return L.crossover(curves(spark, d, "p_name"), FOCAL, 0.25, 2)
+    return L.crossover(arrays(spark, d, "p_name"), FOCAL, 0.25, 2)
 
 
 @query(
@@ -191,7 +196,7 @@ RANGES = [(1995, 1997), (1998, 1999), (2000, 2001)]
 
 
 def burst(spark, d):
-    return L.bursts(curves(spark, d, "p_name"), 0.5, 3, back=3, prior=0.9, frac=0.8, keep_after=1)
+    return L.bursts(arrays(spark, d, "p_name"), 0.5, 3, back=3, prior=0.9, frac=0.8, keep_after=1)
 
 
 @query(sql(*base("p_name"), BURST) + " SELECT genre, item, CAST(py AS BIGINT) AS py, round(P, 4) AS P, CAST(rise AS BIGINT) AS rise, round(keep, 4) AS keep FROM burst")
@@ -288,7 +293,7 @@ def first_seen(spark, d):
 
 
 def life(spark, d):
-    c = curves(spark, d, "p_brand").where(F.col("genre") == FOCAL)
+    c = arrays(spark, d, "p_brand").where(F.col("genre") == FOCAL)
     ser = L.with_rise(L.with_rise(L.series(c), "emerged", 0.1, 5), "takeoff", 0.25, 5)
     return ser.select("item", "emerged", "takeoff", (F.col("item").endswith("1")).alias("poly"))
 
@@ -409,4 +414,4 @@ def diffusion_regions(spark, d):
 def profile_json(spark, d):
     from ..sources.tables import json_rows
 
-    return json_rows(V.profiles(curves(spark, d, "p_brand"), life(spark, d)))
+    return json_rows(V.profiles(arrays(spark, d, "p_brand"), life(spark, d)))

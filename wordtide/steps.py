@@ -56,7 +56,8 @@ def discover(spark: SparkSession, out: str, focal: str, others: list[str], dicti
     counts, whole = _open(spark, out, "genre_year_item"), _open(spark, out, "totals")
     own = counts.where((F.col("genre") == focal) & F.col("year").between(*cfg.years))
     heavy = own.groupBy("item").agg(F.sum("entities").alias("m")).where(F.col("m") >= cfg.min_entity_years)
-    write_parquet(A.curve(A.rates(own.join(heavy, "item", "left_semi"), whole), *cfg.years), f"{out}/curve")
+    only = spark.createDataFrame([(focal,)], "genre string")
+    write_parquet(A.curve(A.rates(own.join(heavy, "item", "left_semi"), whole), *cfg.years, only), f"{out}/curve")
     curve = _open(spark, out, "curve")
     grown = L.growth(curve, cfg.window).drop("genre")
     emerged = L.emergence(curve, cfg.emerge, cfg.min_users)
@@ -104,7 +105,7 @@ def turnover(spark: SparkSession, out: str, focal: str, fame: DataFrame | None =
     known = spec.where("in_dictionary").select("word")
     cand = L.candidates(spec.select(F.col("word").alias("item"), F.col("log_ratio").alias("ratio")), _names(spark, out, focal, cfg.name_records), known, blocked=blocked)
     used = _open(spark, out, "entity_year_item").join(cand, "item", "left_semi").where(F.col("year").between(*cfg.years))
-    write_parquet(A.curve(A.pool_rates(used, songs.where(F.col("year").between(*cfg.years)), pool, focal), *cfg.years), f"{out}/pool_curve")
+    write_parquet(A.curve(A.pool_rates(used, songs.where(F.col("year").between(*cfg.years)), pool, focal), *cfg.years, spark.createDataFrame([(focal,)], "genre string")), f"{out}/pool_curve")
     curve = _open(spark, out, "pool_curve")
     write_parquet(L.bursts(curve), f"{out}/bursts")
     burst = _open(spark, out, "bursts")
