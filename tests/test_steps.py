@@ -106,6 +106,8 @@ def test_summary_and_documents(spark, out):
     assert "drip" in rows and "love" not in rows and rows["drip"]["log_ratio"] > 1 and not rows["drip"]["in_dictionary"]
     steps.turnover(spark, to, "rap", churn_from=1992, cfg=CFG)
     got = read(to, "turnover.json")
+    peaks = [w["peak"] for w in got["words"]]
+    assert peaks == sorted(peaks, reverse=True) and [w["rank"] for w in got["words"]] == list(range(1, len(peaks) + 1))
     many = defaultdict(int)
     for r in kept():
         many[r[1]] += r[0] == "rap"

@@ -10,6 +10,7 @@ Every table is a Parquet folder that later steps reopen, so a step can be run ag
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .config import DEFAULT, Config
@@ -109,8 +110,9 @@ def turnover(spark: SparkSession, out: str, focal: str, fame: DataFrame | None =
     curve = _open(spark, out, "pool_curve")
     write_parquet(L.bursts(curve), f"{out}/bursts")
     burst = _open(spark, out, "bursts")
-    # the highest bursts only, a bounded list
-    top = burst.orderBy(F.desc("P"), "item").limit(words).select((-F.col("P")).alias("p"), "item", "py", half_even(F.col("P"), 2).alias("peak"), "rise", half_even(F.col("keep"), 3).alias("keep")).drop("p")
+    # the highest bursts only, a list of a bounded length
+    top = burst.orderBy(F.desc("P"), "item").limit(words).withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("P"), "item")))
+    top = top.select("rank", "item", "py", half_even(F.col("P"), 2).alias("peak"), "rise", half_even(F.col("keep"), 3).alias("keep"))
     write_document(
         f"{out}/turnover.json",
         pool=pool.agg(F.count("*").alias("entities")),
