@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations
 from .exact_topk import exact_top
 from .language_id import identify
+from .lexical_search import rank_documents
 from .mixing import mix
 from .ngram_join import ngram_link_counts
 from .packing import pack
 from .permutation_index import nearest
+from .suffix_dedup import dedup_digest
 from .token_counts import token_counts
 from .token_files import token_file_digest
 from .url_filters import judge_urls
@@ -56,6 +59,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
@@ -67,6 +82,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_url_filters": op10_url_filters,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -130,5 +148,42 @@ g AS (SELECT comp FROM m JOIN fit ON node = v GROUP BY comp HAVING bool_or(coale
 SELECT p.page_id, coalesce(f.host, '') AS host, coalesce(f.path, '') AS path, f.best.rule AS rule,
        coalesce(f.best.action, CASE WHEN g.comp IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, g.comp IS NOT NULL AS alias_of_blocked
 FROM pages p LEFT JOIN fit f ON f.u = p.url LEFT JOIN m ON m.v = f.node LEFT JOIN g USING (comp)
+""",
+    "op11_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, n, j, substr(x, 400 * j + 1, 598) AS y FROM (SELECT *, unnest(range(0, (n + 199) // 200)) AS j FROM d)),
+w AS (SELECT doc_id, 200 * j + i AS i, row_number() OVER (PARTITION BY substr(y, 2 * i + 1, 200) ORDER BY doc_id, 200 * j + i) AS k FROM (SELECT *, unnest(range(0, least(200, n - 99 - 200 * j))) AS i FROM p)),
+r AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -200) + 100 AS new FROM w WHERE k > 1),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r) GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+t AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT row, doc_id, size, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS size, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+x AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, n),
+s AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * size * n) // l)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN x USING (term), c GROUP BY item_id, row, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0 AND doc_id IS NOT NULL) WHERE rank <= 10
+""",
+    "op13_collocations": r"""
+WITH p AS (SELECT row_number() OVER () AS piece, lang, [x FOR x IN string_split_regex(t, '[ \t]+') IF x <> ''] AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+      unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
+g AS (SELECT lang, w[i:i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, 5) r(m) WHERE len(w) >= m)),
+f AS (SELECT lang, g, len(g) AS m, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, g),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, (2000000 * c.f) // (l.f + r.f) AS score FROM c, range(1, 4) s(k)
+      JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:] WHERE k < c.m),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM k) WHERE o = 1),
+s AS (SELECT lang, f, g[i:i + z - 1] AS g FROM (SELECT lang, g, f, m, z, unnest(range(1, m - z + 2)) AS i FROM c, range(2, 4) t(z) WHERE z < m)),
+h AS (SELECT lang, g, max(f) AS longer FROM s GROUP BY lang, g),
+o AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN h USING (lang, g) WHERE longer IS NULL OR 100 * longer < 80 * a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM t JOIN n USING (lang) WHERE rank <= 2000
 """,
 }
