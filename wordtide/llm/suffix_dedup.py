@@ -26,9 +26,9 @@ from .suffix_sort import suffix_array
 from .words import _BYTE
 
 #: Bytes of a block, window starts looked at together, bytes of an anchor string.
-BLOCK, CHUNK, KEY = 4 << 20, 1 << 18, 50
+BLOCK, CHUNK, KEY = 2 << 20, 1 << 17, 50
 #: Anchors of a group of the first shuffle, contexts of a group that is sorted, contexts of an anchor string that is taken apart.
-ANCHORS, CONTEXTS, HOT = 1 << 20, 1 << 12, 1 << 11
+ANCHORS, CONTEXTS, HOT = 1 << 18, 1 << 11, 1 << 11
 _LOW = U64((1 << 24) - 1)
 _LAST = np.iinfo(np.int64).max
 _BLOCKS = "block long, ids binary, named binary, ties binary, offsets binary, data binary"
@@ -69,6 +69,12 @@ def _blocks(batches):
             block += 1
 
 
+def _rows(batch: pa.RecordBatch):
+    """Rows as dictionaries, one at a time; binary values are buffers, not copies."""
+    for k in range(batch.num_rows):
+        yield {c: v.as_buffer() if pa.types.is_binary(v.type) and v.is_valid else [x.as_py() for x in v.values] if pa.types.is_list(v.type) and v.is_valid else v.as_py() for c, v in ((c, batch.column(c)[k]) for c in batch.schema.names)}
+
+
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """core, context: hashes of each anchor's string and context; start, count: its windows; offset: of the anchor in the context;
     row: the document. CHUNK windows are looked at together; a context that lies across two chunks counts as two."""
@@ -109,7 +115,7 @@ def _entries(length: int, groups: int):
 
     def entries(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 offsets, ids, ties = np.frombuffer(r["offsets"], dtype=np.int64), np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["ties"], dtype=np.uint32)
                 x = _anchors(np.frombuffer(r["data"], dtype=np.uint8), offsets, length)
                 if not len(x["start"]):
@@ -190,7 +196,7 @@ def _cut(length: int, groups: int):
     def cut(batches):
         up, down = _powers()
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 parts = [_unpacked(b, _OPEN) for b in r["open"]]
                 x = {c: np.concatenate([p[c] for p in parts]) for c in _OPEN}
                 data = np.frombuffer(r["data"], dtype=np.uint8)
@@ -296,13 +302,13 @@ def _covered(data: np.ndarray, gone: list[bytes], length: int) -> np.ndarray:
 def _kept(length: int):
     def kept(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 data, offsets = np.frombuffer(r["data"], dtype=np.uint8), np.frombuffer(r["offsets"], dtype=np.int64)
                 off = _covered(data, r["gone"] or [], length)
                 head = np.zeros(len(data) + 1, dtype=bool)
                 head[offsets] = True
                 begins = off & (head[:-1] | ~np.concatenate([[False], off[:-1]]))
-                up_to = lambda flags: np.concatenate([[0], np.cumsum(flags)])[offsets]
+                up_to = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])[offsets].astype(np.int64)
                 stay = data[~off].tobytes()
                 ends = up_to(~off).tolist()
                 ids = pa.array(np.frombuffer(r["ids"], dtype=np.int64), mask=~np.frombuffer(r["named"], dtype=bool))
