@@ -31,7 +31,7 @@ BLOCK, CHUNK, KEY = 2 << 20, 1 << 17, 50
 ANCHORS, CONTEXTS, HOT = 1 << 18, 1 << 11, 1 << 11
 _LOW = U64((1 << 24) - 1)
 _LAST = np.iinfo(np.int64).max
-_BLOCKS = "block long, ids binary, named binary, ties binary, offsets binary, data binary"
+_BLOCKS = "block long, size long, ids binary, named binary, ties binary, offsets binary, data binary"
 _ENTRY = {"core": U64, "context": U64, "doc": np.int64, "tie": np.uint32, "start": np.uint32, "count": np.uint8, "offset": np.uint8}
 _OPEN = {"start": np.uint32, "count": np.uint8, "offset": np.uint8, "core": U64, "doc": np.int64, "tie": np.uint32, "apart": np.uint8}
 
@@ -43,6 +43,7 @@ def _packed(columns: dict[str, np.ndarray], kinds: dict) -> bytes:
 
 
 def _unpacked(b: bytes, kinds: dict) -> dict[str, np.ndarray]:
+    b = memoryview(b)
     n, at, out = int.from_bytes(b[:8], "little"), 0, {}
     raw = pa.Codec("zstd").decompress(b[8:], n * sum(np.dtype(k).itemsize for k in kinds.values()), asbytes=True)
     for c, k in kinds.items():
@@ -51,6 +52,7 @@ def _unpacked(b: bytes, kinds: dict) -> dict[str, np.ndarray]:
     return out
 
 
+_TEXT = {"byte": np.uint8}
 _GONE = {"start": np.uint32, "count": np.uint8}
 
 
@@ -64,8 +66,9 @@ def _blocks(batches):
         data, offsets = utf8_buffers(batch.column(2))
         for i, j in slices(offsets, BLOCK):
             part = offsets[i : j + 1]
-            row = {"ids": ids[i:j], "named": named[i:j], "ties": ties[i:j].astype(np.uint32), "offsets": part - part[0], "data": data[part[0] : part[-1]]}
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in row.items()})
+            row = {"ids": ids[i:j], "named": named[i:j], "ties": ties[i:j].astype(np.uint32), "offsets": part - part[0]}
+            row = {k: v.tobytes() for k, v in row.items()} | {"data": _packed({"byte": data[part[0] : part[-1]]}, _TEXT)}  # it is shuffled twice
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "size": pa.array([int(part[-1] - part[0])], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in row.items()})
             block += 1
 
 
@@ -117,7 +120,7 @@ def _entries(length: int, groups: int):
         for batch in batches:
             for r in _rows(batch):
                 offsets, ids, ties = np.frombuffer(r["offsets"], dtype=np.int64), np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["ties"], dtype=np.uint32)
-                x = _anchors(np.frombuffer(r["data"], dtype=np.uint8), offsets, length)
+                x = _anchors(_unpacked(r["data"], _TEXT)["byte"], offsets, length)
                 if not len(x["start"]):
                     continue
                 rank = np.empty(len(ids), dtype=np.int64)
@@ -199,7 +202,7 @@ def _cut(length: int, groups: int):
             for r in _rows(batch):
                 parts = [_unpacked(b, _OPEN) for b in r["open"]]
                 x = {c: np.concatenate([p[c] for p in parts]) for c in _OPEN}
-                data = np.frombuffer(r["data"], dtype=np.uint8)
+                data = _unpacked(r["data"], _TEXT)["byte"]
                 hot = np.flatnonzero(x["apart"])
                 x["window"] = x["core"].copy()
                 if len(hot):  # every window of these by itself, under a hash of its own
@@ -303,7 +306,7 @@ def _kept(length: int):
     def kept(batches):
         for batch in batches:
             for r in _rows(batch):
-                data, offsets = np.frombuffer(r["data"], dtype=np.uint8), np.frombuffer(r["offsets"], dtype=np.int64)
+                data, offsets = _unpacked(r["data"], _TEXT)["byte"], np.frombuffer(r["offsets"], dtype=np.int64)
                 off = _covered(data, r["gone"] or [], length)
                 head = np.zeros(len(data) + 1, dtype=bool)
                 head[offsets] = True
@@ -334,7 +337,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))).alias("tie"), text.alias("text"))
     with Temporaries() as t:
         blocks = t.spill(rows.mapInArrow(_blocks, _BLOCKS), "dedup-blocks")
-        size = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
+        size = blocks.agg(F.sum("size")).first()[0] or 0
         groups = max(1, int(size / 24 / ANCHORS) + 1)
         entries = blocks.mapInArrow(_entries(length, groups), "grp int, block long, entries binary, gone binary")
         told = t.spill(entries.groupBy("grp").applyInArrow(_classes, _TOLD), "dedup-told")
