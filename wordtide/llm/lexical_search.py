@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, scratch, slices, spill, text_table, utf8_buffers
+from .common import U64, Temporaries, forget, scratch, slices, spill, text_table, utf8_buffers
 from .words import lowered_hashes, table, word_spans
 
 #: Bytes of text of a range, nodes (documents) below a node, terms of all items of a round.
@@ -195,15 +195,16 @@ def search_index(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
     """item_id, rank, doc_id, score: every item's k best documents of an index with a score above 0, as rank_documents() says."""
     spark = index.sparkSession
     rows = text_table(items, id_col, text_col).withColumnRenamed("doc_id", "item_id").where("item_id is not null")
-    terms = spill(rows.mapInArrow(_item_terms, "item_id long, term long").distinct(), "lexical-items")
     total, length = index.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     path = scratch(spark, "lexical-found")
     _empty(spark).write.parquet(path)
-    for held in _rounds(terms) if total else ():
-        asked = np.unique(np.concatenate([t for _, t in held]))
-        df = _held_by(index, asked)
-        weights = np.array([math.floor(1000 * math.log((2 * total + 2) / (2 * n + 1))) for n in df.tolist()], dtype=np.int64)
-        _search(index, held, asked, weights, total, length, k).write.mode("append").parquet(path)
+    with Temporaries() as t:
+        terms = t.spill(rows.mapInArrow(_item_terms, "item_id long, term long").distinct(), "lexical-items")
+        for held in _rounds(terms) if total else ():
+            asked = np.unique(np.concatenate([t for _, t in held]))
+            df = _held_by(index, asked)
+            weights = np.array([math.floor(1000 * math.log((2 * total + 2) / (2 * n + 1))) for n in df.tolist()], dtype=np.int64)
+            _search(index, held, asked, weights, total, length, k).write.mode("append").parquet(path)
     return spark.read.schema(_empty(spark).schema).parquet(path)
 
 
@@ -220,4 +221,8 @@ def rank_documents(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", i
     terms: such a document is not found, such an item finds nothing. Rows of one item id are one item with the terms of all of them; rows of
     one doc_id are documents of their own; rows without a doc_id count in N, L and df but can't be named and so aren't listed,
     and items without an id find nothing. Empty tables give an empty result; other columns are not read."""
-    return search_index(build_index(docs, doc_col, text_col), items, item_col, text_col, k)
+    index = build_index(docs, doc_col, text_col)
+    try:
+        return search_index(index, items, item_col, text_col, k)
+    finally:
+        forget(index)
