@@ -16,7 +16,7 @@ from wordtide.operators.corpus import entities
 from wordtide.operators.lexicon import lexicon
 from wordtide.sources.tables import document, json_rows
 
-CFG = replace(DEFAULT, ingest_years=(1990, 2003), years=(1991, 2002), min_records=3, min_entity_years=2, ratio_from=1991, min_users=1, pool_records=4, name_records=5, top_k=3, gap=2, min_support=1, cohorts=((1992, 2002),))
+CFG = replace(DEFAULT, ingest_years=(1990, 2003), years=(1991, 2002), min_records=3, min_entity_years=2, ratio_from=1991, min_users=1, pool_records=4, name_records=5, top_k=3, gap=2, min_support=1, buckets=3, cohorts=((1992, 2002),))
 SCHEMA = "tag string, artist string, title string, year int, lyrics string"
 
 
@@ -130,6 +130,81 @@ def test_summary_and_documents(spark, out):
     assert sum(t["records"] for t in got["totals"]) == sum(1991 <= r[3] <= 2002 for r in kept())
 
 
+def test_tables_by_item_join_without_an_exchange(spark, out):
+    _, to = out
+    steps.discover(spark, to, "rap", ["pop"], None, CFG)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = [steps._laid(spark, to, name, CFG, "rap", (1995, 1999)) for name in ("genre_year_item", "entity_year_item", "curve")]
+        a, b, c = (t.groupBy("item").agg(F.count("*").alias(x)) for t, x in zip(tables, "abc", strict=True))
+        df = tables[0].join(a.where("a > 1"), "item", "left_semi").groupBy("item").agg(F.sum("records")).join(b, "item").join(c, "item")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SelectedBucketsCount: 3 out of 3") == 4
+        assert plan.count("PartitionFilters: [isnotnull(genre") == 4 and df.count() > 0
+        files = steps._laid(spark, to, "genre_year_item", CFG, "rap", (1991, 1999)).inputFiles()
+        assert files and all("genre=rap/decade=1990" in f for f in files)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_laid_table_is_known_in_another_session(spark, out):
+    _, to = out
+    name = steps.open_laid(spark, f"{to}/presence", "item")
+    other = spark.newSession()
+    other.sql("DROP TABLE IF EXISTS " + __import__("wordtide.sources.tables", fromlist=["_"])._laid_name(f"{to}/presence"))  # external: files stay
+    again = steps.open_laid(other, f"{to}/presence", "item")
+    assert again.count() == name.count() > 0 and sorted(again.columns) == sorted(name.columns)
+
+
+def test_profiles_hold_every_part(spark, out):
+    shards, to = out
+    lex = lexicon(spark, [{"id": "drip", "label": "Drip", "cat": "c", "gloss": "g", "tokens": ["drip", "drippy"], "region": "East"}, {"id": "wordup", "phrases": ["word up"], "poly": True}, {"id": "never", "tokens": ["unheard"]}])
+    steps.match_terms(spark, shards, to, lex, "rap", CFG, account="^Genius")
+    artists = spark.read.parquet(f"{to}/artists")
+    known = artists.select("entity", (F.col("entity") % 3).cast("long").alias("sitelinks"), F.lit("Q").alias("base_id"), F.when(F.col("entity") % 2 == 0, "East").otherwise("West").alias("region"), F.lit(None).cast("string").alias("scene"))
+    steps.profiles(spark, to, lex, "rap", ["pop"], known, cfg=CFG)
+    got = {r["id"]: r for r in (json.loads(x[0]) for x in spark.read.text(f"{to}/terms.json").collect())}
+    assert set(got) == {"drip", "wordup"}
+    years = range(1991, 2003)
+    ids = {r["name"]: r["entity"] for r in artists.collect()}
+    rap = [r for r in kept() if r[0] == "rap"]
+    for item, hit in (("drip", lambda r: words(r) & {"drip", "drippy"}), ("wordup", lambda r: "word up" in re.sub(r"\[[^\]]*\]", "", r[4]).lower())):
+        x, n = got[item], {y: len({r[1] for r in rap if r[3] == y and hit(r)}) for y in years}
+        assert x["focal_n"] == [n[y] for y in years]
+        raw = [100 * n[y] / len({r[1] for r in rap if r[3] == y}) for y in years]
+        smooth = [sum(raw[max(i - 1, 0) : i + 2]) / len(raw[max(i - 1, 0) : i + 2]) for i in range(len(raw))]
+        assert x["focal_raw"] == pytest.approx(raw, abs=6e-4) and x["focal"] == pytest.approx(smooth, abs=6e-4)
+        assert x["life"]["peak"] == max(x["focal"]) and x["life"]["peak_year"] == 1991 + smooth.index(max(smooth))
+        assert set(x["genres"]) == {"pop"} and len(x["genres"]["pop"]) == len(years) and x["cross"]["pop"]["peak"] == max(x["genres"]["pop"])
+        dated = {r[1]: sorted(s[3] for s in rap if s[1] == r[1]) for r in rap}
+        p10 = {a: v[int(h)] + (h - int(h)) * (v[min(int(h) + 1, len(v) - 1)] - v[int(h)]) for a, v in dated.items() for h in [0.1 * (len(v) - 1)]}
+        used = [r for r in rap if hit(r) and r[3] in years and r[3] >= p10[r[1]] - 3]
+        assert x["life"]["total_entities"] == len({r[1] for r in used})
+        by = {y: len({r[1] for r in used if r[3] == y}) for y in years}
+        assert x["people"]["first_seen"] == min([y for y in years if by[y] >= 2], default=min(y for y in years if by[y]))
+        some = {a for a, e in ids.items() if e % 3 > 0}  # notable
+        assert {p["artist"] for k in ("early", "popularizers", "signature") for p in x["people"][k]} <= some
+        many = sorted(((-sum(r[1] == a for r in used), ids[a]) for a in some if sum(r[1] == a for r in used) >= 5))[:5]
+        assert [(-p["songs"], ids[p["artist"]]) for p in x["people"]["signature"]] == many
+        for region, odd in (("East", 0), ("West", 1)):
+            own = {a for a, e in ids.items() if e % 2 == odd}
+            part = x["regions"][region]
+            assert part["entity_years"] == sum(len({r[1] for r in rap if r[3] == y} & own) for y in years)
+            assert part["ever"] == pytest.approx(100 * len({r[1] for r in used} & own) / len({r[1] for r in rap} & own), abs=6e-3) and len(part["curve"]) == len(years)
+    assert got["drip"]["region_hint"] == "East" and got["wordup"]["poly"] and got["drip"]["label"] == "Drip"
+    steps.profiles(spark, to, lex, "rap", ["pop"], None, cfg=CFG)
+    bare = [json.loads(r[0]) for r in spark.read.text(f"{to}/terms.json").collect()]
+    assert all(r["regions"] is None and r["people"]["signature"] == [] for r in bare) and len(bare) == 2
+
+
+def test_totals_are_dense(spark, out):
+    _, to = out
+    steps.meta(spark, to, "rap", 1, replace(CFG, years=(1985, 2002)))
+    got = read(to, "meta.json")["totals"]
+    assert len(got) == 2 * 18 and {t["records"] for t in got if t["year"] < 1989} == {0}
+
+
 def test_pool_rates_leave_others_out(spark):
     used = spark.createDataFrame([(1, 2000, "x", 2), (2, 2000, "x", 1), (3, 2000, "x", 1), (3, 2000, "y", 1)], "entity int, year int, item string, records int")
     active = spark.createDataFrame([("g", e, 2000) for e in (1, 1, 2, 3, 4)] + [("h", 1, 2000)], "genre string, entity int, year int")

@@ -5,11 +5,12 @@ without any item count in the denominators."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import pct
+from ..functions.arrays import once, pct
+from . import presence as P
 
 
 def totals(active: DataFrame) -> DataFrame:
@@ -17,6 +18,12 @@ def totals(active: DataFrame) -> DataFrame:
     return active.groupBy("genre", "year").agg(F.count("*").alias("records"), F.count_distinct("entity").alias("entities"))
 
 
+def dense_totals(whole: DataFrame, y0: int, y1: int) -> DataFrame:
+    """genre, year, records, entities for every year from y0 to y1, 0 in years without records."""
+    grid = whole.select("genre").distinct().withColumn("year", F.explode(F.sequence(F.lit(y0), F.lit(y1))))
+    return grid.join(whole.select("genre", F.col("year").cast("int").alias("year"), "records", "entities"), ["genre", "year"], "left").fillna({"records": 0, "entities": 0})
+
+
 def adoption(uses: DataFrame, active: DataFrame) -> DataFrame:
     """genre, year, item, records, entities, entities_tot, pct, pct_records. A record counts once an item."""
     n = uses.groupBy("genre", "year", "item").agg(F.count("*").alias("records"), F.count_distinct("entity").alias("entities"))
@@ -37,12 +44,20 @@ def pool_rates(entity_year_item: DataFrame, active: DataFrame, pool: DataFrame,
     return rates(used.withColumn("genre", F.lit(focal)), totals(own))
 
 
-def curve_arrays(adopted: DataFrame, y0: int, y1: int, genres: DataFrame | None = None) -> DataFrame:
+def pool_shares(present: DataFrame, active: DataFrame, pool: DataFrame, focal: str) -> DataFrame:
+    """genre, year, item, entities, entities_tot, pct by the pool(entity) alone, as pool_rates() has them, from presence tables:
+    present(genre, year, item) of uses and active(genre, year) of records. No use is joined with the pool."""
+    members = P.presence(pool.distinct())
+    own = F.col("genre") == focal
+    n = P.entities_within(present.where(own), members, "genre", "year", "item")
+    whole = P.entities_within(active.where(own), members, "genre", "year").withColumnRenamed("entities", "entities_tot")
+    return n.join(whole, ["genre", "year"]).select("genre", "year", "item", "entities", "entities_tot", pct(F.col("entities"), F.col("entities_tot")).alias("pct"))
+
+
+def curve_arrays(adopted: DataFrame, y0: int, y1: int, genres: DataFrame) -> DataFrame:
     """genre, item, c: curve() as an array of (year, r, s, n) in order of years, for every item and genre.
 
-    Rates are gathered by item, which is the only shuffle; genres(genre) are a small dimension that is broadcast. Without it they are
-    read from adopted, which then runs twice."""
-    genres = genres if genres is not None else adopted.select("genre").distinct()
+    Rates are gathered by item, which is the only shuffle; genres(genre) are a small dimension that is broadcast."""
     had = adopted.groupBy("item").agg(F.collect_list(F.struct("genre", "year", F.col("pct").alias("r"), F.col("entities").alias("n"))).alias("had"))
     own = F.filter("had", lambda x: (x.genre == F.col("genre")) & x.year.between(y0, y1))
     by_year = F.map_from_entries(F.transform(own, lambda x: F.struct(x.year.cast("int").alias("year"), x)))
@@ -61,12 +76,7 @@ def smooth_arrays(df: DataFrame) -> DataFrame:
     return once(df, "c", c)
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that later filters can't be pushed below: they would work it out again for every mention of it."""
-    return df.select(*[x for x in df.columns if x != name], F.explode(F.array(value)).alias(name))
-
-
-def curve(adopted: DataFrame, y0: int, y1: int, genres: DataFrame | None = None) -> DataFrame:
+def curve(adopted: DataFrame, y0: int, y1: int, genres: DataFrame) -> DataFrame:
     """genre, item, year, r, s, n: raw rate, mean of three years around, users. Missing years are zeros, also for smoothing."""
     return curve_arrays(adopted, y0, y1, genres).select("genre", "item", F.inline("c"))
 

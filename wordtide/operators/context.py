@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from ..functions.text import ascii_edges, tokens, windows
 
 
 def kwic(records: DataFrame, forms: DataFrame, width: int = 8, text: str = "text") -> DataFrame:
     """record, genre, year, target, pos (0-based), form, window: every occurrence of a form(target, form), repeats counted, with width
-    tokens on either side. All targets in one pass; records without a form are dropped before tokens are laid out."""
+    tokens on either side. All targets in one pass; records without a form are dropped before tokens are laid out. Records that have toks
+    already keep them; else the pattern runs once a text."""
     listed = forms.select("target", F.col("form")).distinct()
     all_forms = F.array(*[F.lit(r[0]) for r in listed.select("form").distinct().orderBy("form").collect()])  # a hand-made list
     cols = [c for c in ("record", "genre", "year") if c in records.columns]
-    rows = records.select(*cols, tokens(F.col(text)).alias("toks")).where(F.arrays_overlap("toks", all_forms))
+    rows = records.select(*cols, "toks") if "toks" in records.columns else once(records.select(*cols, text), "toks", tokens(F.col(text))).drop(text)
+    rows = rows.where(F.arrays_overlap("toks", all_forms))
     hits = F.filter(F.transform("toks", lambda x, i: F.struct(i.alias("pos"), x.alias("form"))), lambda x: F.array_contains(all_forms, x.form))
     rows = rows.select(*cols, "toks", F.explode(hits).alias("hit"))
     rows = rows.select(*cols, F.col("hit.pos").alias("pos"), F.col("hit.form").alias("form"), windows(F.col("toks"), F.col("hit.pos"), width).alias("window"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from ..functions.text import ACCOUNT, is_account, normalise, tokens
 
 
@@ -31,8 +32,8 @@ def entities(names: DataFrame, name: str = "artist", ranges: int = 256) -> DataF
 
 
 def tokenise(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds toks, words (distinct) and n_tokens (with repeats); the pattern runs once a text."""
-    t = texts.withColumn("toks", tokens(F.col(text)))
+    """Adds toks, words (distinct) and n_tokens (with repeats); the pattern runs once a text, whatever is asked of its tokens later."""
+    t = once(texts, "toks", tokens(F.col(text)))
     return t.withColumn("words", F.array_distinct("toks")).withColumn("n_tokens", F.size("toks"))
 
 

@@ -74,9 +74,10 @@ def unmapped(records: DataFrame, lex: DataFrame, text: str = "text") -> DataFram
     return found.where(~known).groupBy("m").agg(F.count("*").alias("records"))
 
 
-def term_uses(matched: DataFrame, records: DataFrame) -> DataFrame:
-    """record, entity, genre, year, item: matches as uses, for adoption()."""
-    return matched.select("record", F.col("term").alias("item")).join(records.select("record", "entity", "genre", "year"), "record")
+def term_uses(matched: DataFrame, records: DataFrame, title: bool = False) -> DataFrame:
+    """record, entity, genre, year, item (and title): matches as uses, for adoption()."""
+    cols = ["record", "entity", "genre", "year", *["title"] * title]
+    return matched.select("record", F.col("term").alias("item")).join(records.select(*cols), "record")
 
 
 def rollup(uses: DataFrame) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import half_even, ratio
-from .adoption import once
+from ..functions.arrays import half_even, once, ratio
 
 
 def series(curve: DataFrame, keys: tuple[str, ...] = ("genre", "item")) -> DataFrame:

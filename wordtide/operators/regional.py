@@ -7,40 +7,72 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import pct
-from .adoption import smooth
+from . import presence as P
+from .adoption import smooth_arrays
 from .context import log_odds
 from .lifecycle import series, years_where
 
 
+def _present(rows: DataFrame, *keys: str) -> DataFrame:
+    """A presence table over those keys, of uses or of a presence table over more."""
+    return P.joined(rows, *keys) if "bits" in rows.columns else P.presence(rows, *keys)
+
+
+def members(regions: DataFrame) -> DataFrame:
+    """regions(entity, region) as a presence table."""
+    return P.presence(regions.where("region is not null"), "region")
+
+
 def active_by_year(active: DataFrame, regions: DataFrame) -> DataFrame:
     """region, year, active: entities of the region with a record that year."""
-    return active.join(regions, "entity").groupBy("region", "year").agg(F.count_distinct("entity").alias("active"))
+    return P.entities_within(_present(active, "year"), members(regions), "year").select("region", "year", F.col("entities").alias("active"))
+
+
+def regional_arrays(uses: DataFrame, active: DataFrame, regions: DataFrame, y0: int, y1: int, valid_from: int = 0) -> DataFrame:
+    """item, region, c: regional_curves() as an array of (year, r, s, n, active, valid) in order of years.
+
+    uses(item, year) and active(year): rows with their entity, or presence tables; both meet the regions as presence words, so uses are
+    shuffled once, before they are joined with anything. Counts are gathered by item; the regions' active entities by year are a small
+    dimension, one row a region."""
+    who = members(regions)
+    n = P.entities_within(_present(uses, "item", "year"), who, "item", "year")
+    had = n.groupBy("item").agg(F.collect_list(F.struct("region", "year", F.col("entities").alias("n"))).alias("had"))  # regions x years
+    den = P.entities_within(_present(active, "year"), who, "year")
+    den = regions.where("region is not null").select("region").distinct().join(den, "region", "left").groupBy("region").agg(F.collect_list(F.when(F.col("year").isNotNull(), F.struct(F.col("year").cast("int").alias("year"), "entities"))).alias("den"))
+    years = F.sequence(F.lit(y0), F.lit(y1))
+    by_year = lambda xs, value: F.map_from_entries(F.transform(xs, lambda x: F.struct(x.year.cast("int").alias("year"), x[value])))
+    rows = had.crossJoin(den)  # each item with each region, as asked for
+    rows = rows.select("item", "region", by_year(F.filter("had", lambda x: (x.region == F.col("region")) & x.year.between(y0, y1)), "n").alias("had"), by_year(F.col("den"), "entities").alias("den"))
+    at = lambda xs, y: F.coalesce(F.try_element_at(xs, y), F.lit(0).cast("long"))
+
+    def year(y):
+        n, a = at("had", y), at("den", y)
+        ok = (a >= valid_from) & (a > 0)
+        return F.struct(y.alias("year"), F.when(ok, pct(n, a)).otherwise(0.0).alias("r"), n.alias("n"), a.alias("active"), ok.alias("valid"))
+
+    return smooth_arrays(rows.select("item", "region", F.transform(years, year).alias("c")))
 
 
 def regional_curves(uses: DataFrame, active: DataFrame, regions: DataFrame, y0: int, y1: int, valid_from: int = 0) -> DataFrame:
     """item, region, year, r, s, n, active, valid: years with fewer than valid_from active entities, or none, are 0 before smoothing."""
-    n = uses.join(regions, "entity").groupBy("item", "region", "year").agg(F.count_distinct("entity").alias("n"))
-    den = active_by_year(active, regions)
-    keys = n.select("item").distinct().crossJoin(F.broadcast(regions.select("region").distinct()))
-    dense = keys.withColumn("year", F.explode(F.sequence(F.lit(y0), F.lit(y1))))
-    dense = dense.join(n, ["item", "region", "year"], "left").join(F.broadcast(den), ["region", "year"], "left").fillna({"n": 0, "active": 0})
-    valid = (F.col("active") >= valid_from) & (F.col("active") > 0)
-    dense = dense.withColumn("valid", valid).withColumn("r", F.when(valid, pct(F.col("n"), F.col("active"))).otherwise(0.0))
-    return smooth(dense, ["item", "region"])
+    return regional_arrays(uses, active, regions, y0, y1, valid_from).select("item", "region", F.inline("c"))
 
 
 def ever_share(uses: DataFrame, active: DataFrame, regions: DataFrame) -> DataFrame:
-    """item, region, ever: share of the region's entities that ever used the item, in percent."""
-    whole = active.join(regions, "entity").groupBy("region").agg(F.count_distinct("entity").alias("all"))
-    n = uses.join(regions, "entity").groupBy("item", "region").agg(F.count_distinct("entity").alias("n"))
-    return n.join(F.broadcast(whole), "region").select("item", "region", pct(F.col("n"), F.col("all")).alias("ever"))
+    """item, region, ever: share of the region's entities that ever used the item, in percent. uses, active: rows or presence tables."""
+    who = members(regions)
+    whole = P.entities_within(_present(active), who).withColumnRenamed("entities", "all")
+    n = P.entities_within(_present(uses, "item"), who, "item")
+    return n.join(whole, "region").select("item", "region", pct(F.col("entities"), F.col("all")).alias("ever"))
 
 
 def distinctive(uses: DataFrame, active: DataFrame, regions: DataFrame, strength: float = 2000.0, least: int = 6, least_share: float = 0.015, times: float = 2.0, z: float = 3.0) -> DataFrame:
-    """era (if there), region, item, n, share, rest, z: items that a region's entities use far more than all others'."""
+    """era (if there), region, item, n, share, rest, z: items that a region's entities use far more than all others'. uses, active: rows
+    or presence tables."""
     keys = ["era"] if "era" in uses.columns else []
-    y = uses.join(regions, "entity").groupBy(*keys, "region", "item").agg(F.count_distinct("entity").alias("y"))
-    trials = active.join(regions, "entity").groupBy(*keys, "region").agg(F.count_distinct("entity").alias("n"))
+    who = members(regions)
+    y = P.entities_within(_present(uses, *keys, "item"), who, *keys, "item").withColumnRenamed("entities", "y")
+    trials = P.entities_within(_present(active, *keys), who, *keys).withColumnRenamed("entities", "n")
     df = log_odds(y, strength, keys, "region", trials=trials)
     df = df.withColumn("share", pct(F.col("y1"), F.col("n1"))).withColumn("rest", pct(F.col("y2"), F.col("n2")))
     ok = (F.col("y1") >= F.greatest(F.lit(float(least)), F.col("n1") * least_share)) & (F.col("share") >= F.col("rest") * times) & (F.col("z") > z)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import adoption as A
 from ..operators import lifecycle as L
 from ..operators import people as P
+from ..operators import presence as B
 from ..operators import regional as R
 from ..operators import views as V
 from .registry import longs, query, rounded, table
@@ -360,7 +361,7 @@ rtake AS (SELECT x.item, x.region, coalesce(stop + 1, {Y0}) AS year, stop IS NUL
 
 
 def rtakes(spark, d):
-    return R.regional_takeoff(rcurves(spark, d, 3, "p_name"), 1.0, 2, 0.7)
+    return R.regional_takeoff(R.regional_arrays(uses(spark, d, "p_name"), active(spark, d), regions(spark, d), Y0, Y1, 3), 1.0, 2, 0.7)
 
 
 @query(sql(REC, uses_sql("p_name"), YEARS, REG, rcurve_sql(3), RTAKE) + " SELECT item, region, CAST(year AS BIGINT) AS year, established, round(level, 4) AS level FROM rtake")
@@ -386,6 +387,26 @@ def regional_distinct(spark, d):
     return rounded(R.distinctive(uses(spark, d, "p_name"), active(spark, d), regions(spark, d), 50.0, 3, 0.015, 1.1, 1.0), "share", "rest", "z")
 
 
+@query(
+    sql(REC, uses_sql("p_brand"), f"pool AS (SELECT entity FROM rec WHERE genre = '{FOCAL}' GROUP BY entity HAVING count(*) >= 14)", f"t AS (SELECT year, count(DISTINCT entity) AS n FROM rec SEMI JOIN pool USING (entity) WHERE genre = '{FOCAL}' GROUP BY year)")
+    + f" SELECT item, CAST(u.year AS BIGINT) AS year, count(DISTINCT entity) AS entities, any_value(t.n) AS entities_tot, round(CAST(100.0 AS DOUBLE) * count(DISTINCT entity) / any_value(t.n), 4) AS pct FROM uses u SEMI JOIN pool USING (entity) JOIN t USING (year) WHERE genre = '{FOCAL}' GROUP BY ALL"
+)
+def pool_rates(spark, d):
+    """Rates within the pool, from presence words of uses and of records."""
+    a = active(spark, d)
+    present = B.presence(uses(spark, d, "p_brand"), "genre", "year", "item")
+    found = A.pool_shares(present, B.presence(a, "genre", "year"), L.pool(a, FOCAL, 14), FOCAL)
+    return longs(rounded(found.select("item", "year", "entities", "entities_tot", "pct"), "pct"), "year")
+
+
+@query(sql(REC, uses_sql("p_name")) + " SELECT item, count(*) AS records, count(DISTINCT entity) AS entities, count(DISTINCT entity) FILTER (year >= 1998) AS late FROM uses GROUP BY item")
+def presence_totals(spark, d):
+    """Distinct entities of an item over all years and over some, from one presence table by year."""
+    table = B.presence(uses(spark, d, "p_name"), "year", "item")
+    late = B.counted(table.where("year >= 1998"), "item").select("item", F.col("entities").alias("late"))
+    return B.counted(table, "item").join(late, "item", "left").fillna({"late": 0}).select("item", "records", "entities", "late")
+
+
 @query(sql(*base()) + " SELECT genre, item, CAST(year AS BIGINT) AS year, round(100 * s / max(s) OVER (PARTITION BY genre, item), 4) AS idx FROM curve")
 def index_to_peak(spark, d):
     return longs(rounded(V.index_to_peak(curves(spark, d)), "idx"), "year")

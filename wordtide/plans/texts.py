@@ -11,6 +11,7 @@ from ..operators import context as K
 from ..operators import corpus as C
 from ..operators import lexicon as X
 from ..operators import lifecycle as L
+from ..operators import presence as B
 from ..operators import views as V
 from .registry import longs, query, rounded, table
 
@@ -69,7 +70,11 @@ def normalise_tokens(spark, d):
 
 @query(f"WITH {RECT}, {USES} SELECT genre, item, count(*) AS records, count(DISTINCT entity) AS entities FROM uses GROUP BY ALL")
 def doc_freq(spark, d):
-    return C.uses_of(records(spark, d)).groupBy("genre", "item").agg(F.count("*").alias("records"), F.count_distinct("entity").alias("entities"))
+    """Sources are numbered by C.entities, and counted as presence words."""
+    r = records(spark, d)
+    ids = C.entities(table(spark, d, "documents"), "source").withColumnRenamed("name", "source")
+    uses = C.uses_of(r.withColumnRenamed("entity", "source").join(ids, "source", "left"))
+    return B.counted(B.presence(uses, "genre", "item"), "genre", "item")
 
 
 @query(f"WITH {RECT}, {USES} SELECT item, count(*) AS records FROM uses GROUP BY item HAVING count(*) >= 10")
@@ -250,7 +255,7 @@ def term_lookup(spark, d):
 def peak_calendar(spark, d):
     r = records(spark, d)
     u = X.term_uses(X.match(r, lex(spark)), r)
-    return V.peak_calendar(A.curve(A.adoption(u, r), Y0, Y1).where("genre = 'en'"), lex(spark))
+    return V.peak_calendar(A.curve(A.adoption(u, r), Y0, Y1, r.select("genre").distinct()).where("genre = 'en'"), lex(spark))
 
 
 @query("SELECT doc_id, CAST(file_row_number + 1000000 AS BIGINT) AS record FROM (SELECT doc_id, row_number() OVER () - 1 AS file_row_number FROM documents)")

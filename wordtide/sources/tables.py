@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 
@@ -59,6 +60,37 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd", by: list[
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def _laid_name(path: str) -> str:
+    return "wordtide_" + hashlib.md5(path.encode()).hexdigest()  # noqa: S324  a name, not a secret
+
+
+def write_laid(df: DataFrame, path: str, by: list[str], on: str, buckets: int, compression: str = "zstd") -> DataFrame:
+    """Write a table with a layout and open it: folders by the columns `by`, and in each folder a file for each of `buckets` buckets of
+    `on`. Tables with equal buckets join and group by `on` without an exchange, and filters on `by` read only their folders. The layout lies in
+    the files' schema, so that open_laid() knows it in any session."""
+    spark, name = df.sparkSession, _laid_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    rows = df.withMetadata(on, {"by": by, "buckets": buckets}).repartition(buckets, on)  # a task writes one bucket of each folder
+    w = rows.write.mode("overwrite").option("compression", compression).option("path", path).format("parquet")
+    (w.partitionBy(*by) if by else w).bucketBy(buckets, on).sortBy(on).saveAsTable(name)
+    return open_laid(spark, path, on)
+
+
+def open_laid(spark: SparkSession, path: str, on: str) -> DataFrame:
+    """A table of write_laid(), by its path; it is named in the session's catalog on first use."""
+    name = _laid_name(path)
+    if not spark.catalog.tableExists(name):
+        schema = spark.read.parquet(path).schema
+        layout = schema[on].metadata
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        by = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in layout['by'])}) " if layout["by"] else ""
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {by}CLUSTERED BY (`{on}`) SORTED BY (`{on}`) INTO {layout['buckets']} BUCKETS LOCATION '{path}'")
+        if layout["by"]:
+            spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def write_top_csv(df: DataFrame, path: str, order: list, n: int = 300) -> None:
     """The first n rows by an order that has no ties."""
     df.orderBy(*order).limit(n).coalesce(1).write.mode("overwrite").csv(path, header=True)

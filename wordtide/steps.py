@@ -1,11 +1,15 @@
 """The runnable steps: each reads shards or the tables of earlier steps under `out`, and writes its own there.
 
-    build -> artists, songs, entity_year_item, genre_year_item, totals
+    build -> artists, songs, entity_year_item, genre_year_item, presence, active, totals
     discover -> curve, summary (CSV, sorted by peak)          from build
     match_terms -> song_terms, term_genre_year, term_entity_year   from shards and build
+    profiles -> terms.json, a line an item                     from match_terms
     turnover, regions, meaning, meta -> one JSON document each
 
-Every table is a Parquet folder that later steps reopen, so a step can be run again by itself."""
+Every table is a Parquet folder that later steps reopen, so a step can be run again by itself. The tables by item are laid out alike: a folder
+for each genre and decade, and in it the same buckets of items, so that steps join and group them by item without an exchange and read only
+the folders of their genres and years. presence has the distinct entities of every item, year and genre as bits (operators/presence): what
+steps count of distinct entities they take from there."""
 
 from __future__ import annotations
 
@@ -21,9 +25,12 @@ from .operators import context as C
 from .operators import corpus as K
 from .operators import lexicon as X
 from .operators import lifecycle as L
+from .operators import people as H
+from .operators import presence as P
+from .operators import profiles as T
 from .operators import regional as R
 from .operators import views as V
-from .sources.tables import read_csv, read_shards, with_provenance, write_document, write_parquet
+from .sources.tables import open_laid, read_csv, read_shards, with_provenance, write_document, write_json, write_laid, write_parquet
 
 Eras = list[tuple[str, int, int]]
 
@@ -46,20 +53,41 @@ def build(spark: SparkSession, shards: str, out: str, focal: str, cfg: Config =
     songs = spark.read.parquet(words)
     write_parquet(songs.drop("words"), f"{out}/songs")
     uses = K.uses_of(songs)
-    vocab = K.vocabulary(uses, cfg.min_records)
-    write_parquet(K.entity_year_word(uses, vocab, focal), f"{out}/entity_year_item")
-    write_parquet(K.genre_year_word(uses, vocab), f"{out}/genre_year_item")
-    write_parquet(A.totals(_open(spark, out, "songs")), f"{out}/totals")
+    write_parquet(K.vocabulary(uses, cfg.min_records), f"{out}/vocabulary")
+    vocab = _open(spark, out, "vocabulary")
+    _lay(K.entity_year_word(uses, vocab, focal).withColumn("genre", F.lit(focal)), out, "entity_year_item", cfg)
+    present = _lay(P.presence(uses.join(vocab, "item", "left_semi"), "genre", "year", "item"), out, "presence", cfg)
+    counts = P.counted(present, "genre", "year", "item")
+    _lay(counts.select("genre", "year", "item", F.col("records").cast("int").alias("records"), F.col("entities").cast("int").alias("entities")), out, "genre_year_item", cfg)
+    write_parquet(P.presence(_open(spark, out, "songs"), "genre", "year"), f"{out}/active")
+    write_parquet(P.counted(_open(spark, out, "active"), "genre", "year"), f"{out}/totals")
+
+
+def _lay(df: DataFrame, out: str, name: str, cfg: Config) -> DataFrame:
+    """Write a table by genre, year and item in the steps' layout."""
+    decade = (F.floor(F.col("year") / cfg.decade) * cfg.decade).cast("int")
+    return write_laid(df.withColumn("decade", decade), f"{out}/{name}", ["genre", "decade"], "item", cfg.buckets)
+
+
+def _laid(spark: SparkSession, out: str, name: str, cfg: Config, genre: str | None = None, years: tuple[int, int] | None = None) -> DataFrame:
+    """A table of _lay(), of one genre and some years, whose folders alone are read."""
+    df = open_laid(spark, f"{out}/{name}", "item")
+    if genre is not None:
+        df = df.where(F.col("genre") == genre)
+    if years is not None:
+        low, high = (y // cfg.decade * cfg.decade for y in years)
+        df = df.where(F.col("decade").between(low, high) & F.col("year").between(*years))
+    return df.drop("decade")
 
 
 def discover(spark: SparkSession, out: str, focal: str, others: list[str], dictionary: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """curve of the focal genre's words, and the summary of those that get a category; returns the summary. dictionary: word."""
-    counts, whole = _open(spark, out, "genre_year_item"), _open(spark, out, "totals")
-    own = counts.where((F.col("genre") == focal) & F.col("year").between(*cfg.years))
+    counts, whole = _laid(spark, out, "genre_year_item", cfg), _open(spark, out, "totals")
+    own = _laid(spark, out, "genre_year_item", cfg, focal, cfg.years)
     heavy = own.groupBy("item").agg(F.sum("entities").alias("m")).where(F.col("m") >= cfg.min_entity_years)
     only = spark.createDataFrame([(focal,)], "genre string")
-    write_parquet(A.curve(A.rates(own.join(heavy, "item", "left_semi"), whole), *cfg.years, only), f"{out}/curve")
-    curve = _open(spark, out, "curve")
+    _lay(A.curve(A.rates(own.join(heavy, "item", "left_semi"), whole), *cfg.years, only), out, "curve", cfg)
+    curve = _laid(spark, out, "curve", cfg)
     grown = L.growth(curve, cfg.window).drop("genre")
     emerged = L.emergence(curve, cfg.emerge, cfg.min_users)
     ratios = L.log_ratio(counts, whole, focal, others, cfg.ratio_from, cfg.ratio_add)
@@ -105,8 +133,9 @@ def turnover(spark: SparkSession, out: str, focal: str, fame: DataFrame | None =
     spec = read_csv(spark, f"{out}/summary")
     known = spec.where("in_dictionary").select("word")
     cand = L.candidates(spec.select(F.col("word").alias("item"), F.col("log_ratio").alias("ratio")), _names(spark, out, focal, cfg.name_records), known, blocked=blocked)
-    used = _open(spark, out, "entity_year_item").join(cand, "item", "left_semi").where(F.col("year").between(*cfg.years))
-    write_parquet(A.curve(A.pool_rates(used, songs.where(F.col("year").between(*cfg.years)), pool, focal), *cfg.years, spark.createDataFrame([(focal,)], "genre string")), f"{out}/pool_curve")
+    used = _laid(spark, out, "presence", cfg, focal, cfg.years).join(cand, "item", "left_semi")
+    shares = A.pool_shares(used, _open(spark, out, "active").where(F.col("year").between(*cfg.years)), pool, focal)
+    write_parquet(A.curve(shares, *cfg.years, spark.createDataFrame([(focal,)], "genre string")), f"{out}/pool_curve")
     curve = _open(spark, out, "pool_curve")
     write_parquet(L.bursts(curve), f"{out}/bursts")
     burst = _open(spark, out, "bursts")
@@ -127,8 +156,8 @@ def regions(spark: SparkSession, out: str, focal: str, mapped: DataFrame, eras:
     """regions.json: active entities by era, each era's own words and places of every region, and how the terms of the lexicon spread
     among the timed regions. mapped: entity, region; places: place."""
     songs = _open(spark, out, "songs").where(F.col("genre") == focal)
-    active = C.with_era(songs, eras).select("era", "entity", "year")
-    uses = C.with_era(_open(spark, out, "entity_year_item"), eras).select("era", "entity", "item")
+    active = C.with_era(_open(spark, out, "active").where(F.col("genre") == focal), eras)
+    uses = C.with_era(_laid(spark, out, "presence", cfg, focal, (min(e[1] for e in eras), max(e[2] for e in eras))), eras)
     found = R.distinctive(uses, active, mapped).where(~F.col("item").rlike(r"^[0-9]+\z"))
     if blocked:
         found = found.where(~F.col("item").rlike(rf"^(?:{blocked})\z"))
@@ -140,12 +169,12 @@ def regions(spark: SparkSession, out: str, focal: str, mapped: DataFrame, eras:
     some = mapped.where(F.col("region").isin(timed))
     plain = lex.where(~F.col("poly")).select(F.col("id").alias("item"))
     terms = _open(spark, out, "term_entity_year").join(F.broadcast(plain), "item", "left_semi")
-    write_parquet(R.regional_curves(terms, songs.select("entity", "year"), some, *cfg.years, valid_from), f"{out}/regional_curve")
+    write_parquet(R.regional_arrays(terms, songs.select("entity", "year"), some, *cfg.years, valid_from), f"{out}/regional_curve")
     takeoffs = R.regional_takeoff(_open(spark, out, "regional_curve"), min_users=cfg.min_users, frac=cfg.takeoff)
     chosen = R.diffusion_choice(R.origin(takeoffs), featured)
     write_document(
         f"{out}/regions.json",
-        active=active.join(mapped, "entity").groupBy("era", "region").agg(F.count_distinct("entity").alias("entities")),
+        active=P.entities_within(active, R.members(mapped), "era"),
         distinctive=shown.select("era", "region", "is_place", "rank", "item", half_even(F.col("share"), 2).alias("share"), half_even(F.col("rest"), 2).alias("rest"), half_even(F.col("z"), 1).alias("z")),
         diffusion=chosen,
         takeoffs=takeoffs.join(chosen.select("item"), "item", "left_semi").select("item", "region", "year", "established"),
@@ -170,7 +199,27 @@ def meaning(spark: SparkSession, shards: str, out: str, focal: str, forms: DataF
     )
 
 
+def profiles(spark: SparkSession, out: str, lex: DataFrame, focal: str, others: list[str], known: DataFrame | None = None, leagues: str = H.LEAGUES, cfg: Config = DEFAULT) -> None:
+    """terms.json: a line for each item of the lexicon that the focal genre used: label, curves of every genre, life, crossover, people and
+    regions. known: entity, sitelinks, base_id, region, scene; without it nobody is notable and there are no regions."""
+    songs = _open(spark, out, "songs").where(F.col("year").between(*cfg.years))
+    own = _open(spark, out, "songs").where(F.col("genre") == focal)
+    counts = _open(spark, out, "term_genre_year").withColumnRenamed("term", "item")
+    genres = spark.createDataFrame([(g,) for g in [focal, *others]], "genre string")
+    curves = A.curve_arrays(A.rates(counts.join(F.broadcast(genres), "genre"), _open(spark, out, "totals")), *cfg.years, genres)
+    write_parquet(curves, f"{out}/term_curve")
+    curves = _open(spark, out, "term_curve")
+    attrs = H.notable(H.attributes(_open(spark, out, "songs"), _open(spark, out, "artists"), focal, known), cfg.pool_records, leagues)
+    uses = X.term_uses(_open(spark, out, "song_terms"), songs.where(F.col("genre") == focal), title=True)
+    write_parquet(H.guard(uses, own), f"{out}/term_uses")
+    uses = _open(spark, out, "term_uses")
+    regions = None if known is None else known.select("entity", "region").where("region is not null")
+    life = T.life(curves, focal, lex, cfg.takeoff, cfg.emerge, cfg.min_users)
+    people = T.people(uses, attrs, life)
+    spread = None if regions is None else T.regions(uses, songs.where(F.col("genre") == focal).select("entity", "year"), own.select("entity"), regions, *cfg.years)
+    write_json(T.profiles(lex, curves, life, focal, cfg.takeoff, cfg.min_users, people, spread), f"{out}/terms.json")
+
+
 def meta(spark: SparkSession, out: str, focal: str, terms: int, cfg: Config = DEFAULT) -> None:
-    """meta.json: records and entities of every genre and year, and what a page's head says."""
-    own = F.col("year").between(*cfg.years)
-    write_document(f"{out}/meta.json", totals=_open(spark, out, "totals").where(own), headline=V.headline(_open(spark, out, "songs"), focal, terms))
+    """meta.json: records and entities of every genre in every year, 0 where there are none, and what a page's head says."""
+    write_document(f"{out}/meta.json", totals=A.dense_totals(_open(spark, out, "totals"), *cfg.years), headline=V.headline(_open(spark, out, "songs"), focal, terms))
