@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import any_phrase, wrap_phrase
+from ..functions.phrases import Matcher
 
 SCHEMA = "id string, label string, cat string, gloss string, tokens array<string>, phrases array<string>, poly boolean, region string"
 
@@ -18,60 +18,56 @@ def lexicon(spark: SparkSession, terms: Iterable[dict]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def _token_terms(lex: DataFrame) -> Column | None:
-    """Terms of a record's words, as an array that may repeat itself. A lexicon is curated by hand, so its spellings go into the plan."""
-    terms: dict[str, list[str]] = {}
-    for r in lex.select("id", "tokens").orderBy("id").toLocalIterator():
-        for w in r["tokens"]:
-            if r["id"] not in terms.setdefault(w, []):
-                terms[w].append(r["id"])
-    if not terms:
-        return None
-    of = F.create_map(*[x for w in sorted(terms) for x in (F.lit(w), F.array(*map(F.lit, terms[w])))])
-    return F.flatten(F.transform(F.array_intersect("words", F.array(*map(F.lit, sorted(terms)))), lambda w: F.element_at(of, w)))
+def scan(records: DataFrame, lex: DataFrame, text: str = "text", spellings: bool = True, phrases: bool = True) -> DataFrame:
+    """record, term, unmapped: terms of each record by either route, and (without a term) strings that the phrases find together but that
+    no single phrase matches, to be warned about. One pass over the texts, without a shuffle, whatever the size of the lexicon: it goes to
+    workers as an automaton of its words (functions/phrases), not into the plan. A lexicon is written by hand and fits a worker."""
+    spark = records.sparkSession
+    terms = [(r["id"], list(r["tokens"] or ()) if spellings else [], list(r["phrases"] or ()) if phrases else []) for r in lex.select("id", "tokens", "phrases").orderBy("id").toLocalIterator()]
+    held = spark.sparkContext.broadcast(terms)
+    key = records.select("record")
 
+    def run(batches):
+        matcher = Matcher(held.value)
+        for batch in batches:
+            at, term, unmapped = [], [], []
+            for k, t in enumerate(batch.column(1)):
+                value = t.as_py()
+                if value is None:
+                    continue
+                found, unknown = matcher.find(value) if phrases else (set(), ())
+                found = sorted(found | matcher.spellings(value))
+                at += [k] * (len(found) + len(unknown))
+                term += [*found, *[None] * len(unknown)]
+                unmapped += [*[None] * len(found), *unknown]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(term, pa.string()), pa.array(unmapped, pa.string())], ["record", "term", "unmapped"])
 
-def _phrase_terms(lex: DataFrame, text: str) -> Column | None:
-    """Terms of the phrases in a text: one pass with all phrases as one alternation; then each distinct string that it found is held
-    against the phrases of every term, so that a string may yield several terms."""
-    phrases = [(r["id"], p) for r in lex.select("id", "phrases").orderBy("id").toLocalIterator() for p in r["phrases"]]
-    if not phrases:
-        return None
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(any_phrase([p for _, p in phrases])), F.lit(0)))
-    terms = lambda m: F.array(*[F.when(m.rlike(wrap_phrase(p)), F.lit(t)) for t, p in phrases])
-    return F.array_compact(F.flatten(F.transform(found, terms)))
+    return records.select("record", F.col(text).alias("text")).mapInArrow(run, f"record {key.schema[0].dataType.simpleString()}, term string, unmapped string")
 
 
-def _matched(records: DataFrame, *terms: Column | None) -> DataFrame:
-    own = [t for t in terms if t is not None]
-    if not own:
-        return records.select("record", F.lit(None).cast("string").alias("term")).limit(0)
-    return records.select("record", F.explode(F.array_distinct(F.concat(*own))).alias("term"))
+def terms_of(scanned: DataFrame) -> DataFrame:
+    """record, term of what scan() found."""
+    return scanned.where("term is not null").select("record", "term")
 
 
-def match_tokens(records: DataFrame, lex: DataFrame) -> DataFrame:
-    """record, term: a spelling may belong to several terms, and a term counts once a record. records: one row each; no shuffle."""
-    return _matched(records, _token_terms(lex))
+def warnings(scanned: DataFrame) -> DataFrame:
+    """m, records: strings of scan() that no single phrase matches."""
+    return scanned.where("unmapped is not null").groupBy(F.col("unmapped").alias("m")).agg(F.count("*").alias("records"))
+
+
+def match_tokens(records: DataFrame, lex: DataFrame, text: str = "text") -> DataFrame:
+    """record, term: a spelling may belong to several terms, and a term counts once a record. records: one row each."""
+    return terms_of(scan(records, lex, text, phrases=False))
 
 
 def match_phrases(records: DataFrame, lex: DataFrame, text: str = "text") -> DataFrame:
-    """record, term, as match_tokens() does. No shuffle."""
-    return _matched(records, _phrase_terms(lex, text))
+    """record, term, as match_tokens() does."""
+    return terms_of(scan(records, lex, text, spellings=False))
 
 
 def match(records: DataFrame, lex: DataFrame, text: str = "text") -> DataFrame:
-    """record, term by either route: one pass over the records, without a shuffle."""
-    return _matched(records, _token_terms(lex), _phrase_terms(lex, text))
-
-
-def unmapped(records: DataFrame, lex: DataFrame, text: str = "text") -> DataFrame:
-    """m, records: strings that the phrases find together but that no single phrase matches, to be warned about."""
-    phrases = [p for r in lex.select("phrases").toLocalIterator() for p in r["phrases"]]
-    if not phrases:
-        return records.select(F.lit("").alias("m"), F.lit(0).cast("long").alias("records")).limit(0)
-    found = records.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(any_phrase(phrases)), F.lit(0)))).alias("m"))
-    known = reduce(Column.__or__, [F.col("m").rlike(wrap_phrase(p)) for p in phrases])
-    return found.where(~known).groupBy("m").agg(F.count("*").alias("records"))
+    """record, term by either route."""
+    return terms_of(scan(records, lex, text))
 
 
 def term_uses(matched: DataFrame, records: DataFrame, title: bool = False) -> DataFrame:

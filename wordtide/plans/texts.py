@@ -28,10 +28,13 @@ RULES = [("the", "of", r"\bof the\b"), ("the", "conj", r"\b(?:and|in) \w+\b"), (
 STOP = ["of", "and", "in", "is", "der", "die"]
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
+def plain(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
-    rows = t.select(F.col("doc_id").alias("record"), F.col("source").alias("entity"), F.col("lang").alias("genre"), (F.lit(2000) + F.col("doc_id") % 10).cast("int").alias("year"), normalise(F.col("text")).alias("text"))
-    return C.tokenise(rows)
+    return t.select(F.col("doc_id").alias("record"), F.col("source").alias("entity"), F.col("lang").alias("genre"), (F.lit(2000) + F.col("doc_id") % 10).cast("int").alias("year"), normalise(F.col("text")).alias("text"))
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    return C.tokenise(plain(spark, d))
 
 
 RECT = r"""rect AS (SELECT doc_id AS record, source AS entity, lang AS genre, CAST(2000 + doc_id % 10 AS INTEGER) AS year,
@@ -112,28 +115,28 @@ def log_ratio(spark, d):
 
 @query(f"WITH {RECT}, {lex_sql()}, {TOKEN_HIT} SELECT record, term FROM tok")
 def token_lexicon_match(spark, d):
-    return X.match_tokens(records(spark, d), lex(spark))
+    return X.match_tokens(plain(spark, d), lex(spark))
 
 
 @query(f"WITH {RECT}, {phrase_sql()} SELECT record, term FROM hit")
 def phrase_match(spark, d):
-    return X.match_phrases(records(spark, d), lex(spark))
+    return X.match_phrases(plain(spark, d), lex(spark))
 
 
 @query(f"WITH {RECT}, {lex_sql()}, {TOKEN_HIT}, {phrase_sql()} SELECT record, term FROM tok UNION SELECT record, term FROM hit")
 def song_terms_union(spark, d):
-    return X.match(records(spark, d), lex(spark))
+    return X.match(plain(spark, d), lex(spark))
 
 
 @query(f"WITH {RECT}, {lex_sql()}, {TOKEN_HIT}, {phrase_sql()}, b AS (SELECT record, term FROM tok UNION SELECT record, term FROM hit) SELECT genre, CAST(year AS BIGINT) AS year, term AS item, count(*) AS records, count(DISTINCT entity) AS entities FROM b JOIN rec USING (record) GROUP BY ALL")
 def term_rollup(spark, d):
-    r = records(spark, d)
+    r = plain(spark, d)
     return longs(X.rollup(X.term_uses(X.match(r, lex(spark)), r)), "year", "records", "entities")
 
 
 @query(f"WITH {RECT}, {lex_sql()}, {TOKEN_HIT}, {phrase_sql()}, b AS (SELECT record, term FROM tok UNION SELECT record, term FROM hit) SELECT entity, CAST(year AS BIGINT) AS year, term AS item, count(*) AS records FROM b JOIN rec USING (record) WHERE genre = 'en' GROUP BY ALL")
 def term_entity_rollup(spark, d):
-    r = records(spark, d)
+    r = plain(spark, d)
     return longs(X.entity_rollup(X.term_uses(X.match(r, lex(spark)), r), "en"), "year", "records")
 
 
@@ -242,7 +245,7 @@ def era_join(spark, d):
 
 @query(f"WITH {RECT}, {lex_sql()}, {TOKEN_HIT}, {phrase_sql()}, b AS (SELECT record, term FROM tok UNION SELECT record, term FROM hit), n AS (SELECT term, count(*) AS n FROM b GROUP BY term), l(id, cat, poly) AS (VALUES " + ", ".join(f"('{t['id']}', '{t['cat']}', {str(bool(t.get('poly'))).lower()})" for t in TERMS) + "), r AS (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY poly, n DESC NULLS LAST, id) AS k FROM l LEFT JOIN n ON id = term) SELECT cat, count(*) AS terms, max(id) FILTER (k = 1) AS top FROM r GROUP BY cat")
 def category_counts(spark, d):
-    n = X.match(records(spark, d), lex(spark)).groupBy("term").agg(F.count("*").alias("P")).withColumnRenamed("term", "item")
+    n = X.match(plain(spark, d), lex(spark)).groupBy("term").agg(F.count("*").alias("P")).withColumnRenamed("term", "item")
     return V.category_tops(lex(spark), n)
 
 
@@ -253,7 +256,7 @@ def term_lookup(spark, d):
 
 @query()
 def peak_calendar(spark, d):
-    r = records(spark, d)
+    r = plain(spark, d)
     u = X.term_uses(X.match(r, lex(spark)), r)
     return V.peak_calendar(A.curve(A.adoption(u, r), Y0, Y1, r.select("genre").distinct()).where("genre = 'en'"), lex(spark))
 

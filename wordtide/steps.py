@@ -110,13 +110,13 @@ def discover(spark: SparkSession, out: str, focal: str, others: list[str], dicti
 def match_terms(spark: SparkSession, shards: str, out: str, lex: DataFrame, focal: str, cfg: Config = DEFAULT, account: str = ACCOUNT) -> DataFrame:
     """song_terms(record, term), its roll-ups by genre and by entity; returns strings that only the joint pattern found (m, records)."""
     rows = _records(spark, shards, cfg, account).select("record", "text")
-    words = spark.read.parquet(f"{out}/song_words").select("record", "words")
-    rows = rows.join(words, "record")
-    write_parquet(X.match(rows, lex), f"{out}/song_terms")
+    write_parquet(X.scan(rows, lex), f"{out}/term_scan")  # terms and warnings in one pass over the texts
+    found = _open(spark, out, "term_scan")
+    write_parquet(X.terms_of(found), f"{out}/song_terms")
     uses = X.term_uses(_open(spark, out, "song_terms"), _open(spark, out, "songs"))
     write_parquet(X.rollup(uses), f"{out}/term_genre_year")
     write_parquet(X.entity_rollup(uses, focal), f"{out}/term_entity_year")
-    return X.unmapped(rows, lex)
+    return X.warnings(found)
 
 
 def _names(spark: SparkSession, out: str, focal: str, least: int) -> DataFrame:
