@@ -33,3 +33,10 @@ def percent_label(c: Column) -> Column:
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that later filters can't be pushed below: they would work it out again for every mention of it."""
     return df.select(*[x for x in df.columns if x != name], F.explode(F.array(value)).alias(name))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """keys and a column for each interpolated quantile of value, nulls left out. Values are counted first, so that what is gathered for a
+    group are its distinct values with their counts, and what is shuffled are counts."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return n.groupBy(*keys).agg(*[F.percentile(value, F.lit(p), F.col("_n")).alias(name) for name, p in at.items()])

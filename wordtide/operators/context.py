@@ -42,8 +42,11 @@ def senses_by_year(classified: DataFrame, y0: int, y1: int) -> DataFrame:
 
 
 def with_era(df: DataFrame, eras: list[tuple[str, int, int]]) -> DataFrame:
-    """Adds era by year; rows outside all eras go."""
-    return df.withColumn("era", F.coalesce(*[F.when(F.col("year").between(a, b), F.lit(name)) for name, a, b in eras])).where("era is not null")
+    """Adds era by year: a row for each era that its year lies in, as eras may overlap; rows outside all eras go. For a few eras; a table of
+    them goes through intervals.contained()."""
+    listed = F.array(*[F.struct(F.lit(name).alias("era"), F.lit(a).alias("a"), F.lit(b).alias("b")) for name, a, b in eras])
+    own = F.transform(F.filter(listed, lambda e: F.col("year").between(e.a, e.b)), lambda e: e.era)
+    return df.select("*", F.explode(own).alias("era"))
 
 
 def context_words(occurrences: DataFrame, forms: DataFrame, stop: DataFrame | None = None, blocked: str | None = None) -> DataFrame:

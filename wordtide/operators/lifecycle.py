@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import half_even, once, ratio
+from ..functions.arrays import half_even, once, quantiles, ratio
 
 
 def series(curve: DataFrame, keys: tuple[str, ...] = ("genre", "item")) -> DataFrame:
@@ -154,19 +154,22 @@ def cohorts(burst: DataFrame, ranges: list[tuple[int, int]], offsets: tuple[int,
     rows = burst.withColumn("era", era).where("era is not null").withColumn("offset", F.explode(F.sequence(F.lit(offsets[0]), F.lit(offsets[1]))))
     rows = rows.withColumn("u", value_at(F.col("c"), F.col("py") + F.col("offset"), "s") / half_even(F.col("P"), 2))
     rows = rows.withColumn("u", F.when(F.col("u") > 1, 1.0).otherwise(F.col("u")))  # null outside the curve stays null
-    n = F.count("u")
-    return rows.groupBy(F.col("era.a").alias("cohort_from"), F.col("era.b").alias("cohort_to"), "offset").agg(n.alias("n"), F.when(n >= min_support, F.percentile("u", F.lit(0.5))).alias("median"))
+    rows = rows.select(F.col("era.a").alias("cohort_from"), F.col("era.b").alias("cohort_to"), "offset", "u")
+    keys = ["cohort_from", "cohort_to", "offset"]
+    n = rows.groupBy(*keys).agg(F.count("u").alias("n"))
+    out = n.join(quantiles(rows, keys, "u", {"median": 0.5}), keys, "left")
+    return out.select(*keys, "n", F.when(F.col("n") >= min_support, F.col("median")).alias("median"))
 
 
 def cohort_facts(burst: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
     """cohort_from, cohort_to, items and quartiles of rise and keep."""
     era = F.coalesce(*[F.when(F.col("py").between(a, b), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))) for a, b in ranges])
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    rows = burst.withColumn("era", era).where("era is not null")
-    return rows.groupBy(F.col("era.a").alias("cohort_from"), F.col("era.b").alias("cohort_to")).agg(
-        F.count("*").alias("items"), q("rise", 0.25).alias("rise_q1"), q("rise", 0.5).alias("rise_median"), q("rise", 0.75).alias("rise_q3"),
-        q("keep", 0.25).alias("keep_q1"), q("keep", 0.5).alias("keep_median"), q("keep", 0.75).alias("keep_q3"),
-    )
+    keys, quarters = ["cohort_from", "cohort_to"], {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    rows = burst.withColumn("era", era).where("era is not null").select(F.col("era.a").alias("cohort_from"), F.col("era.b").alias("cohort_to"), "rise", "keep")
+    out = rows.groupBy(*keys).agg(F.count("*").alias("items"))
+    for c in ("rise", "keep"):
+        out = out.join(quantiles(rows, keys, c, {f"{c}_{name}": p for name, p in quarters.items()}), keys, "left")
+    return out
 
 
 def churn(curve: DataFrame, k: int, gap: int) -> DataFrame:

@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Names of accounts that publish for others; a parameter of notable().
-LEAGUES = r"Don't Flop|Rap Battles|Rap League|URLtv|King of the Dot"
-
+from ..functions.arrays import quantiles
 
 def attributes(active: DataFrame, names: DataFrame, focal: str, known: DataFrame | None = None) -> DataFrame:
     """entity, name, records (focal), sitelinks, in_base, region, scene, fame. known is an optional input; without it nobody is known."""
@@ -27,12 +25,13 @@ def attributes(active: DataFrame, names: DataFrame, focal: str, known: DataFrame
 
 def guard(uses: DataFrame, active: DataFrame, slack: int = 3) -> DataFrame:
     """Uses dated more than slack years before the 10th percentile of their entity's records are not trusted."""
-    p10 = active.groupBy("entity").agg(F.percentile("year", F.lit(0.1)).alias("p10"))
+    p10 = quantiles(active, ["entity"], "year", {"p10": 0.1})
     return uses.join(p10, "entity").where(F.col("year") >= F.col("p10") - slack).drop("p10")
 
 
-def notable(attrs: DataFrame, catalogue: int = 20, leagues: str = LEAGUES) -> DataFrame:
-    """Adds notable: known to an encyclopedia, or in the base with a real catalogue, and no league."""
+def notable(attrs: DataFrame, catalogue: int, leagues: str) -> DataFrame:
+    """Adds notable: known to an encyclopedia, or in the base with a real catalogue, and no league; leagues is a pattern of the names of
+    accounts that publish for others."""
     ok = (F.col("sitelinks") > 0) | (F.col("in_base") & (F.col("records") >= catalogue))
     return attrs.withColumn("notable", F.coalesce(ok, F.lit(False)) & ~F.coalesce(F.col("name").rlike(leagues), F.lit(False)))
 

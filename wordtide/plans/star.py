@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import adoption as A
+from ..operators import intervals as I
 from ..operators import lifecycle as L
 from ..operators import people as P
 from ..operators import presence as B
@@ -407,6 +408,19 @@ def presence_totals(spark, d):
     return B.counted(table, "item").join(late, "item", "left").fillna({"late": 0}).select("item", "records", "entities", "late")
 
 
+@query(
+    """WITH span AS (SELECT o_custkey AS entity, min(year(o_orderdate) * 12 + month(o_orderdate)) AS lo, max(year(o_orderdate) * 12 + month(o_orderdate)) AS hi FROM orders GROUP BY o_custkey),
+    m AS (SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdate) AS month FROM orders) SELECT CAST(month AS BIGINT) AS month, count(*) AS entities, CAST(sum(hi - lo) AS BIGINT) AS months FROM m JOIN span ON month BETWEEN lo AND hi GROUP BY month"""
+)
+def interval_join(spark, d):
+    """Entities between their first and last record in each month: months in intervals of a table, however many and however long."""
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), month.alias("month"))
+    spans = o.groupBy("entity").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    inside = I.contained(o.select("month").distinct(), "month", spans, "lo", "hi")
+    return inside.groupBy("month").agg(F.count("*").alias("entities"), F.sum(F.col("hi") - F.col("lo")).alias("months"))
+
+
 @query(sql(*base()) + " SELECT genre, item, CAST(year AS BIGINT) AS year, round(100 * s / max(s) OVER (PARTITION BY genre, item), 4) AS idx FROM curve")
 def index_to_peak(spark, d):
     return longs(rounded(V.index_to_peak(curves(spark, d)), "idx"), "year")

@@ -199,9 +199,10 @@ def meaning(spark: SparkSession, shards: str, out: str, focal: str, forms: DataF
     )
 
 
-def profiles(spark: SparkSession, out: str, lex: DataFrame, focal: str, others: list[str], known: DataFrame | None = None, leagues: str = H.LEAGUES, cfg: Config = DEFAULT) -> None:
+def profiles(spark: SparkSession, out: str, lex: DataFrame, focal: str, others: list[str], known: DataFrame | None = None, leagues: str = "(?!)", cfg: Config = DEFAULT) -> None:
     """terms.json: a line for each item of the lexicon that the focal genre used: label, curves of every genre, life, crossover, people and
-    regions. known: entity, sitelinks, base_id, region, scene; without it nobody is notable and there are no regions."""
+    regions. known: entity, sitelinks, base_id, region, scene; without it nobody is notable and there are no regions. leagues: a pattern
+    of the names of accounts that publish for others, none without it."""
     songs = _open(spark, out, "songs").where(F.col("year").between(*cfg.years))
     own = _open(spark, out, "songs").where(F.col("genre") == focal)
     counts = _open(spark, out, "term_genre_year").withColumnRenamed("term", "item")
