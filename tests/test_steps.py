@@ -16,7 +16,7 @@ from wordtide.operators.corpus import entities
 from wordtide.operators.lexicon import lexicon
 from wordtide.sources.tables import document, json_rows
 
-CFG = replace(DEFAULT, ingest_years=(1990, 2003), years=(1991, 2002), min_records=3, min_entity_years=2, ratio_from=1991, min_users=1, pool_records=4, name_records=5, top_k=3, gap=2, min_support=1, buckets=3, cohorts=((1992, 2002),))
+CFG = replace(DEFAULT, ingest_years=(1990, 2003), years=(1991, 2002), min_records=3, min_entity_years=2, ratio_from=1991, min_users=1, pool_records=4, name_records=5, top_k=3, gap=2, min_support=1, buckets=4, cohorts=((1992, 2002),))
 SCHEMA = "tag string, artist string, title string, year int, lyrics string"
 
 
@@ -140,7 +140,7 @@ def test_tables_by_item_join_without_an_exchange(spark, out):
         a, b, c = (t.groupBy("item").agg(F.count("*").alias(x)) for t, x in zip(tables, "abc", strict=True))
         df = tables[0].join(a.where("a > 1"), "item", "left_semi").groupBy("item").agg(F.sum("records")).join(b, "item").join(c, "item")
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan and plan.count("SelectedBucketsCount: 3 out of 3") == 4
+        assert "Exchange" not in plan and plan.count("SelectedBucketsCount: 4 out of 4") == 4
         assert plan.count("PartitionFilters: [isnotnull(genre") == 4 and df.count() > 0
         files = steps._laid(spark, to, "genre_year_item", CFG, "rap", (1991, 1999)).inputFiles()
         assert files and all("genre=rap/decade=1990" in f for f in files)
@@ -157,6 +157,26 @@ def test_a_laid_table_is_known_in_another_session(spark, out):
     assert again.count() == name.count() > 0 and sorted(again.columns) == sorted(name.columns)
 
 
+def test_windows_come_from_the_index(spark, out):
+    shards, to = out
+    forms = spark.createDataFrame([("drip", "drip"), ("drip", "drippy"), ("road", "road"), ("none", "unheard")], "target string, form string")
+    rules, eras = [("drip", "road", r"\broad\b")], [("a", 1991, 1996), ("b", 1995, 2002)]
+    steps.meaning(spark, shards, to, "rap", forms, rules, eras, least=1, cfg=CFG, account="^Genius")
+    want, rows = read(to, "meaning.json"), sorted(map(str, spark.read.parquet(f"{to}/occurrences").collect()))
+    steps.meaning(spark, None, to, "rap", forms, rules, eras, least=1, cfg=CFG)
+    assert read(to, "meaning.json") == want
+    assert sorted(map(str, spark.read.parquet(f"{to}/occurrences").collect())) == rows
+    posted, toks = steps._laid(spark, to, "postings", CFG, "rap", CFG.years), steps._laid(spark, to, "tokens", CFG, "rap", CFG.years, "record")
+    one = forms.where("form = 'road'")
+    for few in (10_000, 0):
+        df = steps.B.kwic(posted, toks, one, few=few)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "regexp" not in plan and plan.count("Exchange hashpartitioning(record") == 1  # the places travel, the words stay
+        assert df.count() == sum(r[4].lower().split().count("road") for r in kept() if r[0] == "rap" and r[3] in range(1991, 2003))
+    rare = steps.B.kwic(posted.where("pos = 8 and year = 1996"), toks, forms)  # few records: their numbers go into the plan
+    assert re.search(r"Filter .*record#\d+L IN", rare._jdf.queryExecution().executedPlan().toString()) and rare.count() > 0
+
+
 def test_profiles_hold_every_part(spark, out):
     shards, to = out
     lex = lexicon(spark, [{"id": "drip", "label": "Drip", "cat": "c", "gloss": "g", "tokens": ["drip", "drippy"], "region": "East"}, {"id": "wordup", "phrases": ["word up"], "poly": True}, {"id": "never", "tokens": ["unheard"]}])

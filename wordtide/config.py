@@ -23,7 +23,7 @@ class Config:
     gap: int = 5
     offsets: tuple[int, int] = (-8, 8)
     min_support: int = 15
-    buckets: int = 64  # of the tables that steps share; all of them the same
+    buckets: int = 200  # of the tables that steps share; all the same, and no fewer than shuffle partitions, or Spark shuffles them anew
     decade: int = 10  # years of a folder
     cohorts: tuple[tuple[int, int], ...] = ((1992, 1999), (2000, 2006), (2007, 2012), (2013, 2018))
 

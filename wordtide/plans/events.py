@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
 from ..streaming.adoption import daily_adoption, read_events, run_to_end, streaming_adoption
 from .registry import query, rounded, table
 
@@ -24,13 +25,7 @@ def stream_daily_adoption(spark, d):
     mode is complete: no day stays open behind the watermark and no event is dropped as late."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="wordtide-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
+    root = shared_folder(spark)
     folder = f"{root.rstrip('/')}/wordtide-stream/{uuid.uuid4().hex}"
     events = read_events(spark, f"{d}/events.parque[t]")  # a pattern, since a stream reads folders
     return run_to_end(streaming_adoption(events), f"{folder}/out", f"{folder}/state", "complete").withColumn("start", F.col("start").cast("string"))

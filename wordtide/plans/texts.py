@@ -11,6 +11,7 @@ from ..operators import context as K
 from ..operators import corpus as C
 from ..operators import lexicon as X
 from ..operators import lifecycle as L
+from ..operators import postings as I
 from ..operators import presence as B
 from ..operators import views as V
 from .registry import longs, query, rounded, table
@@ -161,6 +162,14 @@ def kwic_windows(spark, d):
     return longs(occurrences(spark, d).select("record", "target", "pos", "form", F.array_join("window", " ").alias("window_text")), "pos")
 
 
+@query(f"WITH {RECT}, {KWIC.replace(FORM_SQL, FORM_SQL.replace('thea', 'of'))} SELECT record, target, pos, form, t AS window_text FROM cls")
+def kwic_postings(spark, d):
+    """Windows of other words, from postings and tokens instead of texts."""
+    r = records(spark, d)
+    other = spark.createDataFrame([(t, "of" if f == "thea" else f) for t, f in FORMS], "target string, form string")
+    return longs(I.kwic(I.postings(r), I.tokens(r), other, 8).select("record", "target", "pos", "form", F.array_join("window", " ").alias("window_text")), "pos")
+
+
 DENSE = "n AS (SELECT target, sense, year, count(*) AS n FROM cls GROUP BY ALL), dn AS (SELECT target, sense, year, coalesce(n, 0) AS n FROM (SELECT DISTINCT target, sense FROM n) CROSS JOIN (SELECT CAST(unnest(range(2000, 2010)) AS INTEGER) AS year) LEFT JOIN n USING (target, sense, year))"
 
 

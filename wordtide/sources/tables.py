@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,19 @@ SHARDS = "tag string, artist string, title string, year int, lyrics string"
 SUMMARY = "word string, emerged double, peak_year int, peak_pct double, pct_now double, now_vs_peak double, rise_x double, total_entity_years int, log_ratio double, in_dictionary boolean, category string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the context's checkpoint folder; where both are unset, a
+    temporary one if everything runs in this process, and an error on a cluster."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='wordtide-')}")
+        root = sc.getCheckpointDir()
+    return root.rstrip("/")
+
+
 def read_shards(spark: SparkSession, glob: str, schema: str = SHARDS) -> DataFrame:
     return spark.read.schema(schema).parquet(glob)
 

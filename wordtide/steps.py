@@ -1,6 +1,6 @@
 """The runnable steps: each reads shards or the tables of earlier steps under `out`, and writes its own there.
 
-    build -> artists, songs, entity_year_item, genre_year_item, presence, active, totals
+    build -> artists, songs, entity_year_item, genre_year_item, presence, active, totals, postings, tokens
     discover -> curve, summary (CSV, sorted by peak)          from build
     match_terms -> song_terms, term_genre_year, term_entity_year   from shards and build
     profiles -> terms.json, a line an item                     from match_terms
@@ -26,6 +26,7 @@ from .operators import corpus as K
 from .operators import lexicon as X
 from .operators import lifecycle as L
 from .operators import people as H
+from .operators import postings as B
 from .operators import presence as P
 from .operators import profiles as T
 from .operators import regional as R
@@ -49,9 +50,11 @@ def build(spark: SparkSession, shards: str, out: str, focal: str, cfg: Config =
     write_parquet(K.entities(rows), f"{out}/artists")
     songs = K.tokenise(rows.join(_open(spark, out, "artists").withColumnRenamed("name", "artist"), "artist"))
     words = f"{out}/song_words"
-    write_parquet(songs.select("record", "entity", "genre", "year", "title", "n_tokens", "words"), words)  # texts are tokenised once
+    write_parquet(songs.select("record", "entity", "genre", "year", "title", "n_tokens", "words", "toks"), words)  # texts are tokenised once
     songs = spark.read.parquet(words)
-    write_parquet(songs.drop("words"), f"{out}/songs")
+    write_parquet(songs.drop("words", "toks"), f"{out}/songs")
+    _lay(B.postings(songs), out, "postings", cfg)
+    _lay(B.tokens(songs), out, "tokens", cfg, "record")
     uses = K.uses_of(songs)
     write_parquet(K.vocabulary(uses, cfg.min_records), f"{out}/vocabulary")
     vocab = _open(spark, out, "vocabulary")
@@ -63,15 +66,15 @@ def build(spark: SparkSession, shards: str, out: str, focal: str, cfg: Config =
     write_parquet(P.counted(_open(spark, out, "active"), "genre", "year"), f"{out}/totals")
 
 
-def _lay(df: DataFrame, out: str, name: str, cfg: Config) -> DataFrame:
-    """Write a table by genre, year and item in the steps' layout."""
+def _lay(df: DataFrame, out: str, name: str, cfg: Config, on: str = "item") -> DataFrame:
+    """Write a table by genre, year and item (or record) in the steps' layout."""
     decade = (F.floor(F.col("year") / cfg.decade) * cfg.decade).cast("int")
-    return write_laid(df.withColumn("decade", decade), f"{out}/{name}", ["genre", "decade"], "item", cfg.buckets)
+    return write_laid(df.withColumn("decade", decade), f"{out}/{name}", ["genre", "decade"], on, cfg.buckets)
 
 
-def _laid(spark: SparkSession, out: str, name: str, cfg: Config, genre: str | None = None, years: tuple[int, int] | None = None) -> DataFrame:
+def _laid(spark: SparkSession, out: str, name: str, cfg: Config, genre: str | None = None, years: tuple[int, int] | None = None, on: str = "item") -> DataFrame:
     """A table of _lay(), of one genre and some years, whose folders alone are read."""
-    df = open_laid(spark, f"{out}/{name}", "item")
+    df = open_laid(spark, f"{out}/{name}", on)
     if genre is not None:
         df = df.where(F.col("genre") == genre)
     if years is not None:
@@ -181,10 +184,14 @@ def regions(spark: SparkSession, out: str, focal: str, mapped: DataFrame, eras:
     )
 
 
-def meaning(spark: SparkSession, shards: str, out: str, focal: str, forms: DataFrame, rules: list[tuple[str, str, str]], eras: Eras, stop: DataFrame | None = None, blocked: str | None = None, prior: float = 500.0, least: int = 15, cfg: Config = DEFAULT, account: str = ACCOUNT) -> None:
-    """meaning.json: occurrences of every target(target, form) by era, their collocates, and their senses by year and era."""
-    rows = _records(spark, shards, cfg, account).where((F.col("genre") == focal) & F.col("year").between(*cfg.years))
-    write_parquet(C.classify(C.kwic(rows, forms, cfg.window), rules), f"{out}/occurrences")
+def meaning(spark: SparkSession, shards: str | None, out: str, focal: str, forms: DataFrame, rules: list[tuple[str, str, str]], eras: Eras, stop: DataFrame | None = None, blocked: str | None = None, prior: float = 500.0, least: int = 15, cfg: Config = DEFAULT, account: str = ACCOUNT) -> None:
+    """meaning.json: occurrences of every target(target, form) by era, their collocates, and their senses by year and era. Without shards
+    (and account), windows come from the postings and tokens of build, and no text is read."""
+    if shards is None:
+        seen = B.kwic(_laid(spark, out, "postings", cfg, focal, cfg.years), _laid(spark, out, "tokens", cfg, focal, cfg.years, "record"), forms, cfg.window)
+    else:
+        seen = C.kwic(_records(spark, shards, cfg, account).where((F.col("genre") == focal) & F.col("year").between(*cfg.years)), forms, cfg.window)
+    write_parquet(C.classify(seen, rules), f"{out}/occurrences")
     seen = _open(spark, out, "occurrences")
     by_era = C.with_era(seen, eras)
     counts = C.context_words(by_era, forms, stop, blocked).groupBy("target", "era", "item").agg(F.count("*").alias("y"))
