@@ -86,3 +86,9 @@ def infobox_field(wikitext: Column, field: str) -> Column:
     text = F.regexp_replace(text, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
     text = F.regexp_replace(text, r"<[^>]*>|\{\{[^}]*\}\}|'{2,}", "")
     return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
+
+
+def collated(name: Column, collation: str = "UNICODE_CI_AI") -> Column:
+    """A name that equals all its spellings in other case and with other accents, for grouping, joining and comparing; it keeps its own
+    spelling. Unlike folded names it needs no Python, and no second column: Spark compares and hashes by the collation."""
+    return F.collate(F.trim(name), collation)

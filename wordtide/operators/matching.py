@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import keyed
+from ..functions.names import collated, keyed
 
 TIERS = ("slug", "exact_label", "exact_alias", "plain", "dollar")
 
@@ -113,3 +113,16 @@ def search_fallback(names: DataFrame, hits: DataFrame, matched: DataFrame, least
     top = hits.where((F.col("rank") == 1) & (F.col("score") >= score)).select("entity", "base_id", F.explode("names").alias("other"))
     both = todo.join(top, "entity").where((keyed(F.col("other"), "plain") == keyed(F.col("name"), "plain")) & (keyed(F.col("name"), "plain") != ""))
     return both.select("entity", "base_id").distinct()
+
+
+def spelling_variants(names: DataFrame, name: str = "name", least: int = 2) -> DataFrame:
+    """name (the first in binary order), variants, rows: names that differ in case and accents only, if there are at least `least` spellings."""
+    own = F.col(name).cast("string")
+    by = names.where(own.isNotNull()).groupBy(own.alias("spelling")).agg(F.count("*").alias("n"))
+    out = by.groupBy(collated(F.col("spelling")).alias("key")).agg(F.min(F.collate("spelling", "UTF8_BINARY")).alias("name"), F.count("*").alias("variants"), F.sum("n").alias("rows"))
+    return out.where(F.col("variants") >= least).select("name", "variants", "rows")
+
+
+def collated_match(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """names(name, ...) with entries(label, ...) of the same name in any case and with any accents, in one join without Python workers."""
+    return names.withColumn("_key", collated(F.col("name"))).join(entries.withColumn("_key", collated(F.col("label"))), "_key").drop("_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import shared_folder
-from ..streaming.adoption import daily_adoption, read_events, run_to_end, streaming_adoption
+from ..streaming.adoption import daily_adoption, exact_adoption, item_of, read_events, run_to_end, streaming_adoption, with_open_windows
 from .registry import query, rounded, table
 
 
@@ -29,3 +29,17 @@ def stream_daily_adoption(spark, d):
     folder = f"{root.rstrip('/')}/wordtide-stream/{uuid.uuid4().hex}"
     events = read_events(spark, f"{d}/events.parque[t]")  # a pattern, since a stream reads folders
     return run_to_end(streaming_adoption(events), f"{folder}/out", f"{folder}/state", "complete").withColumn("start", F.col("start").cast("string"))
+
+
+@query("SELECT event_type AS genre, json_extract_string(props, '$.k') AS item, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(DISTINCT user_id) AS entities FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY ALL")
+def stream_exact_adoption(spark, d):
+    """Exact daily users of every item from a file stream in append mode; the last days, which no watermark passes, from the table."""
+    import uuid
+
+    keys = ["genre", "item"]
+    shape = lambda e: e.select(F.col("event_type").alias("genre"), item_of(F.col("props")).alias("item"), F.col("ts").cast("timestamp").alias("ts"), "user_id").where("item is not null")
+    folder = f"{shared_folder(spark)}/wordtide-stream/{uuid.uuid4().hex}"
+    stream = exact_adoption(shape(read_events(spark, f"{d}/events.parque[t]")), keys)
+    closed = run_to_end(stream, f"{folder}/out", f"{folder}/state")
+    out = with_open_windows(closed, shape(table(spark, d, "events")), keys)
+    return out.select("genre", "item", F.to_date("start").cast("string").alias("day"), "entities")

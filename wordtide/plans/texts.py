@@ -278,3 +278,29 @@ def provenance_key(spark, d):
 
     t = table(spark, d, "documents").select("doc_id", "_metadata")
     return with_provenance(t, r"()documents").select("doc_id", (F.coalesce("record", F.lit(0)) + F.col("_metadata.row_index") + 1_000_000).alias("record"))
+
+
+WORDS_SQL = "w AS (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents), k AS (SELECT lang, w, count(*) AS n, replace(strip_accents(lower(w)), 'ß', 'ss') AS k FROM w GROUP BY lang, w)"
+
+
+def _spellings(spark, d):
+    t = table(spark, d, "documents")
+    return t.select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("name"))
+
+
+@query(f"WITH {WORDS_SQL} SELECT min(w) AS name, count(*) AS variants, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT w, k, sum(n) AS n FROM k GROUP BY w, k) GROUP BY k HAVING count(*) >= 2")
+def spelling_variants(spark, d):
+    """Words of the texts that differ in case and accents only, by collation."""
+    from ..operators.matching import spelling_variants
+
+    return spelling_variants(_spellings(spark, d))
+
+
+@query(f"WITH {WORDS_SQL} SELECT a.w AS name, b.w AS label, CAST(a.n AS BIGINT) AS n, CAST(b.n AS BIGINT) AS m FROM k a JOIN k b ON a.k = b.k WHERE a.lang = 'fr' AND b.lang = 'es'")
+def collated_match(spark, d):
+    """French words that are Spanish words but for case and accents."""
+    from ..operators.matching import collated_match
+
+    n = _spellings(spark, d).groupBy("lang", "name").agg(F.count("*").alias("n"))
+    other = n.where("lang = 'es'").select(F.col("name").alias("label"), F.col("n").alias("m"))
+    return collated_match(n.where("lang = 'fr'").select("name", "n"), other)
