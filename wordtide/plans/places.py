@@ -1,4 +1,5 @@
-"""Entity resolution over small made-up tables: places, scenes, names and origins."""
+"""Entity resolution over the star schema: customers and suppliers live in nations, nations lie in regions, and what is known of a customer
+are triples. The small tables of hand-made cases here are what tests hold the same operators and SQL against."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geo as G
 from ..operators import matching as M
-from .registry import query, rounded
+from .registry import query, rounded, table
 
 # place, label, lat, lon, codes, countries, parents in order
 PLACES = [
@@ -42,19 +43,45 @@ def tables(spark):
     return places, parents, countries
 
 
-@query()
-def place_climb(spark, d):
-    return G.resolve(*tables(spark))
+def star_places(spark, d):
+    """places, parents, countries: customers with a point in nations; the nations of region 1 are states at home."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    n = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    at_home = F.col("n_regionkey") == 1
+    letters = F.concat(F.chr(F.lit(65) + F.col("n_nationkey")), F.lit("Z"))
+    who, where = F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "n_nationkey")
+    places = c.select(who.alias("place"), F.col("c_name").alias("label"), (F.lit(30.0) + F.col("c_custkey") % 20).alias("lat"), (F.lit(-80.0) - F.col("c_custkey") % 30).alias("lon"), F.array().cast("array<string>").alias("codes"))
+    codes = F.array(F.when(at_home, F.concat(F.lit("US-"), letters)).otherwise(F.concat(F.lit("X"), F.chr(F.lit(65) + F.col("n_regionkey")), F.lit("-"), letters)))
+    places = places.unionByName(n.select(where.alias("place"), F.col("n_name").alias("label"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), codes.alias("codes")))
+    parents = c.select(who.alias("place"), F.lit(0).alias("ord"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
+    countries = n.select(where.alias("place"), F.lit(0).alias("ord"), F.when(at_home, "US").otherwise(F.col("r_name")).alias("country"))
+    return places, parents, countries
 
 
 @query(
-    """WITH RECURSIVE p(place, parent) AS (VALUES """
-    + ", ".join(f"('{p}', '{x}')" for p, *_, up in PLACES for x in up)
-    + """), up AS (SELECT DISTINCT place AS a, place AS b, 0 AS steps, [place] AS path FROM p UNION ALL SELECT up.a, p.parent, steps + 1, list_append(path, p.parent) FROM up JOIN p ON p.place = up.b WHERE steps < 14 AND NOT list_contains(path, p.parent))
-    SELECT a AS place, b AS parent, CAST(min(steps) AS BIGINT) AS steps FROM up GROUP BY a, b"""
+    """WITH n AS (SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 1 THEN 'US' ELSE r_name END AS country, CASE WHEN n_regionkey = 1 THEN chr(65 + n_nationkey) || 'Z' ELSE n_name END AS state FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT 'c' || c_custkey AS place, c_name AS label, state, country, 30.0::DOUBLE + c_custkey % 20 AS lat, -80.0::DOUBLE - c_custkey % 30 AS lon, false AS is_country FROM customer JOIN n ON c_nationkey = n_nationkey
+    UNION ALL SELECT 'n' || n_nationkey, n_name, state, country, NULL, NULL, false FROM n"""
 )
+def place_climb(spark, d):
+    return G.resolve(*star_places(spark, d))
+
+
+def closure_sql(pairs: str) -> str:
+    """pairs: SQL of (place, parent)."""
+    return f"""WITH RECURSIVE p(place, parent) AS ({pairs}), up AS (SELECT DISTINCT place AS a, place AS b, 0 AS steps, [place] AS path FROM p UNION ALL SELECT up.a, p.parent, steps + 1, list_append(path, p.parent) FROM up JOIN p ON p.place = up.b WHERE steps < 14 AND NOT list_contains(path, p.parent))
+    SELECT a AS place, b AS parent, CAST(min(steps) AS BIGINT) AS steps FROM up GROUP BY a, b"""
+
+
+LIVES = "SELECT 'c' || c_custkey AS place, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region"
+
+
+@query(closure_sql(LIVES))
 def place_closure(spark, d):
-    return G.closure(tables(spark)[1], "place", "parent").withColumn("steps", F.col("steps").cast("long"))
+    pair = lambda t, a, x, b, y: table(spark, d, t).select(F.concat(F.lit(a), x).alias("place"), (F.concat(F.lit(b), y) if y else F.lit(b)).alias("parent"))
+    lives = pair("customer", "c", "c_custkey", "n", "c_nationkey").unionByName(pair("supplier", "s", "s_suppkey", "n", "s_nationkey"))
+    lives = lives.unionByName(pair("nation", "n", "n_nationkey", "r", "n_regionkey")).unionByName(pair("region", "r", "r_regionkey", "world", None))
+    return G.closure(lives, "place", "parent").withColumn("steps", F.col("steps").cast("long"))
 
 
 SPOTS = [
@@ -68,20 +95,35 @@ def _sql_rows(rows) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
 
 
-@query(
-    f"""WITH s(place, state, country, lat, lon) AS ({_sql_rows(SPOTS)}), c(scene, clat, clon, radius, ccountry) AS ({_sql_rows(CENTRES)}),
+def scene_sql(spots: str) -> str:
+    """spots: SQL of (place, state, country, lat, lon)."""
+    return f"""WITH s(place, state, country, lat, lon) AS ({spots}), c(scene, clat, clon, radius, ccountry) AS ({_sql_rows(CENTRES)}),
     h AS (SELECT *, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2)))) AS km FROM s JOIN c
       ON (ccountry = country OR (country IS NULL AND ccountry = 'US')) AND (scene <> 'Capital' OR state IS NULL OR state IN ('DC', 'VA', 'MD')) WHERE lat IS NOT NULL),
     n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY km, scene) AS k FROM h WHERE km <= radius) WHERE k = 1)
     SELECT s.place, CASE WHEN s.country = 'US' AND s.state = 'OH' THEN 'Ohio' WHEN s.country = 'US' AND s.state = 'NJ' AND s.lat IS NOT NULL THEN CASE WHEN n.scene = 'Philly' AND km < 30 THEN 'Philly' ELSE 'Garden' END ELSE n.scene END AS scene
     FROM s LEFT JOIN n ON n.place = s.place"""
-)
-def scene_nearest(spark, d):
-    spots = spark.createDataFrame(SPOTS, "place string, state string, country string, lat double, lon double")
+
+
+def scenes(spark, spots):
     centres = spark.createDataFrame(CENTRES, "scene string, lat double, lon double, radius double, country string")
     return G.scene(spots, centres, {"OH": "Ohio"}, {"Capital": ["DC", "VA", "MD"]}, ("NJ", "Garden", "Philly", 30.0))
 
 
+STATES = ["NJ", "PA", "OH", "VA", "MD", "NY"]
+
+
+@query(scene_sql(f"""SELECT 'c' || c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN [{", ".join(f"'{x}'" for x in STATES)}][c_nationkey % 6 + 1] END, CASE c_custkey % 13 WHEN 0 THEN 'GB' WHEN 1 THEN NULL ELSE 'US' END,
+    CASE WHEN c_custkey % 17 <> 0 THEN 38.7 + (c_custkey % 50) / 20.0::DOUBLE END, -77.2 + (c_custkey % 37) / 10.0::DOUBLE FROM customer"""))
+def scene_nearest(spark, d):
+    """Customers, with a point and a state by their keys, among a few centres."""
+    k = F.col("c_custkey")
+    state = F.when(k % 11 != 0, F.element_at(F.array(*map(F.lit, STATES)), (F.col("c_nationkey") % 6 + 1).cast("int")))
+    country = F.when(k % 13 == 0, "GB").when(k % 13 == 1, F.lit(None)).otherwise("US")
+    spots = table(spark, d, "customer").select(F.concat(F.lit("c"), k).alias("place"), state.alias("state"), country.alias("country"), F.when(k % 17 != 0, F.lit(38.7) + (k % 50) / 20.0).alias("lat"), (F.lit(-77.2) + (k % 37) / 10.0).alias("lon"))
+    return scenes(spark, spots)
+
+
 @query("SELECT n.n_nationkey AS place, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(n_nationkey * 2.0 - 10) / 2), 2) + cos(radians(10.0)) * cos(radians(n_nationkey * 2.0)) * pow(sin(radians(n_nationkey * 5.0 - 20) / 2), 2))), 3) AS km FROM nation n")
 def great_circle(spark, d):
     from ..functions.names import haversine
@@ -98,8 +140,9 @@ SLUGS = [("Q8", "The-slug"), ("Q1", "Bjork-stone"), ("Q9", "Other-twin")]
 ATTRS = [("Q1", 1965, 40, True, 1), ("Q2", 1990, 3, True, 2), ("Q4", 1980, 2, False, 4), ("Q5", None, 12, True, 5), ("Q6", 1985, 9, True, 6), ("Q8", 1970, 5, True, 8), ("Q9", None, 50, True, 9), ("Q19", None, 7, False, 19), ("Q14", None, 99, True, 14), ("Q10", 1980, 4, False, 10), ("Q20", 1980, 4, True, 20)]
 
 
-@query(
-    f"""WITH n(entity, name, records, last_year) AS ({_sql_rows(NAMES)}), l(item, name) AS ({_sql_rows(LABELS)}), al(item, name) AS ({_sql_rows(ALIASES)}), s(item, slug) AS ({_sql_rows(SLUGS)}), a(item, birth_year, sitelinks, focal, num) AS ({_sql_rows(ATTRS)}),
+def names_sql(tables: str) -> str:
+    """tables: SQL of n(entity, name, records, last_year), l(item, name), al(item, name), s(item, slug), a(item, birth_year, sitelinks, focal, num)."""
+    return f"""WITH {tables},
     k AS (SELECT *, lower(name) AS ex, regexp_replace(replace(strip_accents(lower(name)), '&', 'and'), '[^a-z0-9]', '', 'g') AS pl, regexp_replace(replace(strip_accents(lower(replace(name, '$', 's'))), '&', 'and'), '[^a-z0-9]', '', 'g') AS dl FROM n),
     sl AS (SELECT item, regexp_replace(strip_accents(lower(replace(slug, '-', ' '))), '[^a-z0-9]', '', 'g') AS key FROM s),
     b AS (SELECT * FROM l UNION SELECT * FROM al), bp AS (SELECT DISTINCT item, regexp_replace(replace(strip_accents(lower(name)), '&', 'and'), '[^a-z0-9]', '', 'g') AS key FROM b),
@@ -111,12 +154,40 @@ ATTRS = [("Q1", 1965, 40, True, 1), ("Q2", 1990, 3, True, 2), ("Q4", 1980, 2, Fa
     h AS (SELECT *, min(tier) OVER (PARTITION BY entity) AS best FROM g WHERE tier = 0 OR (NOT other AND NOT obscure)),
     r AS (SELECT *, count(*) OVER (PARTITION BY entity) AS candidates, row_number() OVER (PARTITION BY entity ORDER BY focal DESC, sitelinks DESC, num) AS k2 FROM h WHERE tier = best)
     SELECT CAST(entity AS BIGINT) AS entity, item, CASE tier WHEN 0 THEN 'slug' WHEN 1 THEN 'exact_label' WHEN 2 THEN 'exact_alias' ELSE 'plain' END AS method, candidates FROM r WHERE k2 = 1""".replace("SELECT k.*, item, 0 AS tier FROM (SELECT *,", "SELECT k.*, sl.item, 0 AS tier FROM (SELECT *,")
-)
-def name_tiers(spark, d):
+
+
+MADE = f"n(entity, name, records, last_year) AS ({_sql_rows(NAMES)}), l(item, name) AS ({_sql_rows(LABELS)}), al(item, name) AS ({_sql_rows(ALIASES)}), s(item, slug) AS ({_sql_rows(SLUGS)}), a(item, birth_year, sitelinks, focal, num) AS ({_sql_rows(ATTRS)})"
+
+
+def made_names(spark):
     f = spark.createDataFrame
     return M.match_names(f(NAMES, "entity long, name string, records long, last_year int"), f(LABELS, "item string, name string"), f(ALIASES, "item string, name string"), f(SLUGS, "item string, slug string"), f(ATTRS, "item string, birth_year int, sitelinks int, focal boolean, num long"))
 
 
+STAR_NAMES = """n AS (SELECT c_custkey AS entity, c_name AS name, count(o_orderkey) AS records, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+    l AS (SELECT 'Q' || c_custkey AS item, CASE c_custkey % 4 WHEN 0 THEN upper(c_name) ELSE replace(c_name, '#', ' No. ') END AS name FROM customer WHERE c_custkey % 4 IN (0, 3) UNION ALL SELECT 'P' || c_custkey, replace(c_name, '#', ' ') FROM customer WHERE c_custkey % 3 = 0),
+    al AS (SELECT 'A' || c_custkey AS item, c_name AS name FROM customer WHERE c_custkey % 4 = 2 UNION ALL SELECT 'B' || c_custkey, lower(c_name) FROM customer WHERE c_custkey % 8 = 2),
+    s AS (SELECT 'Q' || c_custkey AS item, replace(c_name, '#', '-') AS slug FROM customer WHERE c_custkey % 5 = 1),
+    a AS (SELECT k || c_custkey AS item, CASE WHEN c_custkey % 7 <> 0 THEN CAST(1950 + c_custkey % 50 AS INTEGER) END AS birth_year, CAST(abs(floor(c_acctbal / 1000)) AS INTEGER) AS sitelinks, c_custkey % 2 = 0 AS focal, 4 * c_custkey + i AS num FROM customer, (VALUES ('Q', 0), ('P', 1), ('A', 2), ('B', 3)) t(k, i))"""
+
+
+@query(names_sql(STAR_NAMES))
+def name_tiers(spark, d):
+    """Customers' names against items whose labels, aliases and slugs spell them in other ways."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    k, name = F.col("c_custkey"), F.col("c_name")
+    item = lambda letter: F.concat(F.lit(letter), "c_custkey").alias("item")
+    n = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("records"), F.max(F.year("o_orderdate")).alias("last_year"))
+    n = c.select("c_custkey", "c_name").join(n, "c_custkey", "left").select(k.alias("entity"), name.alias("name"), F.coalesce("records", F.lit(0)).alias("records"), "last_year")
+    spaced = lambda to: F.replace(name, F.lit("#"), F.lit(to))
+    labels = c.where((k % 4).isin(0, 3)).select(item("Q"), F.when(k % 4 == 0, F.upper(name)).otherwise(spaced(" No. ")).alias("name")).unionByName(c.where(k % 3 == 0).select(item("P"), spaced(" ").alias("name")))
+    aliases = c.where(k % 4 == 2).select(item("A"), name.alias("name")).unionByName(c.where(k % 8 == 2).select(item("B"), F.lower(name).alias("name")))
+    slugs = c.where(k % 5 == 1).select(item("Q"), spaced("-").alias("slug"))
+    letters = F.posexplode(F.array(*map(F.lit, "QPAB"))).alias("i", "letter")
+    attrs = c.select("*", letters).select(F.concat("letter", "c_custkey").alias("item"), F.when(k % 7 != 0, (F.lit(1950) + k % 50).cast("int")).alias("birth_year"), F.abs(F.floor(F.col("c_acctbal") / 1000)).cast("int").alias("sitelinks"), (k % 2 == 0).alias("focal"), (4 * k + F.col("i")).alias("num"))
+    return M.match_names(n, labels, aliases, slugs, attrs)
+
+
 # place, state, country, lat, is_country, region, scene
 SITES = [("x1", "GA", "US", 33.7, False, "South", "Atl"), ("x2", "GA", "US", None, False, "South", None), ("x3", "NY", "US", 40.7, False, "East", "NYC"), ("x4", "CA", "US", 34.0, False, "West", "LA"), ("x5", None, "FR", 48.8, False, "Other", None), ("x6", None, "US", None, True, None, None), ("x7", None, "GB", 51.5, False, "UK", "Thames")]
 PEOPLE = [("i1", 1980), ("i2", 1980), ("i3", 1980), ("i4", 1980), ("i5", None), ("i6", 1990), ("i7", 1970), ("i8", 1985), ("i9", 1975), ("i10", 1960)]
@@ -128,7 +199,7 @@ GENRES = [("i8", "East", "NYC"), ("i9", "South", None), ("i10", "West", "LA"), (
 MAPPED = ["West", "South", "East", "Midwest", "UK", "Canada"]
 
 
-def origins(spark):
+def made_origins(spark):
     f = spark.createDataFrame
     return M.assign_origin(f(PEOPLE, "item string, birth_year int"), f(CLAIMS, "item string, kind string, ord int, place string, start int"), f(SITES, "place string, state string, country string, lat double, is_country boolean, region string, scene string"), f(GENRES, "item string, region string, scene string"), MAPPED)
 
@@ -137,9 +208,22 @@ def origins(spark):
 ORIGINS = [("i1", "x1", "South", "Atl", "formation+refined"), ("i2", "x3", "East", "NYC", "encyclopedia_origin"), ("i3", "x1", "South", "Memphis", "genre+place"), ("i4", "x1", "South", "Atl", "residence"), ("i5", "x1", "South", "Atl", "members_birthplace"), ("i6", "x5", "Other", None, "country_only"), ("i7", "x7", "UK", "Thames", "residence"), ("i8", "x3", "East", "NYC", "genre+place"), ("i9", "x4", "South", None, "genre"), ("i10", None, "West", "LA", "genre")]
 
 
-@query(f"SELECT * FROM ({_sql_rows(ORIGINS)}) t(item, place, region, scene, source)")
+@query()
 def origin_priority(spark, d):
-    return origins(spark)
+    """Where customers come from, by what their nations, their suppliers' nations and their segments claim."""
+    c, n, r, o, li, su = (table(spark, d, t) for t in ("customer", "nation", "region", "orders", "lineitem", "supplier"))
+    item, place, k = F.concat(F.lit("c"), "c_custkey").alias("item"), F.concat(F.lit("n"), "n_nationkey"), F.col("n_nationkey")
+    items = c.select(item, F.when(F.col("c_custkey") % 7 != 0, (F.lit(1970) + F.col("c_custkey") % 20).cast("int")).alias("birth_year"))
+    none = F.lit(None).cast("int").alias("start")
+    claims = c.where("c_custkey % 3 > 0").select(item, F.lit("birth").alias("kind"), F.lit(0).alias("ord"), F.concat(F.lit("n"), "c_nationkey").alias("place"), none)
+    claims = claims.unionByName(c.where("c_custkey % 10 = 0").select(item, F.lit("formed").alias("kind"), F.lit(0).alias("ord"), F.concat(F.lit("n"), (F.col("c_nationkey") + 1) % 25).alias("place"), none))
+    lived = li.join(o, li.l_orderkey == o.o_orderkey).join(su, li.l_suppkey == su.s_suppkey).groupBy("o_custkey", "s_nationkey").agg(F.min(F.year("o_orderdate")).alias("start"))
+    claims = claims.unionByName(lived.select(F.concat(F.lit("c"), "o_custkey").alias("item"), F.lit("residence").alias("kind"), F.col("s_nationkey").cast("int").alias("ord"), F.concat(F.lit("n"), "s_nationkey").alias("place"), "start"))
+    places = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(place.alias("place"), F.col("n_name").alias("state"), F.when(F.col("n_regionkey") == 1, "US").otherwise(F.col("r_name")).alias("country"), F.when(k % 4 != 0, k.cast("double")).alias("lat"), (k % 5 == 0).alias("is_country"), F.col("r_name").alias("region"), F.when(k % 3 == 0, F.col("n_name")).alias("scene"))
+    one = r.agg(F.min("r_name").alias("region"))  # one row
+    genres = c.where("c_mktsegment = 'BUILDING'").select(item).crossJoin(one).select("item", "region", F.lit(None).cast("string").alias("scene"))
+    mapped = [x[0] for x in r.select("r_name").orderBy("r_name").limit(3).collect()]
+    return M.assign_origin(items, claims, places, genres, mapped)
 
 
 TRIPLES = [
@@ -151,37 +235,75 @@ TRIPLES = [
 TRIPLE_SQL = "tr(item, property, value) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in TRIPLES) + ")"
 
 
-def triples(spark):
+def made_triples(spark):
     return spark.createDataFrame(TRIPLES, "item string, property string, value string")
 
 
-@query(
-    f"""WITH RECURSIVE {TRIPLE_SQL}, below(root, class) AS (SELECT * FROM (VALUES ('rapper', 'rapper'), ('rap', 'rap'), ('human', 'human'), ('group', 'group')) UNION SELECT root, item FROM below JOIN tr ON value = class AND property = 'sub'),
-    right_kind AS (SELECT DISTINCT item FROM tr WHERE property = 'is' AND value IN (SELECT class FROM below WHERE root IN ('human', 'group')))
-    SELECT DISTINCT item, property AS route FROM tr WHERE item IN (SELECT item FROM right_kind)
-      AND ((property = 'occ' AND (value = 'dj' OR value IN (SELECT class FROM below WHERE root = 'rapper'))) OR (property = 'genre' AND value IN (SELECT class FROM below WHERE root = 'rap')))"""
-)
+def discover_sql(tr: str, roots: list[str], kinds: list[str], routes: str) -> str:
+    """tr: SQL of tr(item, property, value); routes: a condition on a row of it, with below(root, class)."""
+    every = ", ".join(f"('{x}', '{x}')" for x in dict.fromkeys([*roots, *kinds]))
+    return f"""WITH RECURSIVE {tr}, below(root, class) AS (SELECT * FROM (VALUES {every}) UNION SELECT root, item FROM below JOIN tr ON value = class AND property = 'sub'),
+    right_kind AS (SELECT DISTINCT item FROM tr WHERE property = 'is' AND value IN (SELECT class FROM below WHERE root IN ({", ".join(f"'{x}'" for x in kinds)})))
+    SELECT DISTINCT item, property AS route FROM tr WHERE item IN (SELECT item FROM right_kind) AND ({routes})"""
+
+
+def fold_sql(tr: str, items: str, genre: str, sitelinks: str, born: str) -> str:
+    return f"""WITH {tr} SELECT item, coalesce(array_to_string(list_sort(list_distinct(list(value) FILTER (property = '{genre}'))), ';'), '') AS genres, coalesce(max(try_cast(value AS BIGINT)) FILTER (property = '{sitelinks}'), 0) AS sitelinks,
+    min(CASE WHEN property = '{born}' AND regexp_matches(value, '^-?[0-9]{{1,4}}-') THEN CAST(regexp_extract(value, '^(-?[0-9]{{1,4}})-', 1) AS BIGINT) END) AS born FROM tr WHERE item LIKE '{items}%' GROUP BY item"""
+
+
+def folded(triples, items, genre, sitelinks, born):
+    from ..operators.items import fold
+
+    out = fold(triples.where(F.col("item").startswith(items)), [genre], [], {sitelinks: "sitelinks"}, {born: "born"})
+    return out.select("item", F.array_join(genre, ";").alias("genres"), "sitelinks", F.col("born").cast("long").alias("born"))
+
+
+STAR_TRIPLES = """tr(item, property, value) AS (SELECT 'c' || c_custkey, 'lives', 'n' || c_nationkey FROM customer UNION ALL SELECT 'c' || c_custkey, 'is', c_mktsegment FROM customer
+    UNION ALL SELECT 'n' || n_nationkey, 'sub', 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || o_custkey, 'priority', o_orderpriority FROM orders
+    UNION ALL SELECT 'c' || o_custkey, 'spent', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) FROM orders UNION ALL SELECT 'c' || o_custkey, 'ordered', strftime(o_orderdate, '%Y-%m-%d') FROM orders)"""
+
+
+def star_triples(spark, d):
+    """What the tables know of customers and nations, as triples."""
+    c, n, o = (table(spark, d, t) for t in ("customer", "nation", "orders"))
+    of = lambda df, letter, key, prop, value: df.select(F.concat(F.lit(letter), key).alias("item"), F.lit(prop).alias("property"), value.alias("value"))
+    parts = [
+        of(c, "c", "c_custkey", "lives", F.concat(F.lit("n"), "c_nationkey")), of(c, "c", "c_custkey", "is", F.col("c_mktsegment")),
+        of(n, "n", "n_nationkey", "sub", F.concat(F.lit("r"), "n_regionkey")), of(o, "c", "o_custkey", "priority", F.col("o_orderpriority")),
+        of(o, "c", "o_custkey", "spent", F.floor("o_totalprice").cast("string")), of(o, "c", "o_custkey", "ordered", F.date_format("o_orderdate", "yyyy-MM-dd")),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query(discover_sql(STAR_TRIPLES, ["r1"], ["BUILDING", "MACHINERY"], "(property = 'lives' AND (value = 'n2' OR value IN (SELECT class FROM below WHERE root = 'r1'))) OR (property = 'is' AND value = 'BUILDING')"))
 def discover_items(spark, d):
+    """Customers of two segments, found by living in a region's nations or by one segment."""
     from ..operators.items import discover
 
-    return discover(triples(spark), [("occ", ["rapper"], ["dj"]), ("genre", ["rap"], [])], "sub", "is", ["human", "group"])
+    return discover(star_triples(spark, d), [("lives", ["r1"], ["n2"]), ("is", ["BUILDING"], [])], "sub", "is", ["BUILDING", "MACHINERY"])
 
 
-@query(
-    f"""WITH {TRIPLE_SQL} SELECT item, coalesce(array_to_string(list_sort(list_distinct(list(value) FILTER (property = 'genre'))), ';'), '') AS genres, coalesce(max(try_cast(value AS BIGINT)) FILTER (property = 'sitelinks'), 0) AS sitelinks,
-    min(CASE WHEN property = 'born' AND regexp_matches(value, '^-?[0-9]{{1,4}}-') THEN CAST(regexp_extract(value, '^(-?[0-9]{{1,4}})-', 1) AS BIGINT) END) AS born FROM tr WHERE item LIKE 'i%' GROUP BY item"""
-)
+@query(fold_sql(STAR_TRIPLES, "c", "priority", "spent", "ordered"))
 def item_attributes(spark, d):
-    from ..operators.items import fold
+    return folded(star_triples(spark, d), "c", "priority", "spent", "ordered")
 
-    out = fold(triples(spark).where("item like 'i%'"), ["genre"], [], {"sitelinks": "sitelinks"}, {"born": "born"})
-    return out.select("item", F.array_join("genre", ";").alias("genres"), "sitelinks", F.col("born").cast("long").alias("born"))
 
-
-@query("SELECT * FROM (VALUES ('A', 'West', 'Bay', true), ('B', 'West', NULL, true), ('C', 'South', NULL, false), ('D', NULL, NULL, false), ('E', 'East', 'Metro', false)) t(name, region, scene, ok)")
+@query(
+    """SELECT c_name AS name, CASE WHEN c_custkey % 9 <> 0 THEN r_name END AS region, CASE WHEN c_custkey % 9 <> 0 AND c_acctbal >= 0 THEN c_mktsegment END AS scene,
+    c_custkey % 9 <> 0 AND (CASE WHEN c_custkey % 10 = 0 THEN 'ASIA' ELSE r_name END) = r_name AND (CASE WHEN c_acctbal >= 0 THEN c_mktsegment IN ('BUILDING', CASE WHEN c_custkey % 2 = 1 THEN 'MACHINERY' ELSE 'BUILDING' END) ELSE c_custkey % 2 = 0 END) AS ok
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+)
 def spot_check(spark, d):
+    """Regions and segments of customers, a ninth of them unassigned, against what is expected of them."""
     from ..operators.items import spot_check
 
-    got = spark.createDataFrame([("A", "West", "Bay"), ("B", "West", None), ("C", "South", None), ("E", "East", "Metro"), ("Z", "East", None)], "name string, region string, scene string")
-    want = spark.createDataFrame([("A", "West", ["Bay"]), ("B", "West", ["Bay", None]), ("C", "South", ["Delta"]), ("D", "East", [None]), ("E", "East", ["Thames"])], "name string, region string, scenes array<string>")
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey")
+    got = rows.where(k % 9 != 0).select(F.col("c_name").alias("name"), F.col("r_name").alias("region"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("scene"))
+    want = rows.select(F.col("c_name").alias("name"), F.when(k % 10 == 0, "ASIA").otherwise(F.col("r_name")).alias("region"), F.when(k % 2 == 1, F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).otherwise(F.array(F.lit("BUILDING"), F.lit(None))).alias("scenes"))
     return spot_check(got, want)

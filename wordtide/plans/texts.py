@@ -258,9 +258,11 @@ def category_counts(spark, d):
     return V.category_tops(lex(spark), n)
 
 
-@query("SELECT 'art' AS id, 'Article' AS label")
+@query("SELECT 'p' || p_partkey AS id, p_name AS label FROM part WHERE lower(p_name) = 'blue rod' OR p_partkey = 7")
 def term_lookup(spark, d):
-    return V.lookup(lex(spark), "ARTICLE").select("id", "label")
+    """Parts by their label in any case, and one by its id."""
+    parts = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("label"))
+    return V.lookup(parts, "BLUE Rod").unionByName(V.lookup(parts, "p7")).distinct()
 
 
 @query()
