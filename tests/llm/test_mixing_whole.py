@@ -13,6 +13,7 @@ def test_many_cells_are_raked_as_few_are(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA).coalesce(2)
     targets = {"source": {"a": 0.7, "b": 0.3}, "lang": {"x": 0.9, "y": 0.1}}
     weigh = lambda: {(r["source"], r["lang"], r["topic"]): (r["weight"], r["probability"]) for r in mixing.cell_weights(df, F.col("source"), F.col("lang"), F.col("text"), targets, 0.95).collect()}
+    monkeypatch.setattr(mixing, "HALVINGS", 0)  # on both sides; every fit of a table takes minutes here
     few = weigh()
     monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
     many = weigh()

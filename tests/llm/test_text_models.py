@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wordtide.llm.language_id import identify, keep_identified
-from wordtide.llm.mixing import cell_weights, keep_mixed, mix, rake, rake_table, scale_for, topic_of
+from wordtide.llm.mixing import cell_weights, keep_mixed, mix, largest_share, rake, rake_table, topic_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, weight int"
 SYLLABLES = {"xx": ["ka", "to", "ri", "mu", "sen"], "yy": ["sch", "ung", "ver", "ge", "ö"], "zz": ["eau", "ment", "oi", "ç", "re"]}
@@ -83,18 +83,35 @@ def test_raking_meets_targets(spark):
     targets = [{"a": 0.2, "b": 0.5, "c": 0.3}, {"d": 0.9, "e": 0.1}, {"f": 0.4, "g": 0.4, "h": 0.2}]
     keys = sorted(cells)
     members = [np.array([sorted(targets[a]).index(k[a]) for k in keys]) for a in range(3)]
-    got = rake(np.array([cells[k] for k in keys], float), members, [np.array([targets[a][c] for c in sorted(targets[a])]) for a in range(3)])
-    want = brute_rake(cells, targets)
+    share = np.array([cells[k] for k in keys], float) / sum(cells.values())
+    w, worst = rake(share, members, [np.array([targets[a][c] for c in sorted(targets[a])]) for a in range(3)])
+    got, want = share * w, brute_rake(cells, targets)
+    assert worst < 1e-9
     assert got == pytest.approx([want[k] for k in keys], rel=1e-6)
-    table = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
-    far = {(x["source"], x["lang"], x["topic"]): x["w"] for x in rake_table(table, ["source", "lang", "topic"], dict(zip(["source", "lang", "topic"], targets, strict=True)), sum(cells.values()), 12).collect()}
+    table = spark.createDataFrame([(*k, v / sum(cells.values()), 1.0) for k, v in cells.items()], "source string, lang string, topic string, tokens double, w double")
+    goals = {a: spark.createDataFrame(list(t.items()), f"{a} string, want double") for a, t in zip(["source", "lang", "topic"], targets, strict=True)}
+    far = {(x["source"], x["lang"], x["topic"]): x["tokens"] * x["w"] for x in rake_table(table, ["source", "lang", "topic"], goals, 1.0, sweeps=12)[0].collect()}
     assert [far[k] for k in keys] == pytest.approx([want[k] for k in keys], rel=1e-3)
 
 
-def test_scale_is_calibrated():
-    tokens, weight = np.array([10.0, 20.0, 70.0]), np.array([5.0, 0.5, 0.2])
-    s = scale_for(tokens, weight, 0.5)
-    assert (tokens * np.minimum(1, s * weight)).sum() == pytest.approx(50)
+def test_bounded_raking_meets_marginals_and_bound():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        members = [r.integers(0, k, 60) for k in (3, 4, 5)]
+        tokens, some = r.random(60) + 0.01, r.random(60) ** 3
+        some[:9] = 1.0  # cells that are kept whole
+        goals = [np.bincount(of, weights=tokens * some, minlength=k) for of, k in zip(members, (3, 4, 5))]
+        w, worst = rake(tokens, members, goals, 1.0, np.full(60, 0.5), sweeps=5000)
+        assert worst < 1e-6
+        for of, goal in zip(members, goals):
+            assert np.bincount(of, weights=tokens * np.minimum(1, w), minlength=len(goal)) == pytest.approx(goal, abs=1e-5)
+
+
+def test_largest_share_is_halved_to():
+    dropped = []
+    share, got = largest_share(lambda k: (k, 0.0 if k <= 0.3 else 1.0), 0.9, 0.1, dropped.append)
+    assert 0.29 < share <= 0.3 and got == share and got not in dropped
+    assert largest_share(lambda k: (k, 0.0), 0.9, 0.1) == (0.9, 0.9)
 
 
 def test_mix_is_whole_and_follows_probabilities(spark):
