@@ -32,6 +32,17 @@ def test_closures_end_in_cycles(spark):
     same(G.closure(P.tables(spark)[1], "place", "parent").withColumn("steps", P.F.col("steps").cast("long")), P.closure_sql(P._sql_rows(pairs)))
 
 
+def test_climbs_have_no_bound_on_rows(spark):
+    """Spark ends a recursive query with an error beyond so many rows; the fixture's ways are 50."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        places, parents, countries = P.tables(spark)
+        got = G.resolve(places.unionByName(places.where("place = 't1'")), parents, countries)  # a row more of a place is a row more, no more
+        assert sorted(r["place"] for r in got.collect()) == sorted([*(p for p, *_ in P.PLACES), "t1"])
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_origins_follow_the_ladder(spark):
     assert sorted(map(str, map(tuple, P.made_origins(spark).collect()))) == sorted(map(str, P.ORIGINS))
 

@@ -11,6 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import haversine, subdivision
+from ..sources.tables import shared_folder
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: plans of later rounds start from it."""
+    path = f"{shared_folder(df.sparkSession)}/wordtide-places/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _view(df: DataFrame) -> str:
@@ -39,30 +47,30 @@ def resolve(places: DataFrame, parents: DataFrame, countries: DataFrame, home: s
 
     A place takes its state from the first parent that has one (one of the home country before others), else from its own code; it never
     climbs into its own country, or into a country without a row, nor twice into a place on its way. Coordinates of countries and
-    first-level units are centroids and are left out; a place without one takes its parent's. Way after way upwards is laid out as rows
-    by a recursive query and folded from the top, one step a round."""
-    spark = places.sparkSession
+    first-level units are centroids and are left out; a place without one takes its parent's. Way after way upwards is laid out as rows,
+    one step a round, and folded from the top, one step a round."""
     own = countries.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "country"))), lambda x: x.country).alias("own"))
     known = countries.select(F.col("country").alias("place")).distinct().withColumn("named", F.lit(True))
     base = places.join(own, "place", "left").join(known, "place", "left")
     base = base.withColumn("own", F.coalesce("own", F.array().cast("array<string>"))).withColumn("code", subdivision(F.col("codes")))
     base = base.withColumn("is_country", F.coalesce("named", F.lit(False)) & ((F.size("own") == 0) | F.array_contains("own", F.col("place"))))
-    base = base.select("place", "label", "lat", "lon", "own", "code", "is_country").persist()
-    at, up = _view(base), _view(parents)
-    ways = spark.sql(f"""
-        WITH RECURSIVE way(place, path, ords, steps) AS (
-          SELECT place, array(place), cast(array() AS array<int>), 0 FROM {at}
-          UNION ALL
-          SELECT p.parent, array_append(w.path, p.parent), array_append(w.ords, cast(p.ord AS int)), w.steps + 1
-          FROM way w JOIN {up} p ON p.place = w.place JOIN {at} b ON b.place = w.place JOIN {at} t ON t.place = p.parent
-          WHERE w.steps < {int(depth)} AND NOT array_contains(w.path, p.parent) AND NOT array_contains(b.own, p.parent))
-        SELECT * FROM way
-    """).persist()
-    deepest = ways.agg(F.max("steps")).first()[0] or 0
+    base = _kept(base.select("place", "label", "lat", "lon", "own", "code", "is_country"))
+    # Many places have few parents: what lies above is told apart, so that no parent's children meet in one task.
+    tops = _kept(base.join(parents.select(F.col("parent").alias("place")).distinct(), "place", "left_semi"))
+    ups = parents.join(base.select("place", "own").distinct(), "place").join(tops.select(F.col("place").alias("parent")).distinct(), "parent")
+    ups = ups.where(~F.array_contains("own", F.col("parent")) & (F.col("place") != F.col("parent")))
+    ups = _kept(ups.select("place", F.col("ord").cast("int").alias("ord"), "parent").distinct())
+    above = _kept(ups.join(tops.select("place").distinct(), "place", "left_semi").select(F.col("place").alias("at"), F.col("ord").alias("nth"), "parent"))
+    ways = [None]  # of each number of steps: path, ords, place
+    new = ups.select(F.array("place", "parent").alias("path"), F.array("ord").alias("ords"), F.col("parent").alias("place"))
+    while len(ways) <= depth and not new.isEmpty():
+        ways.append(new)
+        further = new.join(above, (F.col("place") == F.col("at")) & ~F.array_contains("path", F.col("parent")))
+        new = _kept(further.select(F.array_append("path", F.col("parent")).alias("path"), F.array_append("ords", F.col("nth")).alias("ords"), F.col("parent").alias("place")))
     kind = "struct<state: string, country: string, lat: double, lon: double, usable: boolean>"
     above = None
-    for step in range(deepest, -1, -1):
-        rows = ways.where(F.col("steps") == step).select("path", "ords", "place").join(base, "place")
+    for step in range(len(ways) - 1, -1, -1):
+        rows = ways[step].join(tops, "place") if step else base.withColumn("path", F.array("place")).withColumn("ords", F.array().cast("array<int>"))
         if above is not None:
             rows = rows.join(above, "path", "left")
         else:
