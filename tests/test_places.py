@@ -1,5 +1,7 @@
 """Names, scenes, origins and items on small tables of hand-made cases, against the same SQL as the queries, or worked out by hand."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -43,6 +45,17 @@ def test_climbs_have_no_bound_on_rows(spark):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
 
 
+def test_closures_have_no_bound_on_rows(spark):
+    rng = random.Random(7)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(70)] + [("n1", None), (None, "n2"), ("n3", "n3")]
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        df = spark.createDataFrame(pairs, "place string, parent string")
+        same(G.closure(df, "place", "parent").withColumn("steps", P.F.col("steps").cast("long")), P.closure_sql(P._sql_rows(pairs)))
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_origins_follow_the_ladder(spark):
     assert sorted(map(str, map(tuple, P.made_origins(spark).collect()))) == sorted(map(str, P.ORIGINS))
 

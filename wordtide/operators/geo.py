@@ -21,25 +21,22 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _view(df: DataFrame) -> str:
-    """A temporary view under a name of its own, so that calls at the same time don't meet."""
-    name = f"places_{uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
-
-
 def closure(edges: DataFrame, src: str, dst: str, depth: int = 14) -> DataFrame:
-    """src, dst, steps: everything that is reached over edges, itself included; cycles end where a node would be met again."""
-    spark = edges.sparkSession
-    view = _view(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
-    return spark.sql(f"""
-        WITH RECURSIVE up(src, dst, steps, path) AS (
-          SELECT DISTINCT a, a, 0, array(a) FROM {view}
-          UNION ALL
-          SELECT u.src, e.b, u.steps + 1, array_append(u.path, e.b) FROM up u JOIN {view} e ON e.a = u.dst
-          WHERE u.steps < {int(depth)} AND NOT array_contains(u.path, e.b))
-        SELECT src AS {src}, dst AS {dst}, min(steps) AS steps FROM up GROUP BY src, dst
-    """)
+    """src, dst, steps: everything that is reached over edges, itself included, and the fewest steps; cycles end where a node would be met
+    again. Breadth first, a round a step: any number of rows, and a round holds what it reached first only. Edges whose source no other
+    edge leads to are followed once, so that many leaves below few nodes join the few edges above."""
+    pairs = _kept(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
+    out = pairs.where("a <> b")
+    above = _kept(out.join(out.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("at"), F.col("b").alias("to")))
+    reached = pairs.select(F.col("a").alias("src"), F.col("a").alias("dst")).distinct().withColumn("steps", F.lit(0))
+    new = out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    for step in range(1, depth + 1):
+        reached = reached.unionByName(new.withColumn("steps", F.lit(step)))
+        further = new.join(above, F.col("dst") == F.col("at")).select("src", F.col("to").alias("dst")).distinct()
+        new = _kept(further.join(reached.select("src", "dst"), ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            break
+    return reached.select(F.col("src").alias(src), F.col("dst").alias(dst), "steps")
 
 
 def resolve(places: DataFrame, parents: DataFrame, countries: DataFrame, home: str = "US", depth: int = 14) -> DataFrame:
