@@ -274,12 +274,10 @@ def peak_calendar(spark, d):
 
 @query("SELECT doc_id, CAST(file_row_number + 1000000 AS BIGINT) AS record FROM (SELECT doc_id, row_number() OVER () - 1 AS file_row_number FROM documents)")
 def provenance_key(spark, d):
-    """Records keyed by shard and row in the file; the shard number is the first digit group of the table's path that the pattern names,
-    here always 1."""
+    """Records keyed by shard and row; the table is shard 1, in one file or many."""
     from ..sources.tables import with_provenance
 
-    t = table(spark, d, "documents").select("doc_id", "_metadata")
-    return with_provenance(t, r"()documents").select("doc_id", (F.coalesce("record", F.lit(0)) + F.col("_metadata.row_index") + 1_000_000).alias("record"))
+    return with_provenance(table(spark, d, "documents").select("doc_id", "_metadata"), whole=1).select("doc_id", "record")
 
 
 WORDS_SQL = "w AS (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents), k AS (SELECT lang, w, count(*) AS n, replace(strip_accents(lower(w)), 'ß', 'ss') AS k FROM w GROUP BY lang, w)"

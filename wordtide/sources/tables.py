@@ -8,6 +8,7 @@ import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,10 +35,20 @@ def read_shards(spark: SparkSession, glob: str, schema: str = SHARDS) -> DataFra
     return spark.read.schema(schema).parquet(glob)
 
 
-def with_provenance(df: DataFrame, shard: str = r"train-(\d+)-", per_shard: int = 1_000_000) -> DataFrame:
-    """Adds record: shard number (from the file's name) x per_shard + row in the file; stable over rebuilds."""
-    number = F.regexp_extract(F.col("_metadata.file_path"), shard, 1)
-    return df.select("*", (F.nullif(number, F.lit("")).cast("long") * per_shard + F.col("_metadata.row_index")).alias("record"))
+def with_provenance(df: DataFrame, shard: str = r"train-(\d+)-", per_shard: int = 1_000_000, whole: int | None = None) -> DataFrame:
+    """Adds record: shard number (from the file's name) x per_shard + row in the file; stable over rebuilds.
+
+    whole: the number of a table that is one shard, in however many files; rows are then counted on from file to file, by their paths. df is
+    the table as it is read, with all its rows; a pass over its files counts theirs, and a row a file is sent to all tasks."""
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    if whole is None:
+        number = F.regexp_extract(path, shard, 1)
+        return df.select("*", (F.nullif(number, F.lit("")).cast("long") * per_shard + row).alias("record"))
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    files = df.groupBy(plain.alias("_file")).agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = df.withColumn("_file", plain).join(F.broadcast(files.select("_file", before.alias("_before"))), "_file")
+    return out.select(*df.columns, (F.lit(whole * per_shard) + F.col("_before") + row).alias("record"))
 
 
 def try_read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
