@@ -1,5 +1,6 @@
 """The n-gram Jaccard join against brute force over all pairs."""
 
+import os
 import random
 
 import numpy as np
@@ -119,3 +120,25 @@ def test_connected_components(spark):
         got.setdefault(r["component"], set()).add(r["node"])
     assert sorted(map(sorted, got.values())) == [list(range(61)), list(range(100, 160)), [400, 401]]
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_prefixes_are_shuffled_in_shares_and_sketches_go(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(30)]
+    rows = [(2 * i + j, " ".join(t[: 120 - j])) for i, t in enumerate(texts) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = []
+
+    def spill(df, what, f=ngram_join._spill):
+        out = f(df, what)
+        kept.append((what, out, out.count() if what == "join-met" else 0))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_spill", spill)
+    got = sorted(map(tuple, ngram_join.ngram_link_counts(df).collect()))
+    met = [n for what, _, n in kept if what == "join-met"]
+    assert sum(met) > 100 and max(met) < sum(met) / 2
+    sketches = [out._wordtide_path.removeprefix("file:") for _, out, _ in kept if "cells" in out.columns]
+    assert sketches and not any(map(os.path.exists, sketches))
+    assert got == sorted(map(tuple, ngram_join.ngram_link_counts(df, shares=1).collect()))
+    assert [(r[0], r[2], r[4]) for r in got] == [(d, d // 2 * 2, 1) for d, _ in rows]

@@ -38,6 +38,8 @@ BITS_A_ROW, MOST_FETCH_BITS = 16, 1 << 26
 #: Rows of a block of a long posting list, and partners that a component draws in each list in each round but the last.
 BLOCK, DRAWN = 2048, (2,)
 BYTES = 1 << 19
+#: Shares of the prefix shingles that are shuffled one after another.
+SHARES = 4
 #: Classes and shingles of a chunk of a component, and shingles counted at once, when links are listed or counted.
 CHUNK_CLASSES, CHUNK_SHINGLES, COLUMNS = 512, 1 << 20, 1 << 13
 
@@ -192,19 +194,19 @@ def _pairs_in(group: np.ndarray):
         yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, shares: int = 1) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, shares: int = SHARES) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row of docs.
 
     Rows link when den * |x & y| >= num * |x | y| over their sets of distinct n-word shingles. component_id is the smallest doc_id
     reachable by links, itself included; class_id the smallest doc_id with the same set. A null or blank text has the empty set and
     links with nothing. Rows of one doc_id are told apart by their sets; a null doc_id is kept and never the smallest, unless all
     are null. An empty table gives an empty result; other columns are not read. shares: prefix shingles are shuffled in so many parts, one
-    after another, which takes less disk where prefixes are long."""
+    after another, which takes less disk; the result is the same."""
     sets, named_classes, _ = _classes(docs, id_col, text_col, n, num, den, shares)
     return _placed(sets, named_classes)
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, shares: int = 1) -> DataFrame:
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, shares: int = SHARES) -> DataFrame:
     """class_a, class_b, n_a, n_b, shared: every link between two classes of ngram_components, once, class_a < class_b, with the sizes of
     their sets and of what they share. Rows of one class link with each other and are not listed. A class without an id is null."""
     listed = lambda held, labels, hashes, classes: _in_cells(held, labels, hashes, classes, num, den, True)
@@ -215,7 +217,7 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return links.join(end("a"), "a").join(end("b"), "b").select(pick("class_a", "class_b", "class_a"), pick("class_b", "class_a", "class_b"), pick("n_a", "n_b", "n_a"), pick("n_b", "n_a", "n_b"), "shared")
 
 
-def ngram_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, shares: int = 1) -> DataFrame:
+def ngram_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, shares: int = SHARES) -> DataFrame:
     """ngram_components with n_links: how many other rows each row links with, those with the same set included. Links are counted where
     they are found, so pairs are never laid out."""
     counted = lambda held, labels, hashes, classes: _in_cells(held, labels, hashes, classes, num, den, False)
@@ -246,12 +248,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
             at, m = some[k : k + 64], len(some[k : k + 64])
             yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int32()), "k1": pa.nulls(m, pa.int64()), "k2": pa.nulls(m, pa.int64()), "chunk": pa.array(at, pa.int32()), "cells": pa.array([packed_counts(parts[x]) for x in at], pa.binary())})
 
-    both = _spill(rows.mapInArrow(named, "doc_id long, n int, k1 long, k2 long, chunk int, cells binary"), "join-sets")
-    sets = both.where("chunk is null").select("doc_id", "n", "k1", "k2")
+    both = _spill(rows.mapInArrow(named, "doc_id long, n int, k1 long, k2 long, chunk int, cells binary"), "join-sketches")
+    sets = _spill(both.where("chunk is null").select("doc_id", "n", "k1", "k2"), "join-sets")
+    order = _rarity(both, cells)
+    forget(both)  # a sketch of every task
     with Temporaries() as held:
         classes = held.spill(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "join-classes")
-        order = _rarity(both, cells)
         labels, hashes = _link_classes(held, rows, order, classes, n, num, den, shares)
+        release(rows.sparkSession)
         more = _spill(count(held, labels, hashes, classes), "join-counted") if count else None
         of = classes.join(labels, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
         # Component of each class: the smallest member of any of its classes.
@@ -275,7 +279,7 @@ def _placed(sets: DataFrame, named_classes: DataFrame, *more) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("component_id"), own("class_id"), *more)
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, shares: int = 4) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, shares: int = SHARES) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, all columns as they are. Rows of one id all stay or all go, as the
     component of any of them says; rows without an id stay."""
     found = ngram_components(docs, id_col, text_col, n, num, den, shares)
@@ -342,6 +346,7 @@ def _link_classes(held: Temporaries, rows: DataFrame, order: np.ndarray, classes
     keys = spill(posts.select("k1").distinct(), "join-keys")
     maps = spill(drawn.where("pos < 0").select("k1", "bits").join(keys, "k1", "left_semi").dropDuplicates(["k1"]), "join-bits")
     forget(drawn)
+    release(spark)
 
     labels, sets, tried = None, None, None
     for most in (*DRAWN, None):
@@ -356,6 +361,8 @@ def _link_classes(held: Temporaries, rows: DataFrame, order: np.ndarray, classes
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = spill(pairs, "join-pairs")
+        del live
+        release(spark)  # the bitmaps' shuffle is gone before the sets' one
         if labels is not None and is_empty(pairs):
             continue
         before = keys.withColumn("component", F.col("k1")) if labels is None else labels
@@ -366,6 +373,7 @@ def _link_classes(held: Temporaries, rows: DataFrame, order: np.ndarray, classes
             fetched = _fetch_sets(held, rows, classes, asked, n)
             sets = fetched if sets is None else sets.unionByName(fetched)
         links = spill(_verify(pairs, sets, num, den), "join-links")
+        release(spark)
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         joined = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         labels = spill(before.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("k1", F.coalesce("to", "component").alias("component")), "join-labels")
